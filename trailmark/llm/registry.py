@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from trailmark.llm import media, packing, sharding, simhash, substrings, topk
+from trailmark.llm import bpe, media, packing, sharding, simhash, substrings, topk
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op2_ball_tree_top_k": topk.op2_ball_tree_top_k,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_bpe_automaton": bpe.op4_bpe_automaton,
     "op7_lpt_sharding": sharding.op7_lpt_sharding,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
