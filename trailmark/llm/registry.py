@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailmark.llm import bpe, media, packing, sharding, simhash, substrings, topk
+from trailmark.llm import bpe, langid, media, packing, sharding, simhash, substrings, topk
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
     "op7_lpt_sharding": sharding.op7_lpt_sharding,
     "op8_substring_dedup": substrings.op8_substring_dedup,
+    "op9_language_id": langid.op9_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL = {"op2_ball_tree_top_k": topk.ORACLE_SQL, "op8_substring_dedup": substrings.ORACLE_SQL}
