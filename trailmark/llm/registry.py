@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from trailmark.llm import bpe, langid, media, packing, repair, sharding, simhash, substrings, topk
+from trailmark.llm import bpe, langid, lines, media, packing, repair, sharding, simhash, substrings, topk
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op2_ball_tree_top_k": topk.op2_ball_tree_top_k,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
+    "op5_fuzzy_line_dedup": lines.op5_fuzzy_line_dedup,
     "op6_repair_token_files": repair.op6_repair_token_files,
     "op7_lpt_sharding": sharding.op7_lpt_sharding,
     "op8_substring_dedup": substrings.op8_substring_dedup,
