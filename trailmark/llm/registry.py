@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from trailmark.llm import bpe, langid, lines, media, packing, repair, sharding, simhash, substrings, topk
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_lpt_sharding": sharding.op7_lpt_sharding,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_language_id": langid.op9_language_id,
+    "pipeline": corpus_pipeline.run,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL = {"op2_ball_tree_top_k": topk.ORACLE_SQL, "op8_substring_dedup": substrings.ORACLE_SQL}

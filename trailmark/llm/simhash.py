@@ -120,8 +120,7 @@ def search_plan(sample: np.ndarray, n: int, threshold: int) -> list[tuple[list[i
             row = []
             for t in range(threshold + 1):
                 chance = max((d <= t).mean() if len(d) else 0.0, ball(len(g), t) / 2 ** len(g))
-                keys = n * (ball(len(g), t // 2) + ball(len(g), -(-t // 2)) * (t % 2))
-                row.append(keys + PAIR_COST * n * n / 2 * chance * (ball(t, t // 2) if t else 1))
+                row.append(n * ball(len(g), -(-t // 2)) + PAIR_COST * n * n / 2 * chance)
             costs.append(row)
         total, thresholds = allocate(costs, threshold)
         options.append((total, [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]))
@@ -134,58 +133,54 @@ def flips(bits: list[int], radius: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in out]
 
 
-def _keys(nodes: DataFrame, plan: list[tuple[list[int], int]], probing: bool) -> DataFrame:
-    """part, key, and all columns of nodes: a row per partition and neighbour on it, within half its threshold."""
+def key_rows(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
+    """part, key, and all columns of nodes: a row per partition and point within half its threshold (rounded up), so
+    that two nodes within the threshold on a partition share a key."""
     long = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
     def one(p: int, bits: list[int], t: int):
         base = F.col("fp").bitwiseAND(long(sum(1 << b for b in bits)))
-        near = F.array(*[F.lit(x).cast("long") for x in flips(bits, -(-t // 2) if probing else t // 2)])
+        near = F.array(*[F.lit(x).cast("long") for x in flips(bits, -(-t // 2))])
         return F.transform(near, lambda x: F.struct(F.lit(p).alias("part"), base.bitwiseXOR(x).alias("key")))
 
     arrays = [one(p, bits, t) for p, (bits, t) in enumerate(plan)]
     return nodes.withColumn("_k", F.explode(F.concat(*arrays))).select("_k.part", "_k.key", *nodes.columns)
 
 
-def close_pairs(nodes: DataFrame, threshold: int, hot: int = HOT, also=None) -> DataFrame:
-    """a, b: links between nodes (node, fp; distinct nodes) within ``threshold`` bits.
-
-    Every such pair is returned, but for keys that more than ``hot`` nodes share: those nodes each link to the least node
-    of every point one bit away from them, which connects exactly the same nodes at threshold 2, in 65 rows a node. (At
-    other thresholds all pairs are probed; adaptive execution splits the hot keys.) ``also(a, b)`` may give a further
-    condition on columns of both sides.
-    """
+def fit_plan(nodes: DataFrame, threshold: int) -> list[tuple[list[int], int]]:
+    """The search plan for nodes (node, fp, ...), from a bounded sample of them."""
     n = nodes.agg(F.count("*")).first()[0]
     rows = nodes.orderBy(F.xxhash64("fp", "node"), "node").limit(SAMPLE).select("fp").toArrow()
-    plan = search_plan(rows.column("fp").to_numpy().astype(np.int64).view(np.uint64), n, threshold)
-    odd = any(t % 2 for _, t in plan)
-    index = _keys(nodes, plan, False)
-    few = index
-    if threshold == 2:
-        many = index.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("part", "key")
-        many = cut(many)
-        if many.isEmpty():
-            many = None
-        else:
-            few = index.join(many, ["part", "key"], "left_anti")
-    else:
-        many = None
-    side = lambda df, s: df.select("part", "key", *[F.col(c).alias(f"{c}_{s}") for c in nodes.columns])
-    a, b = side(_keys(nodes, plan, True) if odd else few, "a"), side(few, "b")
-    a, b = a.alias("a"), b.alias("b")
+    return search_plan(rows.column("fp").to_numpy().astype(np.int64).view(np.uint64), n, threshold)
+
+
+def share_key(rows: DataFrame, columns: list[str], threshold: int, also=None) -> DataFrame:
+    """a, b (node a < node b): nodes that share a key and lie within ``threshold`` bits, once each."""
+    side = lambda s: rows.select("part", "key", *[F.col(c).alias(f"{c}_{s}") for c in columns]).alias(s)
     near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= threshold
-    first = F.col("node_a") != F.col("node_b") if odd else F.col("node_a") < F.col("node_b")
-    on = (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key")) & first & near
-    if also is not None:
-        on = on & also
-    pairs = a.join(b, on).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    if many is not None:
-        members = index.join(many, ["part", "key"], "left_semi").select("node", "fp").distinct()
-        one = F.array(*[F.lit(x).cast("long") for x in flips(list(range(BITS)), 1)])
-        points = members.select("node", F.explode(F.transform(one, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
-        least = points.groupBy("point").agg(F.min("node").alias("a"))
-        pairs = pairs.unionAll(points.join(least, "point").where("a != node").select("a", F.col("node").alias("b")).distinct())
-    return pairs
+    on = (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key")) & (F.col("node_a") < F.col("node_b")) & near
+    return side("a").join(side("b"), on if also is None else on & also).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def close_pairs(nodes: DataFrame, threshold: int, hot: int = HOT) -> DataFrame:
+    """a, b: links between nodes (node, fp; distinct nodes) within ``threshold`` bits.
+
+    Every such pair is returned, but (at threshold 2) for keys that more than ``hot`` nodes share: those nodes each link
+    to the least node of every point one bit away from them, which connects exactly the same nodes in 65 rows a node. At
+    other thresholds all pairs are probed; adaptive execution splits the hot keys.
+    """
+    index = key_rows(nodes, fit_plan(nodes, threshold))
+    if threshold != 2:
+        return share_key(index, nodes.columns, threshold)
+    many = cut(index.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("part", "key"))
+    if many.isEmpty():
+        return share_key(index, nodes.columns, threshold)
+    pairs = share_key(index.join(many, ["part", "key"], "left_anti"), nodes.columns, threshold)
+    members = index.join(many, ["part", "key"], "left_semi").select("node", "fp").distinct()
+    one = F.array(*[F.lit(x).cast("long") for x in flips(list(range(BITS)), 1)])
+    points = members.select("node", F.explode(F.transform(one, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
+    least = points.groupBy("point").agg(F.min("node").alias("a"))
+    return pairs.unionAll(points.join(least, "point").where("a != node").select("a", F.col("node").alias("b")).distinct())
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, threshold: int = 2, hot: int = HOT) -> DataFrame:
