@@ -35,11 +35,14 @@ def uniform(*parts) -> Column:
 def compact_number(c) -> Column:
     """Integral values without decimals, others with three significant digits and no trailing zeros."""
     c = (F.col(c) if isinstance(c, str) else c).cast("double")
-    mag = F.floor(F.log10(F.abs(c))).cast("int")
-    text = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", F.round(c * F.pow(F.lit(10.0), 2 - mag)) / F.pow(F.lit(10.0), 2 - mag)), "0+$", ""), r"\.$", "")
-    mantissa = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", c / F.pow(F.lit(10.0), mag)), "0+$", ""), r"\.$", "")
+    size = lambda x: F.floor(F.log10(F.abs(x)) + 1e-12).cast("int")
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, "0+$", ""), r"\.$", "")
+    unit = F.pow(F.lit(10.0), 2 - size(c))
+    rounded = F.rint(c * unit) / unit
+    mag = size(rounded)  # 999.6 rounds to 1000
     sign = F.when(mag < 0, "-").otherwise("+")
-    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(mag).cast("string"), 2, "0"))
+    scientific = F.concat(plain(F.format_string("%.2f", rounded / F.pow(F.lit(10.0), mag))), F.lit("e"), sign, F.lpad(F.abs(mag).cast("string"), 2, "0"))
+    text = plain(F.format_string("%.12f", rounded))
     return F.when(c == F.floor(c), F.format_string("%.0f", c)).when((mag < -4) | (mag > 2), scientific).otherwise(text)
 
 

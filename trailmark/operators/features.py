@@ -69,7 +69,7 @@ def core_features(legs_: DataFrame) -> DataFrame:
 
 
 def time_features(legs_: DataFrame) -> DataFrame:
-    """Hours: last gap, mean gap, longest gap (null for a single transfer), and transfers per day.
+    """Hours: last gap, mean gap, longest gap; and transfers per day. All null for a single transfer.
 
     Gaps are found per wallet and day, then between the days of a wallet, so no window group holds all of a busy wallet.
     """
@@ -92,7 +92,7 @@ def time_features(legs_: DataFrame) -> DataFrame:
         (F.col("final") / HOUR).alias("time_since_previous_tx"),
         F.when(F.col("n") > 1, span / (F.col("n") - 1)).alias("avg_transaction_interval"),
         (F.col("longest") / HOUR).alias("dormancy_duration"),
-        (F.col("n") / (F.greatest(span, F.lit(MIN_PERIOD_HOURS)) / 24)).alias("transaction_frequency"),
+        F.when(F.col("n") > 1, F.col("n") / (F.greatest(span, F.lit(MIN_PERIOD_HOURS)) / 24)).alias("transaction_frequency"),
     )
 
 

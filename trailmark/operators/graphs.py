@@ -29,7 +29,7 @@ def network_clusters(observations: DataFrame, keys=("ip_address", "device_id", "
     return groups.select(F.concat(F.lit("NET-"), "component").alias("cluster_id"), F.col("node").alias("wallet"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 3) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 4, levels: int = 2) -> DataFrame:
     """community_id, wallet: modularity communities of two or more on weighted undirected edges (a, b, weight).
 
     Louvain's local moving, made parallel: in each round a hashed half of the nodes moves to the neighbouring community of

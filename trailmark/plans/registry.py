@@ -38,7 +38,7 @@ g AS (SELECT wallet, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER w
 tim AS (SELECT wallet, count(*) AS n, (max(us) - min(us)) / 3600000000.0::DOUBLE AS span, max(gap) / 3600000000.0::DOUBLE AS longest, max(CASE WHEN back = 1 THEN gap END) / 3600000000.0::DOUBLE AS final FROM g GROUP BY wallet),
 bur AS (SELECT wallet, max(n) AS activity_burst FROM (SELECT wallet, count(*) OVER (PARTITION BY wallet ORDER BY us RANGE BETWEEN CURRENT ROW AND 3599999999 FOLLOWING) AS n FROM g) GROUP BY wallet),
 f AS (SELECT wallet, transaction_count, incoming_count, outgoing_count, round(recv, 6) AS total_received_btc, round(sent, 6) AS total_sent_btc, round((recv + sent) / transaction_count, 6) AS avg_transaction_amount,
-  round(final, 6) AS time_since_previous_tx, round(CASE WHEN n > 1 THEN span / (n - 1) END, 6) AS avg_transaction_interval, round(n / (greatest(span, 1.0::DOUBLE) / 24), 6) AS transaction_frequency, round(longest, 6) AS dormancy_duration,
+  round(final, 6) AS time_since_previous_tx, round(CASE WHEN n > 1 THEN span / (n - 1) END, 6) AS avg_transaction_interval, round(CASE WHEN n > 1 THEN n / (greatest(span, 1.0::DOUBLE) / 24) END, 6) AS transaction_frequency, round(longest, 6) AS dormancy_duration,
   activity_burst, round(CASE WHEN sent > 0 THEN least(recv / sent, 100.0::DOUBLE) WHEN recv > 0 THEN 100.0::DOUBLE END, 6) AS incoming_outgoing_ratio, fan_in, fan_out, unique_counterparties, fan_in + fan_out AS wallet_degree, repeated_connections
   FROM core JOIN rep USING (wallet) JOIN tim USING (wallet) JOIN bur USING (wallet))"""
 HIGH = [f for _, f in rules.HIGH_RULES]
