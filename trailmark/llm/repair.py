@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import defaultdict
+from itertools import count, islice
 from pathlib import Path
 
 import numpy as np
@@ -25,7 +27,7 @@ SHARD_IDS = 1 << 20
 PARTITION_BYTES = 16 << 20
 PAIRS_PER_ROUND, LEAST_COUNT, LEAST_GAIN, ROUNDS = 2048, 8, 0.06, 8
 END_ID = 2
-HELD_PARTS = 800_000
+HELD_PARTS = 1_200_000
 
 
 def compress(ids: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray, int]:
@@ -53,21 +55,28 @@ def compress(ids: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndar
         if not len(often):
             break
         pairs = order[cut[often]]
-        where = np.searchsorted(pairs, codes)
-        where[where == len(pairs)] = 0
-        hit = np.flatnonzero((pairs[where] == codes) & ok)
+        left, right = (pairs // d).astype(np.int64), (pairs % d).astype(np.int64)
+        row, col = np.zeros(int(d), np.int32), np.zeros(int(d), np.int32)
+        row[left] = 1
+        col[right] = 1
+        row, col = np.cumsum(row, dtype=np.int32) * row, np.cumsum(col, dtype=np.int32) * col  # 0: on no such side
+        grid = np.zeros((row.max() + 1, col.max() + 1), np.int16)
+        grid[row[left], col[right]] = np.arange(1, len(pairs) + 1)
+        ranks = rank[seq].astype(np.int64)
+        where = grid[row[ranks[:-1]], col[ranks[1:]]]
+        hit = np.flatnonzero((where > 0) & ok)
         run = np.append(True, np.diff(hit) > 1)  # overlapping hits: every other one, from the left
         first = hit[np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))]
         hit = hit[(hit - first) % 2 == 0]
         if len(hit) < LEAST_GAIN * len(seq):
             break
         symbols = np.flatnonzero(used)
-        left, right = symbols[(pairs // d).astype(np.int64)], symbols[(pairs % d).astype(np.int64)]
+        left, right = symbols[left], symbols[right]
         first_symbol = base + sum(map(len, rules))
         rules.append(np.stack([left, right], axis=1).astype(np.int32))
         closes = np.append(closes, closes[right])
         seq = seq.copy()
-        seq[hit] = first_symbol + where[hit]
+        seq[hit] = first_symbol + where[hit].astype(np.int32) - 1
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
@@ -104,7 +113,8 @@ class Encoder:
     """ids of whole texts by the tokenizers library; parts between single spaces are encoded once and kept.
 
     Byte-level pre-tokenization never joins what stands on both sides of a space, unless white space surrounds that
-    space; texts with such a place, or with the mark of a special token, go through the library whole.
+    space; texts with such a place, or with the mark of a special token, go through the library whole. A part's ids
+    are those of at most two slots: its letters, and the points behind them.
     """
 
     def __init__(self, spec: str):
@@ -116,68 +126,69 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.tails: dict[str, list[int]] = {}
-        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def encode_parts(self, parts: list[str]) -> list[list[int]]:
-        """ids of each part. Words of Latin letters, behind which only points may stand, are encoded as one long text."""
-        got: list = [None] * len(parts)
-        heads, at, rest, where = [], [], [], []
+        self.index: dict[str, int] = defaultdict(count().__next__)
+        self.head, self.tail = np.zeros(0, np.int32), np.zeros(0, np.int32)  # slots of each part
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(1, np.int32)  # slot 0 has no ids
+        self.tails: dict[str, int] = {"": 0}
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode new parts. Words of Latin letters are encoded as one long text, at a word each."""
+        words, word_at, rest, rest_at = [], [], [], []
+        head, tail = np.zeros(len(parts), np.int32), np.zeros(len(parts), np.int32)
+        tails, new_tails = self.tails, []
+        slot = len(self.size)
         for k, p in enumerate(parts):
-            head = p.rstrip(".,;:!?")
-            if head.isalpha() and max(head) < "ɐ":
-                heads.append(head)
-                at.append(k)
+            h = p.rstrip(".,;:!?")
+            if h.isalpha() and (h.isascii() or max(h) < "ɐ"):
+                words.append(h)
+                word_at.append(k)
+                if len(h) < len(p):
+                    t = p[len(h) :]
+                    if t not in tails:
+                        tails[t] = slot + len(new_tails)
+                        new_tails.append(t)
+                    tail[k] = tails[t]
             else:
                 rest.append(p[1:] if p[:1] == " " else " " + p)
-                where.append(k)
-        for k, e in zip(where, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            got[k] = e.ids
-        for a in range(0, len(heads), 4096):
-            some = heads[a : a + 4096]
+                rest_at.append(k)
+        got = [e.ids for e in self.library.encode_batch_fast(new_tails + rest, add_special_tokens=False)]
+        flat, size = [np.fromiter((i for x in got for i in x), np.int32)], [np.fromiter(map(len, got), np.int32, len(got))]
+        head[rest_at] = slot + len(new_tails) + np.arange(len(rest))
+        head[word_at] = slot + len(got) + np.arange(len(words))
+        for a in range(0, len(words), 8192):
+            some = words[a : a + 8192]
             e = self.library.encode(" " + " ".join(some), add_special_tokens=False)
-            ids, ends = e.ids, np.cumsum(np.bincount(np.array(e.word_ids), minlength=len(some))).tolist()
-            if len(ends) != len(some):
+            per = np.bincount(np.array(e.word_ids), minlength=len(some))
+            if len(per) != len(some):
                 raise AssertionError("a word of letters was split")
-            for k, start, end in zip(at[a : a + 4096], [0, *ends], ends, strict=False):
-                got[k] = ids[start:end]
-        for k, head in zip(at, heads, strict=True):
-            if tail := parts[k][len(head) :]:
-                if tail not in self.tails:
-                    self.tails[tail] = self.library.encode(tail, add_special_tokens=False).ids
-                got[k] = got[k] + self.tails[tail]
-        return got
+            flat.append(np.array(e.ids, np.int32))
+            size.append(per.astype(np.int32))
+        self.flat, self.size = np.concatenate([self.flat, *flat]), np.concatenate([self.size, *size])
+        self.head, self.tail = np.concatenate([self.head, head]), np.concatenate([self.tail, tail])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > HELD_PARTS:
             self.clear()
-        index, known = self.index, len(self.index)
-        split: list[list[str] | None] = []
+        known, get, found = len(self.index), self.index.__getitem__, []
         for t in texts:
             if self.odd(t):
-                split.append(None)
+                found.append(None)
                 continue
             parts = t.split(" ")
             parts[0] = " " + parts[0]  # marks the first part, which has no space before it
-            split.append(parts)
-            for p in parts:
-                if p not in index:
-                    index[p] = len(index)
-        if len(index) > known:
-            got = self.encode_parts(list(index)[known:])
-            self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got))])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.int32)])
-        start = np.cumsum(self.size) - self.size
+            found.append(np.fromiter(map(get, parts), np.int32, len(parts)))
+        if len(self.index) > known:
+            self.learn(list(islice(self.index, known, None)))
+        start = np.cumsum(self.size, dtype=np.int64) - self.size
         out = []
-        for t, parts in zip(texts, split, strict=True):
-            if parts is None:
+        for t, k in zip(texts, found, strict=True):
+            if k is None:
                 out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32))
                 continue
-            k = np.fromiter(map(index.__getitem__, parts), np.int64, len(parts))
-            size = self.size[k]
-            end = np.cumsum(size)
-            out.append(self.flat[np.repeat(start[k] - (end - size), size) + np.arange(end[-1] if len(end) else 0)])
+            slots = np.stack([self.head[k], self.tail[k]], axis=1).ravel()
+            size = self.size[slots]
+            end = np.cumsum(size, dtype=np.int64)
+            out.append(self.flat[np.repeat(start[slots] - (end - size), size) + np.arange(end[-1] if len(end) else 0)])
         return out
 
 

@@ -23,7 +23,7 @@ BITS = 64
 #: Fingerprints that the search plan is fitted on (those of smallest hash); every fingerprint is indexed.
 SAMPLE = 4096
 #: Cost of a candidate pair against that of a key row, as measured here.
-PAIR_COST = 0.1
+PAIR_COST = 0.02
 #: Keys with more fingerprints than this are linked by way of midpoints instead of pairs (thresholds of 2 or less).
 HOT = 1024
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
