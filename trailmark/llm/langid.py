@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for b in batches:
+        for b in (whole.slice(a, 256) for whole in batches for a in range(0, whole.num_rows, 256)):
             texts = [letter_words(t) for t in b.column(column).to_pylist()]
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if model is not None:

@@ -26,6 +26,8 @@ SAMPLE = 4096
 PAIR_COST = 0.02
 #: Keys with more fingerprints than this are linked by way of midpoints instead of pairs (thresholds of 2 or less).
 HOT = 1024
+#: A partition's neighbourhood may have so many points at most, and a plan counts as if for so many fingerprints at least.
+MOST_POINTS, LEAST_NODES = 2048, 1024
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -120,7 +122,8 @@ def search_plan(sample: np.ndarray, n: int, threshold: int) -> list[tuple[list[i
             row = []
             for t in range(threshold + 1):
                 chance = max((d <= t).mean() if len(d) else 0.0, ball(len(g), t) / 2 ** len(g))
-                row.append(n * ball(len(g), -(-t // 2)) + PAIR_COST * n * n / 2 * chance)
+                points = ball(len(g), -(-t // 2))
+                row.append(max(n, LEAST_NODES) * points + PAIR_COST * n * n / 2 * chance if points <= MOST_POINTS else float("inf"))
             costs.append(row)
         total, thresholds = allocate(costs, threshold)
         options.append((total, [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]))
