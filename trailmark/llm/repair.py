@@ -8,7 +8,6 @@ each document is a slice of its shard's sequence and is decoded from that slice
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import defaultdict
 from itertools import count, islice
@@ -95,8 +94,7 @@ def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that a (slice of a) sequence stands for."""
+def _unfold(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     seq = seq.astype(np.int64)
     while len(rules) and (seq >= base).any():
         deep = seq >= base
@@ -109,6 +107,23 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return seq
 
 
+def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The ids that a (slice of a) sequence stands for. A long sequence has each rule unfolded once and then copied."""
+    if len(seq) < 4 * len(rules):
+        return _unfold(seq, rules, base)
+    spans = lengths_of(rules, base)
+    ids = np.concatenate([np.arange(base), _unfold(base + np.arange(len(rules)), rules, base)]).astype(np.int32)
+    size = np.concatenate([np.ones(base, np.int64), spans])
+    return _gather(ids, np.cumsum(size) - size, size, seq).astype(np.int64)
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size] of the given slots, one after another."""
+    n = size[slots]
+    end = np.cumsum(n, dtype=np.int64)
+    return flat[np.repeat(start[slots] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+
+
 class Encoder:
     """ids of whole texts by the tokenizers library; parts between single spaces are encoded once and kept.
 
@@ -122,7 +137,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.odd = re.compile(r"\s \s|<\|").search
         self.clear()
 
     def clear(self) -> None:
@@ -130,10 +144,12 @@ class Encoder:
         self.head, self.tail = np.zeros(0, np.int32), np.zeros(0, np.int32)  # slots of each part
         self.flat, self.size = np.zeros(0, np.int32), np.zeros(1, np.int32)  # slot 0 has no ids
         self.tails: dict[str, int] = {"": 0}
+        self.opens, self.closes = np.zeros(0, bool), np.zeros(0, bool)  # parts that begin or end with white space
 
     def learn(self, parts: list[str]) -> None:
         """Encode new parts. Words of Latin letters are encoded as one long text, at a word each."""
         words, word_at, rest, rest_at = [], [], [], []
+        opens, closes = np.zeros(len(parts), bool), np.zeros(len(parts), bool)
         head, tail = np.zeros(len(parts), np.int32), np.zeros(len(parts), np.int32)
         tails, new_tails = self.tails, []
         slot = len(self.size)
@@ -151,6 +167,10 @@ class Encoder:
             else:
                 rest.append(p[1:] if p[:1] == " " else " " + p)
                 rest_at.append(k)
+                if p[:1] == " ":
+                    closes[k] = p[-1:].isspace() and len(p) > 1
+                else:
+                    opens[k], closes[k] = p == "" or p[0].isspace(), p == "" or p[-1].isspace()
         got = [e.ids for e in self.library.encode_batch_fast(new_tails + rest, add_special_tokens=False)]
         flat, size = [np.fromiter((i for x in got for i in x), np.int32)], [np.fromiter(map(len, got), np.int32, len(got))]
         head[rest_at] = slot + len(new_tails) + np.arange(len(rest))
@@ -165,13 +185,14 @@ class Encoder:
             size.append(per.astype(np.int32))
         self.flat, self.size = np.concatenate([self.flat, *flat]), np.concatenate([self.size, *size])
         self.head, self.tail = np.concatenate([self.head, head]), np.concatenate([self.tail, tail])
+        self.opens, self.closes = np.concatenate([self.opens, opens]), np.concatenate([self.closes, closes])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > HELD_PARTS:
             self.clear()
         known, get, found = len(self.index), self.index.__getitem__, []
         for t in texts:
-            if self.odd(t):
+            if "<|" in t:
                 found.append(None)
                 continue
             parts = t.split(" ")
@@ -182,13 +203,10 @@ class Encoder:
         start = np.cumsum(self.size, dtype=np.int64) - self.size
         out = []
         for t, k in zip(texts, found, strict=True):
-            if k is None:
+            if k is None or (self.closes[k[:-1]] & self.opens[k[1:]]).any():
                 out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32))
                 continue
-            slots = np.stack([self.head[k], self.tail[k]], axis=1).ravel()
-            size = self.size[slots]
-            end = np.cumsum(size, dtype=np.int64)
-            out.append(self.flat[np.repeat(start[slots] - (end - size), size) + np.arange(end[-1] if len(end) else 0)])
+            out.append(_gather(self.flat, start, self.size, np.stack([self.head[k], self.tail[k]], axis=1).ravel()))
         return out
 
 
