@@ -15,9 +15,11 @@ SHARD_ROWS = 4096
 LEAF_ROWS = 64
 #: Queries searched at once: they are broadcast, so a block is bounded whatever the number of queries.
 QUERY_BLOCK = 4096
-#: Up to this magnitude, inner products of 64 components are exact in float64.
-EXACT = 1 << 23
-NONE = -(1 << 62)  # below any score
+#: Sums of products below these are exact in float64 and in int64, whatever the order they are added in.
+FLOAT_EXACT, LONG_EXACT = 2.0**52, 2.0**62
+#: No row; and what stands for scores of a long's range or more, which sort right but cannot be returned.
+NONE = -(1 << 63) + 1
+LOW, HIGH = NONE + 1, (1 << 63) - 1
 
 
 def build_tree(ids: np.ndarray, x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> dict:
@@ -58,6 +60,29 @@ def merge(score: np.ndarray, vec: np.ndarray, more: np.ndarray, ids: np.ndarray)
     return np.take_along_axis(s, pick, axis=1), np.take_along_axis(v, pick, axis=1)
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The exact inner products of rows of integers (as float64), held to LOW and HIGH: in float64 where that is exact, else
+    in int64, else in Python integers."""
+    out = np.empty((len(q), len(x)), np.int64)
+    size = q.shape[1] * np.abs(q).max(axis=1) * np.abs(x).max()
+    quick, long = size < FLOAT_EXACT, size < LONG_EXACT
+    if quick.all():
+        return (q @ x.T).astype(np.int64)
+    out[quick] = (q[quick] @ x.T).astype(np.int64)
+    if (some := long & ~quick).any():
+        out[some] = q[some].astype(np.int64) @ x.astype(np.int64).T
+    if not long.all():
+        whole = lambda m: np.array([[int(v) for v in row] for row in m.tolist()], object)
+        got = whole(q[~long]) @ whole(x).T
+        out[~long] = np.minimum(np.maximum(got, LOW), HIGH).astype(np.int64)
+    return out
+
+
+def _packed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers as int32 if all fit, else as they are."""
+    return x.astype(np.int32) if not x.size or np.abs(x).max() < 1 << 31 else x
+
+
 def search_tree(tree: dict, q: np.ndarray, qid: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
     """Improve each query's current k best (score, vec: one row per query, in place) by the rows of one tree.
 
@@ -65,8 +90,11 @@ def search_tree(tree: dict, q: np.ndarray, qid: np.ndarray, score: np.ndarray, v
     stops when a bound falls below its current kth score; at an equal bound a leaf counts only if it holds a smaller id
     than the kth. All queries take a step at a time, so that those at one leaf share one matrix product.
     """
-    bound = q @ tree["centre"].T + np.sqrt((q * q).sum(axis=1))[:, None] * tree["radius"][None, :]
-    bound += 1e-9 * (1 + np.abs(bound))
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm, far = np.sqrt((q * q).sum(axis=1))[:, None], np.sqrt((tree["centre"] ** 2).sum(axis=1))[None, :]
+        bound = q @ tree["centre"].T + norm * tree["radius"][None, :]
+        bound += 1e-9 * (1 + norm * (far + tree["radius"][None, :]))  # beyond the rounding of terms that cancel out
+    bound[np.isnan(bound)] = np.inf
     for n in range(1, bound.shape[1]):  # parents come first
         np.minimum(bound[:, n], bound[:, tree["parent"][n]], out=bound[:, n])
     leaves = np.flatnonzero(tree["leaf"])
@@ -87,12 +115,12 @@ def search_tree(tree: dict, q: np.ndarray, qid: np.ndarray, score: np.ndarray, v
             who, n = go[rows], leaves[where[rows[0]]]
             a, b = tree["a"][n], tree["b"][n]
             ids = tree["ids"][a:b]
-            got = (q[who] @ tree["x"][a:b].T).astype(np.int64)
+            got = products(q[who], tree["x"][a:b])
             own = ids[None, :] == qid[who][:, None]
             got[own] = NONE
             k = score.shape[1]
             if b - a > 4 * k:  # ids ascend in a leaf: a stable sort breaks ties by id
-                top = np.argsort(-got, axis=1, kind="stable")[:, :k] if not own.any() else np.argsort(np.where(own, np.inf, -got.astype(float)), axis=1, kind="stable")[:, :k]
+                top = np.argsort(-got, axis=1, kind="stable")[:, :k]
                 got, ids = np.take_along_axis(got, top, axis=1), ids[top]
             else:
                 ids = np.broadcast_to(ids, got.shape)
@@ -104,12 +132,10 @@ def integer_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     """vec_id, dim, x: components become floor(256 x), x as double; vectors null, empty or with null or non-finite
     components are left out, as are rows of null id."""
     x = F.transform(embedding, lambda v: v.cast("double"))
+    whole = lambda v: F.when(F.abs(v) < F.lit(2.0**53), F.floor(v).cast("double")).otherwise(v)
     ok = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return (
-        rows.where(F.col(vec_id).isNotNull() & (F.size(embedding) > 0) & ok)
-        .select(F.col(vec_id).cast("long").alias("vec_id"), F.size(embedding).alias("dim"), F.transform(x, lambda v: F.floor(v * 256).cast("double")).alias("x"))
-        .where(F.forall("x", lambda v: F.abs(v) < EXACT))
-    )
+    kept = rows.where(F.col(vec_id).isNotNull() & (F.size(embedding) > 0) & ok)
+    return kept.select(F.col(vec_id).cast("long").alias("vec_id"), F.size(embedding).alias("dim"), F.transform(x, lambda v: whole(v * 256)).alias("x"))
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,8 +151,7 @@ def ball_trees(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
         def flush(dim, parts):
             tree = build_tree(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            cols = {k: v.astype(np.int32 if k == "x" else v.dtype) for k, v in tree.items()}
-            return {"dim": dim, **{k: np.ascontiguousarray(v).tobytes() for k, v in cols.items()}}
+            return {"dim": dim, **{k: np.ascontiguousarray(_packed(v) if k == "x" else v).tobytes() for k, v in tree.items()}}
 
         def out(rows):
             return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("dim", pa.int32()), *((k, pa.binary()) for k in TREE)]))
@@ -147,7 +172,7 @@ def ball_trees(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return vectors.mapInArrow(run, ", ".join(["dim int", *(f"{k} binary" for k in TREE)]))
 
 
-TREE = {"ids": np.int64, "x": np.int32, "centre": np.float64, "radius": np.float64, "parent": np.int64, "a": np.int64, "b": np.int64, "leaf": np.bool_, "least": np.int64}
+TREE = {"ids": np.int64, "x": np.uint8, "centre": np.float64, "radius": np.float64, "parent": np.int64, "a": np.int64, "b": np.int64, "leaf": np.bool_, "least": np.int64}
 
 
 def _search(trees: DataFrame, queries, floors, k: int) -> DataFrame:
@@ -167,7 +192,8 @@ def _search(trees: DataFrame, queries, floors, k: int) -> DataFrame:
                     # a floor stands as k places that any row of that score takes
                     states[dim] = [np.repeat(low[:, None], k, axis=1), np.full((len(qid), k), np.iinfo(np.int64).max)]
                 tree = {n: np.frombuffer(row[n], t) for n, t in TREE.items()}
-                tree["x"], tree["centre"] = tree["x"].reshape(-1, dim).astype(float), tree["centre"].reshape(-1, dim)
+                kind = np.int32 if len(tree["x"]) == 4 * dim * len(tree["ids"]) else np.float64  # as _packed() left them
+                tree["x"], tree["centre"] = tree["x"].view(kind).reshape(-1, dim).astype(float), tree["centre"].reshape(-1, dim)
                 search_tree(tree, q.astype(float), qid, *states[dim])
         for dim, (score, vec) in states.items():
             at, col = np.nonzero(vec != np.iinfo(np.int64).max)
@@ -182,8 +208,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int =
     smaller vec_id. ``vectors`` and ``queries`` come from integer_vectors().
 
     A row is no candidate for a query of its own id, nor for one of another dimension. Rows that repeat a vec_id are
-    candidates each; a query id that repeats is searched once. Components beyond 2^23 in magnitude leave their vector
-    out, as inner products would no longer be exact. Queries go in blocks of at most ``query_block`` (broadcast, some
+    candidates each; a query id that repeats is searched once. Scores are exact at any magnitude; one that a long cannot
+    hold raises an error if it is among the k best. Queries go in blocks of at most ``query_block`` (broadcast, some
     MB at most): per block, a first pass over one shard gives each query a floor for its kth score, which all tasks of
     the second pass share and raise as they go from shard to shard. Only k rows per query and task are shuffled.
     """
@@ -203,7 +229,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int =
         by_dim = {}
         for dim in np.unique(dims).tolist():
             at = np.flatnonzero(dims == dim)
-            by_dim[dim] = (ids[at], np.array(x.take(pa.array(at)).to_pylist(), float).astype(np.int32))
+            by_dim[dim] = (ids[at], _packed(np.array(x.take(pa.array(at)).to_pylist(), float)))
         shared, floors = sc.broadcast(by_dim), None
         if parts > 1 and by_dim:
             pilot = _search(trees.limit(1), shared, None, k).groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
@@ -212,7 +238,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int =
         got = _search(trees, shared, floors, k)
         found = got if found is None else found.unionAll(got)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held = F.when((F.col("score") > LOW) & (F.col("score") < HIGH), F.col("score")).otherwise(F.raise_error(F.lit("an inner product exceeds the range of a long")).cast("long"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", held.alias("score"))
 
 
 def op2_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
