@@ -100,6 +100,49 @@ def test_stable_ids(spark):
     assert got == {"NET-a": "NET-x", "NET-c": "NET-c", "NET-y": "NET-y"}
 
 
+def test_shortest_path_of_many_hops(spark):
+    t = transfers(spark, [(f"t{k}", f"n{k:02}", f"n{k + 1:02}", 1) for k in range(16)] + [("back", "n14", "n00", 1)])
+    path = lambda a, b: [r["wallet"] for r in graphs.shortest_path(t, a, b).orderBy("position").collect()]
+    assert path("n00", "n16") == [f"n{k:02}" for k in range(17)]
+    assert path("n00", "n14") == [f"n{k:02}" for k in range(15)]  # against their direction one hop would do
+
+
+def test_communities_settle(spark):
+    edges = [(f"{k:03}", f"{k + 1:03}") for k in range(16)]
+    got = {r["wallet"]: r["community_id"] for r in graphs.communities(spark.createDataFrame([(*e, 1) for e in edges], "a string, b string, weight long")).collect()}
+    of = {w: got.get(w, w) for e in edges for w in e}
+
+    def value(of):
+        inside = sum(of[a] == of[b] for a, b in edges) / len(edges)
+        tot = {}
+        for w in [w for e in edges for w in e]:
+            tot[of[w]] = tot.get(of[w], 0) + 1
+        return inside - sum(t * t for t in tot.values()) / (4 * len(edges) ** 2)
+
+    best = value(of)
+    for a, b in edges:  # no two neighbouring communities gain by merging
+        if of[a] != of[b]:
+            assert value({w: of[a] if c == of[b] else c for w, c in of.items()}) <= best + 1e-9
+
+
+def test_moves_apart(spark):
+    moves = spark.createDataFrame([("u1", "a", "b", 1.0), ("u2", "b", "c", 2.0), ("u3", "c", "d", 3.0), ("u4", "e", "f", 0.5), ("u5", "e", "g", 0.5)], "u string, c string, to string, more double")
+    assert {r["u"] for r in graphs.apart(moves).collect()} == {"u3", "u4"}
+
+
+def test_stable_ids_of_a_long_chain(spark):
+    old, new, n, last = [], [], 0, 52
+    for k in range(last):
+        for fresh, kept, size in ((k, k, 2 * (last - k) + 2), (k + 1, k, 2 * (last - k) + 1)):
+            for _ in range(size):
+                new.append((f"F{fresh:02}", f"m{n}"))
+                old.append((f"K{kept:02}", f"m{n}"))
+                n += 1
+    frame = lambda rows: spark.createDataFrame(rows, "cluster_id string, wallet string")
+    got = {r["default_id"]: r["stable_id"] for r in graphs.stable_ids(frame(new), frame(old)).collect()}
+    assert got == {f"F{k:02}": f"K{k:02}" if k < last else f"F{k:02}" for k in range(last + 1)}
+
+
 @pytest.mark.parametrize(
     ("ins", "outs", "group", "value"),
     [("abc", [1, 1, 1, 1], 4, 1.0), ("ab", [1, 1, 1], 3, 1.0), ("abc", [1, 2, 3, 4], 1, 1.0), ("aaa", [1, 1, 1], 3, 1.0), ("abc", [1.0, 1.005, 1.009, 5.0], 3, 1.0), ("abc", [], 0, 0.0)],

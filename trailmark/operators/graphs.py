@@ -15,6 +15,14 @@ from trailmark.operators.hops import undirected_edges
 from trailmark.plans.shared import cut
 
 
+#: A rise of the modularity below this is taken for rounding.
+LEAST_GAIN = 1e-12
+#: So is a node's gain (in units of weight, rounded to nine digits) over staying of this or less.
+LEAST_MOVE = 5e-9
+#: Rounds whose matches are held apart before they are put together.
+FOLD = 20
+
+
 def star_edges(members: DataFrame, group: str, member: str) -> DataFrame:
     """src, dst: each group's least member to its others; connects what all pairs would, in one row per membership."""
     m = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g is not null and m is not null").distinct()
@@ -29,42 +37,83 @@ def network_clusters(observations: DataFrame, keys=("ip_address", "device_id", "
     return groups.select(F.concat(F.lit("NET-"), "component").alias("cluster_id"), F.col("node").alias("wallet"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 4, levels: int = 2) -> DataFrame:
+def modularity(ends: DataFrame, degree: DataFrame, label: DataFrame, m: float, resolution: float) -> float:
+    """Of the communities (label: u, c) of a graph (ends: u, v, w in both directions, loops once) of total weight m."""
+    inside = ends.join(label, "u").join(label.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").where("c = d")
+    within = inside.agg(F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(F.col("w") / 2))).first()[0] or 0.0
+    squares = label.join(degree, "u").groupBy("c").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") * F.col("tot"))).first()[0] or 0.0
+    return within / m - resolution * squares / (4 * m * m)
+
+
+def best_moves(ends: DataFrame, degree: DataFrame, label: DataFrame, turn, m: float, resolution: float) -> DataFrame:
+    """u, c, to, more: where each node whose turn it is gains most by moving, if it gains (``more`` than by staying)."""
+    size = label.join(degree, "u").groupBy("c").agg(F.sum("k").alias("tot"))
+    near = ends.where("u <> v").join(label.select(F.col("u").alias("v"), F.col("c").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").alias("win"))
+    own = label.join(degree, "u").where(turn)
+    options = near.unionByName(own.select("u", F.col("c").alias("to"), F.lit(0.0).alias("win"))).groupBy("u", "to").agg(F.sum("win").alias("win"))
+    gain = options.join(own, "u").join(size.withColumnRenamed("c", "to"), "to")
+    tot = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
+    gain = gain.withColumn("gain", F.round(F.col("win") - F.lit(resolution) * F.col("k") * tot / (2 * m), 9))
+    stay = F.max(F.when(F.col("to") == F.col("c"), F.col("gain")))
+    best = gain.groupBy("u", "c").agg(F.min_by("to", F.struct((-F.col("gain")).alias("g"), (F.col("to") != F.col("c")).alias("s"), "to")).alias("to"), (F.max("gain") - stay).alias("more"))
+    return best.where((F.col("to") != F.col("c")) & (F.col("more") > LEAST_MOVE))
+
+
+def apart(moves: DataFrame) -> DataFrame:
+    """Of the moves those that gain most (ties: the least node) of all that leave or enter either of their communities."""
+    first = F.struct((-F.col("more")).alias("g"), "u")
+    most = moves.select("u", "more", F.explode(F.array("c", "to")).alias("x")).groupBy("x").agg(F.min(first).alias("first"))
+    a, b = most.select(F.col("x").alias("c"), F.col("first.u").alias("ua")), most.select(F.col("x").alias("to"), F.col("first.u").alias("ub"))
+    return moves.join(a, "c").join(b, "to").where("u = ua and u = ub")
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, max_rounds: int = 10_000) -> DataFrame:
     """community_id, wallet: modularity communities of two or more on weighted undirected edges (a, b, weight).
 
     Louvain's local moving, made parallel: in each round a hashed half of the nodes moves to the neighbouring community of
-    the largest modularity gain (ties: the least label) if it beats staying; then communities become the next level's
-    nodes. Deterministic under any partitioning. Labels are least members, so ids are TXC- and the least wallet.
+    the largest modularity gain (ties: the least label) if it beats staying, the other half in the next round. Where such
+    a pass no longer raises the modularity it is undone, and from then on only moves between communities that no other
+    move of the round touches are made, whose gains add up exactly, until no node gains by moving. Then communities become
+    the next level's nodes, until a level brings no gain. Deterministic under any partitioning. Labels are least members,
+    so ids are TXC- and the least wallet. Each round gains, so all ends; ``max_rounds`` (a level) only guards by raising.
     """
     e = cut(edges.select("a", "b", F.col("weight").cast("double").alias("w")))
     m = e.agg(F.sum("w")).first()[0] or 1.0
     of = e.select(F.explode(F.array("a", "b")).alias("wallet")).distinct().withColumn("node", F.col("wallet"))
-    for _ in range(levels):
+    while True:
         ends = e.select("a", "b", "w").unionAll(e.where("a <> b").select("b", "a", "w"))
         ends = cut(ends.toDF("u", "v", "w").groupBy("u", "v").agg(F.sum("w").alias("w")))
         degree = cut(ends.groupBy("u").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k")))
         label = cut(degree.select("u", F.col("u").alias("c")))
-        moved = 0
-        for r in range(rounds):
-            size = label.join(degree, "u").groupBy("c").agg(F.sum("k").alias("tot"))
-            half = F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0
-            near = ends.where("u <> v").join(label.select(F.col("u").alias("v"), F.col("c").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").alias("win"))
-            own = label.join(degree, "u").where(half)
-            options = near.unionByName(own.select("u", F.col("c").alias("to"), F.lit(0.0).alias("win"))).groupBy("u", "to").agg(F.sum("win").alias("win"))
-            gain = options.join(own, "u").join(size.withColumnRenamed("c", "to"), "to")
-            tot = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-            gain = gain.withColumn("gain", F.round(F.col("win") - F.lit(resolution) * F.col("k") * tot / (2 * m), 9))
-            best = gain.groupBy("u").agg(F.min_by("to", F.struct((-F.col("gain")).alias("g"), (F.col("to") != F.col("c")).alias("s"), "to")).alias("to"))
-            label = cut(label.join(best, "u", "left").select("u", F.coalesce("to", "c").alias("c"), (F.coalesce("to", "c") != F.col("c")).alias("moved")))
-            step = label.where("moved").count()
-            label = label.drop("moved")
-            moved += step
-            if not step and r:
+        reached = modularity(ends, degree, label, m, resolution)
+        held, careful, steps = label, False, 0
+        for r in range(max_rounds):
+            turn = F.lit(True) if careful else F.pmod(F.xxhash64("u", F.lit(r // 2)), F.lit(2)) == r % 2
+            best = best_moves(ends, degree, label, turn, m, resolution)
+            if careful:
+                best = apart(cut(best))
+            best = cut(best.select("u", "to"))
+            step = best.count()
+            steps += step
+            if step:
+                label = cut(label.join(best, "u", "left").select("u", F.coalesce("to", "c").alias("c")))
+            if careful and not step:
                 break
+            if not careful and r % 2:
+                if not steps:
+                    break
+                got = modularity(ends, degree, label, m, resolution)
+                if got > reached + LEAST_GAIN:
+                    held, reached = label, got
+                else:
+                    label, careful = held, True
+                steps = 0
+        else:
+            raise RuntimeError(f"communities did not settle in {max_rounds} rounds")
         name = label.groupBy("c").agg(F.min("u").alias("name"))
         label = cut(label.join(name, "c").select(F.col("u").alias("node"), "name"))
         of = cut(of.join(label, "node").select("wallet", F.col("name").alias("node")))
-        if not moved:
+        if label.where("node <> name").isEmpty():
             break
         la, lb = label.select(F.col("node").alias("a"), F.col("name").alias("na")), label.select(F.col("node").alias("b"), F.col("name").alias("nb"))
         e = cut(e.join(la, "a").join(lb, "b").groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.sum("w").alias("w")))
@@ -76,23 +125,21 @@ def transaction_communities(transfers: DataFrame) -> DataFrame:
     return communities(undirected_edges(transfers).withColumnRenamed("transfers", "weight"))
 
 
-def stable_ids(new: DataFrame, old: DataFrame, group: str = "cluster_id", member: str = "wallet", max_rounds: int = 50) -> DataFrame:
+def stable_ids(new: DataFrame, old: DataFrame, group: str = "cluster_id", member: str = "wallet") -> DataFrame:
     """default_id, stable_id: clusters keep the id of the old cluster that they overlap most, each old id once.
 
     Greedy by overlap: a pair that is the best on both sides is always greedy's choice, so all such pairs are taken at once,
-    round by round. New clusters without a match keep their own id, with a suffix if another cluster took it.
+    round by round until no pair is left (the best pair left is always one). New clusters without a match keep their own id, with a suffix if another cluster took it.
     """
     pairs = new.select(F.col(group).alias("fresh"), F.col(member).alias("m")).join(old.select(F.col(group).alias("kept"), F.col(member).alias("m")), "m")
     left = cut(pairs.groupBy("fresh", "kept").agg(F.count("*").alias("n")))
     taken = []
     order = F.struct((-F.col("n")).alias("n"), (F.col("fresh") != F.col("kept")).alias("d"), F.col("kept"), F.col("fresh"))
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         a = left.groupBy("fresh").agg(F.min(order).alias("o")).select("o.fresh", "o.kept")
         b = left.groupBy("kept").agg(F.min(order).alias("o")).select("o.fresh", "o.kept")
         both = cut(a.join(b, ["fresh", "kept"]))
-        taken.append(both)
+        taken = [cut(reduce(DataFrame.unionAll, [*taken, both]))] if len(taken) >= FOLD else [*taken, both]
         left = cut(left.join(both.select("fresh"), "fresh", "left_anti").join(both.select("kept"), "kept", "left_anti"))
     names = new.select(F.col(group).alias("fresh")).distinct()
     matched = reduce(DataFrame.unionAll, taken) if taken else names.select("fresh", F.col("fresh").alias("kept")).limit(0)
@@ -196,20 +243,18 @@ def propagate_risk(transfers: DataFrame, seeds: list[str], decay: float = RISK_D
     return got.select("wallet", F.pow(F.lit(decay), F.col("hop")).alias("propagated_score"), F.col("hop").alias("hop_distance"), "path")
 
 
-def shortest_path(transfers: DataFrame, start: str, end: str, max_hops: int = 12) -> DataFrame:
+def shortest_path(transfers: DataFrame, start: str, end: str) -> DataFrame:
     """position, wallet of a shortest path, along transfers if there is one, else ignoring their direction; empty if none.
     Ties go to the smaller wallet at each step back from the end."""
     spark = transfers.sparkSession
     flow = cut(transfers.groupBy(F.col("sender").alias("u"), F.col("receiver").alias("v")).agg(F.count("*").alias("n")).select("u", "v"))
     for edges in (flow, flow.unionAll(flow.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()):
         seen = frontier = cut(spark.createDataFrame([(start, None)], "wallet string, parent string"))
-        for _ in range(max_hops):
-            if not seen.where(F.col("wallet") == end).isEmpty() or frontier.isEmpty():
-                break
+        while seen.where(F.col("wallet") == end).isEmpty() and not frontier.isEmpty():
             frontier = cut(edges.join(frontier.select(F.col("wallet").alias("u")), "u").groupBy(F.col("v").alias("wallet")).agg(F.min("u").alias("parent")).join(seen, "wallet", "left_anti"))
             seen = cut(seen.unionAll(frontier))
         path, at = [], end
-        while at is not None and len(path) <= max_hops:
+        while at is not None:
             row = seen.where(F.col("wallet") == at).first()
             if row is None:
                 break
