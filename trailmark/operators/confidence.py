@@ -15,16 +15,23 @@ def confidence(scores: DataFrame, flagged: DataFrame, wallet_entities: DataFrame
     or party of a chain or CoinJoin-like transaction."""
     we = wallet_entities.select("wallet", "entity_id").distinct()
     lead = flagged.select("wallet").distinct().withColumn("lead", F.lit(1))
-    per_entity = we.join(lead, "wallet", "left").groupBy("entity_id").agg(F.count("lead").alias("leads"))
+    # Wallets with the same set of entities form a class, so that a large entity costs pairs of classes and not of wallets.
+    word = F.xxhash64("entity_id")
+    of = we.groupBy("wallet").agg(F.struct(F.count("*").alias("n"), F.bit_xor(word).alias("x"), F.sum(word.cast("decimal(20,0)")).alias("s")).alias("kind"))
+    classes = we.join(of, "wallet").select("kind", "entity_id").distinct()
+    sizes = of.join(lead, "wallet").groupBy("kind").agg(F.count("*").alias("leads"))
+    meet = classes.join(classes.join(sizes, "kind").select(F.col("kind").alias("other"), "entity_id", "leads"), "entity_id").select("kind", "other", "leads").distinct()
+    near = meet.groupBy("kind").agg(F.sum("leads").alias("leads"))
     found = findings.groupBy("entity_id").agg(F.count("*").alias("found"))
-    mine = we.join(lead, "wallet", "left").join(per_entity, "entity_id").join(found, "entity_id", "left")
-    # a wallet's own flag counts in each of its entities, so an entity helps if it holds a flag beyond that one
-    sums = mine.groupBy("wallet").agg(F.max(F.col("leads") - F.coalesce("lead", F.lit(0))).alias("co_flagged"), F.sum(F.coalesce("found", F.lit(0))).alias("findings"))
+    hits = classes.join(found, "entity_id").groupBy("kind").agg(F.sum("found").alias("findings"))
+    # a wallet's own flag counts in its class, so it is taken off
+    sums = of.join(lead, "wallet", "left").join(near, "kind", "left").join(hits, "kind", "left")
+    sums = sums.select("wallet", (F.coalesce("leads", F.lit(0)) - F.coalesce("lead", F.lit(0))).alias("co_flagged"), F.coalesce("findings", F.lit(0)).alias("findings"))
     out = scores.select("wallet", "combined_score").join(sums, "wallet", "left").join(pattern_wallets.select("wallet").distinct().withColumn("in_pattern", F.lit(True)), "wallet", "left")
     out = out.fillna(0, ["co_flagged", "findings"]).fillna(False, ["in_pattern"])
     terms = {
         "combined_score": (F.lit(True), F.lit(CONFIDENCE_COMBINED) * F.col("combined_score"), F.format_string("combined score %.6f", "combined_score")),
-        "entity_co_flagged": (F.col("co_flagged") > 0, F.lit(CONFIDENCE_ENTITY), F.format_string("%d other flagged wallets in an entity", "co_flagged")),
+        "entity_co_flagged": (F.col("co_flagged") > 0, F.lit(CONFIDENCE_ENTITY), F.format_string("%d other flagged wallets share an entity", "co_flagged")),
         "correlation_finding": (F.col("findings") > 0, F.lit(CONFIDENCE_FINDING), F.format_string("%d findings of its entities", "findings")),
         "pattern_membership": ("in_pattern", F.lit(CONFIDENCE_PATTERN), F.lit("part of a peeling chain or CoinJoin-like transaction")),
     }

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from trailmark.config import CONTAMINATION, FEATURES, FOREST_SEED, FOREST_TREES
 from trailmark.operators.features import finite
+from trailmark.operators.ranks import percentiles
+from trailmark.plans.shared import cut
 
 PSI = 256
 NODE = "tree int, node int, feature int, split double, left int, right int, size long"
@@ -87,7 +89,7 @@ def isolation_forest(features: DataFrame, columns=FEATURES, trees: int = FOREST_
             total += depth + average_path(size[at])
         return pd.Series(2.0 ** (-(total / max(len(shared.value), 1)) / norm))
 
-    scored = x.select("wallet", score(*columns).alias("raw"))
-    cut = scored.agg(F.percentile("raw", F.lit(1 - contamination)).alias("cut"))
+    scored = cut(x.select("wallet", score(*columns).alias("raw")))
+    limit = percentiles(scored, {"cut": ("raw", 1 - contamination)})
     flag = F.when(F.col("raw") > F.col("cut"), "Anomalous").otherwise("Normal")
-    return scored.crossJoin(F.broadcast(cut)).select("wallet", F.round("raw", 6).alias("anomaly_score"), flag.alias("anomaly_prediction"))
+    return scored.crossJoin(F.broadcast(limit)).select("wallet", F.round("raw", 6).alias("anomaly_score"), flag.alias("anomaly_prediction"))

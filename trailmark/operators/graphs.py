@@ -265,15 +265,20 @@ def shortest_path(transfers: DataFrame, start: str, end: str) -> DataFrame:
     return spark.createDataFrame([], "position int, wallet string")
 
 
-def time_paths(transfers: DataFrame, within_days: int = 7) -> DataFrame:
-    """a, b, c, d with the three transfers' ids: simple three-hop paths whose times strictly increase within a span of days.
-
-    The joins are on wallet and day bucket, so that only transfers of nearby times meet."""
-    size = within_days * 86_400_000_000
-    t = transfers.select("transaction_id", micros("ts").alias("us"), "sender", "receiver").withColumn("span", F.floor(F.col("us") / size))
-    nxt = lambda k: t.select(F.col("transaction_id").alias(f"t{k}"), F.col("us").alias(f"us{k}"), F.col("sender").alias(f"s{k}"), F.col("receiver").alias(f"r{k}"), F.explode(F.array("span", F.col("span") - 1)).alias("span"))
+def time_paths(transfers: DataFrame, within_days: float | None = None) -> DataFrame:
+    """a, b, c, d with the three transfers' ids: simple three-hop paths whose times strictly increase, within a span of days if one
+    is given. The output has a row per path by definition.
+
+    With a span the joins are on wallet and day bucket, so that only transfers of nearby times meet."""
+    t = transfers.select("transaction_id", micros("ts").alias("us"), "sender", "receiver")
+    if within_days is None:
+        t, later, soon = t.withColumn("span", F.lit(0)), F.array(F.lit(0)), "true"
+    else:
+        size = int(within_days * 86_400_000_000)
+        t, later, soon = t.withColumn("span", F.floor(F.col("us") / size)), F.array("span", F.col("span") - 1), f"us{{k}} < us1 + {size}"
+    nxt = lambda k: t.select(F.col("transaction_id").alias(f"t{k}"), F.col("us").alias(f"us{k}"), F.col("sender").alias(f"s{k}"), F.col("receiver").alias(f"r{k}"), F.explode(later).alias("span"))
     first = t.select(F.col("transaction_id").alias("t1"), F.col("us").alias("us1"), F.col("sender").alias("s1"), F.col("receiver").alias("r1"), "span")
-    a = first.withColumnRenamed("r1", "w").join(nxt(2).withColumnRenamed("s2", "w"), ["w", "span"]).where(f"us2 > us1 and us2 < us1 + {size} and r2 <> s1")
+    a = first.withColumnRenamed("r1", "w").join(nxt(2).withColumnRenamed("s2", "w"), ["w", "span"]).where(f"us2 > us1 and {soon.format(k=2)} and r2 <> s1")
     a = a.withColumnRenamed("w", "b").withColumnRenamed("r2", "w")
-    b = a.join(nxt(3).withColumnRenamed("s3", "w"), ["w", "span"]).where(f"us3 > us2 and us3 < us1 + {size} and r3 <> s1 and r3 <> b")
+    b = a.join(nxt(3).withColumnRenamed("s3", "w"), ["w", "span"]).where(f"us3 > us2 and {soon.format(k=3)} and r3 <> s1 and r3 <> b")
     return b.select(F.col("s1").alias("a"), "b", F.col("w").alias("c"), F.col("r3").alias("d"), "t1", "t2", "t3")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.scalars import contains_text, micros
 from trailmark.operators.features import legs
+from trailmark.operators.ranks import cumulative
 
 
 def transfer_filter(q: str | None = None, sender=None, receiver=None, wallet=None, least=None, most=None, after=None, before=None, source=None) -> Column:
@@ -100,10 +101,11 @@ def geoip(rows: DataFrame, ranges: DataFrame, ip: str = "src_ip", bits: int = 16
     upper = 32 - bits
     cut = ranges.withColumn("_net", F.explode(F.sequence(F.shiftright("start", upper), F.shiftright("end", upper))))
     attrs = [c for c in ranges.columns if c not in ("start", "end")]
-    keyed = rows.withColumn("_n", ipv4_number(ip)).withColumn("_id", F.monotonically_increasing_id())
-    hit = keyed.select("_id", "_n", F.shiftright("_n", upper).alias("_net")).join(cut, "_net").where("_n between start and end")
-    best = hit.groupBy("_id").agg(F.min_by(F.struct(*attrs), F.struct((F.col("end") - F.col("start")).alias("w"), "start")).alias("_g"))
-    return keyed.join(best, "_id", "left").select(*rows.columns, *[F.col(f"_g.{a}").alias(a) for a in attrs])
+    # each distinct address is looked up once and joined back by itself
+    seen = rows.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_n", ipv4_number("_ip"))
+    hit = seen.withColumn("_net", F.shiftright("_n", upper)).join(cut, "_net").where("_n between start and end")
+    best = hit.groupBy("_ip").agg(F.min_by(F.struct(*attrs), F.struct((F.col("end") - F.col("start")).alias("w"), "start")).alias("_g"))
+    return rows.join(best, rows[ip] == best["_ip"], "left").select(*[rows[c] for c in rows.columns], *[F.col(f"_g.{a}").alias(a) for a in attrs])
 
 
 def search(transfers: DataFrame, observations: DataFrame, q: str, limit: int = 10) -> DataFrame:
@@ -147,14 +149,25 @@ def weekly_activity(transfers: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def percentile_rank(values: DataFrame, column: str) -> DataFrame:
-    """wallet, value, percent of wallets with a value at most as high. Ranks come from the (much fewer) distinct values."""
-    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("n").over(W.partitionBy(F.lit(1)))
-    ranks = counts.select("value", (100.0 * upto / total).alias("percent"))
+    """wallet, value, percent of wallets with a value at most as high."""
+    ranks = cumulative(values, [column]).select("value", (100.0 * F.col("upto") / F.col("total")).alias("percent"))
     return values.select("wallet", F.col(column).cast("double").alias("value")).join(ranks, "value").select("wallet", "value", "percent")
 
 
+def descending_rank(values: DataFrame, column: str, name: str = "rank") -> DataFrame:
+    """wallet, value, n (of all), and the value's rank from the highest down (ties share the least rank)."""
+    ranks = cumulative(values, [column]).select("value", F.col("total").alias("n"), (F.col("total") - F.col("upto") + 1).alias(name))
+    return values.select("wallet", F.col(column).cast("double").alias("value")).join(ranks, "value").select("wallet", "value", "n", name)
+
+
+def standout_features(features: DataFrame, columns: list[str], share: float = 0.9) -> DataFrame:
+    """wallet, feature, value, percent: the features of a wallet whose value lies in the population's top tenth (at or above
+    ``share`` of all values), in rows."""
+    ranks = cumulative(features, columns).where(F.col("upto") >= F.lit(share) * F.col("total")).select(F.col("name").alias("feature"), "value", (100.0 * F.col("upto") / F.col("total")).alias("percent"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]))
+    return features.select("wallet", pairs.alias("p")).select("wallet", "p.*").join(ranks, ["feature", "value"])
+
+
 def evidence_matrix(fusion: DataFrame) -> DataFrame:
     """evidence_level by prediction counts."""
     return fusion.groupBy("evidence_level").pivot("anomaly_prediction", ["Anomalous", "Normal"]).count().fillna(0).withColumnsRenamed({"Anomalous": "anomalous", "Normal": "normal"})

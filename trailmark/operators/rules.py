@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from trailmark.config import EVIDENCE_LEVELS, HIGH_PERCENTILE, HIGH_RULES, IMBALANCE_RULE, LOW_PERCENTILE, RULE_TEXTS
 from trailmark.functions.scalars import compact_number
+from trailmark.operators.ranks import percentiles
 
 RATIO = "incoming_outgoing_ratio"
 
 
 def thresholds(features: DataFrame) -> DataFrame:
     """One row: the exact (linearly interpolated) 90th percentile per rule's feature, and both ends of the ratio."""
-    high = [F.percentile(f, F.lit(HIGH_PERCENTILE)).alias(f) for _, f in HIGH_RULES]
-    return features.agg(*high, F.percentile(RATIO, F.lit(HIGH_PERCENTILE)).alias("ratio_high"), F.percentile(RATIO, F.lit(LOW_PERCENTILE)).alias("ratio_low"))
+    high = {f: (f, HIGH_PERCENTILE) for _, f in HIGH_RULES}
+    return percentiles(features, high | {"ratio_high": (RATIO, HIGH_PERCENTILE), "ratio_low": (RATIO, LOW_PERCENTILE)})
 
 
 def _finding(rule: str, feature: str, value, limit, text) -> F.Column:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import clusters, confidence, entities, features, fusion, graphs, graphview, hops, listing, rules, validate
 from trailmark.operators.forest import isolation_forest
+from trailmark.operators.ranks import percentiles
 from trailmark.plans.analysis import analyse, merge_leads, review_status
 from trailmark.plans.shared import cut
 from trailmark.sources import views
 from trailmark.sources.views import sql
 from trailmark.streaming import sessions
 
-SPARSE = 80
 FOCUS = "w000007"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,7 +82,7 @@ SCORED = f"{CORE},\n{LIMITS},\n{FOUND},\n{RULES},\n{MODEL}"
 def _model(f: DataFrame) -> DataFrame:
     """A stand-in model score that SQL can express as well: activity against a constant."""
     m = f.select("wallet", F.round(F.col("transaction_count") / (F.col("transaction_count") + 50.0), 6).alias("anomaly_score"))
-    limit = m.agg(F.percentile("anomaly_score", F.lit(0.9)).alias("cut"))
+    limit = percentiles(m, {"cut": ("anomaly_score", 0.9)})
     return m.crossJoin(F.broadcast(limit)).select("wallet", "anomaly_score", F.when(F.col("anomaly_score") > F.col("cut"), "Anomalous").otherwise("Normal").alias("anomaly_prediction"))
 
 
@@ -100,8 +100,8 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _entities(spark: SparkSession, d: str):
-    ins, outs = views.rich_sides(spark, d, SPARSE)
-    return cut(entities.common_input_entities(ins)), ins, outs, views.flows(spark, d, SPARSE)
+    ins, outs = views.rich_sides(spark, d)
+    return cut(entities.common_input_entities(ins)), ins, outs, views.flows(spark, d)
 
 
 # ---- ledger and features --------------------------------------------------------------------------------------------------
@@ -195,61 +195,63 @@ register("time_paths", sql("WITH u AS (SELECT transaction_id AS i, epoch_us(ts)
 )
 
 # ---- address level --------------------------------------------------------------------------------------------------------
-register("coinjoin", sql(f"WITH {COIN} SELECT * FROM cj WHERE input_count >= 3 AND group_size >= 3", "inp", every=1))(lambda s, d: entities.coinjoin_candidates(entities.coinjoin_metrics(*views.rich_sides(s, d))))
-register("entities_cio", sql(f"WITH {CIO} SELECT * FROM ent", "inp", every=SPARSE, recursive=True))(lambda s, d: entities.common_input_entities(views.rich_sides(s, d, SPARSE)[0]))
-register("entities_without_coinjoin", sql(f"WITH {COIN}, x AS (SELECT transaction_id FROM cj WHERE input_count >= 2 AND group_size >= 1 AND score >= 0.5), {CIO.replace('FROM inp a JOIN inp b USING (transaction_id)', 'FROM inp a JOIN inp b USING (transaction_id) WHERE a.transaction_id NOT IN (SELECT transaction_id FROM x)')} SELECT * FROM ent", "inp", every=SPARSE, recursive=True))(
-    lambda s, d: (lambda i, o: entities.common_input_entities(i, entities.coinjoin_candidates(entities.coinjoin_metrics(i, o), 2, 1).where("score >= 0.5")))(*views.rich_sides(s, d, SPARSE))
+register("coinjoin", sql(f"WITH {COIN} SELECT * FROM cj WHERE input_count >= 3 AND group_size >= 3", "inp"))(lambda s, d: entities.coinjoin_candidates(entities.coinjoin_metrics(*views.rich_sides(s, d))))
+register("entities_cio", sql(f"WITH {CIO} SELECT * FROM ent", "inp", recursive=True))(lambda s, d: entities.common_input_entities(views.rich_sides(s, d)[0]))
+register("entities_without_coinjoin", sql(f"WITH {COIN}, x AS (SELECT transaction_id FROM cj WHERE input_count >= 3 AND group_size >= 3), {CIO.replace('FROM inp a JOIN inp b USING (transaction_id)', 'FROM inp a JOIN inp b USING (transaction_id) WHERE a.transaction_id NOT IN (SELECT transaction_id FROM x)')} SELECT * FROM ent", "inp", recursive=True))(
+    lambda s, d: (lambda i, o: entities.common_input_entities(i, entities.coinjoin_candidates(entities.coinjoin_metrics(i, o))))(*views.rich_sides(s, d))
 )
 
 
-@register("entity_stats", sql(f"WITH {CIO}, a AS (SELECT entity_id, count(*) AS addresses FROM ent GROUP BY 1), b AS (SELECT entity_id, sum(amount) AS total_sent FROM inp JOIN ent USING (address) GROUP BY 1), k AS (SELECT entity_id, count(DISTINCT transaction_id) AS transactions FROM et GROUP BY 1), n AS (SELECT entity_id, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT src_ip) AS ips, array_to_string(list_sort(list(DISTINCT country)), ',') AS countries FROM et JOIN flows USING (transaction_id) GROUP BY 1) SELECT entity_id, addresses, round(total_sent, 2) AS total_sent, 0.0::DOUBLE AS total_received, transactions, first_seen, last_seen, coalesce(ips, 0) AS ips, countries FROM a JOIN b USING (entity_id) JOIN k USING (entity_id) LEFT JOIN n USING (entity_id)", "inp", "flows", every=SPARSE, recursive=True))
+@register("entity_stats", sql(f"WITH {CIO}, a AS (SELECT entity_id, count(*) AS addresses FROM ent GROUP BY 1), b AS (SELECT entity_id, sum(amount) AS total_sent FROM inp JOIN ent USING (address) GROUP BY 1), r AS (SELECT entity_id, sum(amount) AS total_received FROM outp JOIN ent USING (address) GROUP BY 1), k AS (SELECT entity_id, count(*) AS transactions FROM (SELECT entity_id, transaction_id FROM et UNION SELECT entity_id, transaction_id FROM outp JOIN ent USING (address)) GROUP BY 1), n AS (SELECT entity_id, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT src_ip) AS ips, array_to_string(list_sort(list(DISTINCT country)), ',') AS countries FROM et JOIN flows USING (transaction_id) GROUP BY 1) SELECT entity_id, addresses, round(total_sent, 2) AS total_sent, round(coalesce(total_received, 0), 2) AS total_received, transactions, first_seen, last_seen, coalesce(ips, 0) AS ips, countries FROM a JOIN b USING (entity_id) JOIN k USING (entity_id) LEFT JOIN r USING (entity_id) LEFT JOIN n USING (entity_id)", "inp", "flows", recursive=True))
 def entity_stats(s, d):
     e, ins, outs, flows = _entities(s, d)
-    return entities.entity_stats(e, ins, outs, flows).drop("asns").withColumn("countries", F.array_join("countries", ",")).withColumn("total_sent", F.round("total_sent", 2))
+    return entities.entity_stats(e, ins, outs, flows).drop("asns").withColumn("countries", F.array_join("countries", ",")).withColumns({c: F.round(c, 2) for c in ("total_sent", "total_received")})
 
 
-register("entity_ip_links", sql(f"WITH {CIO}, {FIND} SELECT * FROM ipl", "inp", "flows", every=SPARSE, recursive=True))(lambda s, d: (lambda e, i, o, f: entities.entity_ip_links(e, i, f).drop("asn", "country"))(*_entities(s, d)))
-register("entity_links", sql(f"WITH {CIO}, {FIND} SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS shared_ips FROM ipl x JOIN ipl y ON x.src_ip = y.src_ip AND x.entity_id < y.entity_id GROUP BY 1, 2", "inp", "flows", every=SPARSE, recursive=True))(lambda s, d: (lambda e, i, o, f: entities.entity_links(entities.entity_ip_links(e, i, f)))(*_entities(s, d)))
+register("entity_ip_links", sql(f"WITH {CIO}, {FIND} SELECT * FROM ipl", "inp", "flows", recursive=True))(lambda s, d: (lambda e, i, o, f: entities.entity_ip_links(e, i, f).drop("asn", "country"))(*_entities(s, d)))
+register("entity_links", sql(f"WITH {CIO}, {FIND} SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS shared_ips FROM ipl x JOIN ipl y ON x.src_ip = y.src_ip AND x.entity_id < y.entity_id GROUP BY 1, 2", "inp", "flows", recursive=True))(lambda s, d: (lambda e, i, o, f: entities.entity_links(entities.entity_ip_links(e, i, f)))(*_entities(s, d)))
 for _name in ("ip_used_by_several_entities", "entity_many_countries", "entity_many_asns", "entity_unusual_port"):
-    register(f"findings_{_name}", sql(f"WITH {CIO}, {FIND} SELECT * FROM fin WHERE finding = '{_name}'", "inp", "flows", every=SPARSE, recursive=True))(lambda s, d, n=_name: (lambda e, i, o, f: entities.correlation_findings(e, i, f).where(F.col("finding") == n))(*_entities(s, d)))
-register("wallet_entities", sql(f"WITH {CIO} SELECT DISTINCT sender AS wallet, entity_id FROM et JOIN flows USING (transaction_id)", "inp", "flows", every=SPARSE, recursive=True))(lambda s, d: (lambda e, i, o, f: entities.wallet_entities(e, i, f))(*_entities(s, d)))
-register("entity_truth", sql(f"WITH {CIO}, o AS (SELECT entity_id, CAST(right(address, 1) AS VARCHAR) AS owner, count(*) AS n FROM ent GROUP BY ALL) SELECT round((SELECT avg(s) FROM (SELECT max(n) / sum(n) AS s FROM o GROUP BY entity_id)), 6) AS purity, round((SELECT avg(s) FROM (SELECT max(n) / sum(n) AS s FROM o GROUP BY owner)), 6) AS completeness", "inp", every=SPARSE, recursive=True))(
+    register(f"findings_{_name}", sql(f"WITH {CIO}, {FIND} SELECT * FROM fin WHERE finding = '{_name}'", "inp", "flows", recursive=True))(lambda s, d, n=_name: (lambda e, i, o, f: entities.correlation_findings(e, i, f).where(F.col("finding") == n))(*_entities(s, d)))
+register("wallet_entities", sql(f"WITH {CIO} SELECT DISTINCT sender AS wallet, entity_id FROM et JOIN flows USING (transaction_id)", "inp", "flows", recursive=True))(lambda s, d: (lambda e, i, o, f: entities.wallet_entities(e, i, f))(*_entities(s, d)))
+register("entity_truth", sql(f"WITH {CIO}, o AS (SELECT entity_id, CAST(right(address, 1) AS VARCHAR) AS owner, count(*) AS n FROM ent GROUP BY ALL) SELECT round((SELECT avg(s) FROM (SELECT max(n) / sum(n) AS s FROM o GROUP BY entity_id)), 6) AS purity, round((SELECT avg(s) FROM (SELECT max(n) / sum(n) AS s FROM o GROUP BY owner)), 6) AS completeness", "inp", recursive=True))(
     lambda s, d: (lambda e, i, o, f: entities.entity_truth(e, e.select("address", F.expr("right(address, 1)").alias("owner"))).select(F.round("purity", 6).alias("purity"), F.round("completeness", 6).alias("completeness")))(*_entities(s, d))
 )
 WE = "we AS (SELECT DISTINCT sender AS wallet, entity_id FROM et JOIN flows USING (transaction_id))"
+MIXED = "mix AS (SELECT unnest([sender, receiver]) AS wallet, transaction_id FROM ot WHERE transaction_id IN (SELECT transaction_id FROM cj WHERE input_count >= 3 AND group_size >= 3))"
 CONF = f"""{WE}, ld AS (SELECT wallet FROM pr WHERE anomaly_prediction = 'Anomalous' OR priority_level = 'High'),
 co AS (SELECT a.wallet, count(DISTINCT b.wallet) AS k FROM we a JOIN we b ON a.entity_id = b.entity_id AND a.wallet <> b.wallet JOIN ld ON ld.wallet = b.wallet GROUP BY 1),
-fc AS (SELECT wallet, count(*) AS k FROM we JOIN fin USING (entity_id) GROUP BY 1), pw AS (SELECT from_wallet AS wallet FROM hop UNION SELECT to_wallet FROM hop)"""
+fc AS (SELECT wallet, count(*) AS k FROM we JOIN fin USING (entity_id) GROUP BY 1), {MIXED}, pw AS (SELECT from_wallet AS wallet FROM hop UNION SELECT to_wallet FROM hop UNION SELECT wallet FROM mix)"""
 
 
-@register("confidence", sql(f"WITH {SCORED}, {CHAINS}, {CIO}, {FIND}, {CONF} SELECT wallet, round(least(1.0::DOUBLE, 0.55::DOUBLE * combined_score + CASE WHEN co.k > 0 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN fc.k > 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN pw.wallet IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END), 6) AS confidence, coalesce(fc.k, 0) AS findings, pw.wallet IS NOT NULL AS in_pattern FROM pr LEFT JOIN co USING (wallet) LEFT JOIN fc USING (wallet) LEFT JOIN pw USING (wallet)", "t", "legs", "inp", "flows", every=SPARSE, recursive=True))
+@register("confidence", sql(f"WITH {SCORED}, {CHAINS}, {CIO}, {FIND}, {COIN}, {CONF} SELECT wallet, coalesce(co.k, 0) AS co_flagged, round(least(1.0::DOUBLE, 0.55::DOUBLE * combined_score + CASE WHEN co.k > 0 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN fc.k > 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN pw.wallet IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END), 6) AS confidence, coalesce(fc.k, 0) AS findings, pw.wallet IS NOT NULL AS in_pattern FROM pr LEFT JOIN co USING (wallet) LEFT JOIN fc USING (wallet) LEFT JOIN pw USING (wallet)", "t", "legs", "inp", "flows", "ot", recursive=True))
 def confidence_query(s, d):
     e, ins, outs, flows = _entities(s, d)
     ranked = cut(_ranked(s, d))
     t = views.transfers(s, d)
     hops_ = graphs.peeling_hops(t)
-    none = ins.select("transaction_id").limit(0)
-    got = confidence.confidence(ranked, ranked.where("anomaly_prediction = 'Anomalous' or priority_level = 'High'"), entities.wallet_entities(e, ins, flows), entities.correlation_findings(e, ins, flows), confidence.pattern_wallets(hops_, none, t))
-    return got.select("wallet", "confidence", "findings", "in_pattern")
+    mixed = entities.coinjoin_candidates(entities.coinjoin_metrics(ins, outs))
+    got = confidence.confidence(ranked, ranked.where("anomaly_prediction = 'Anomalous' or priority_level = 'High'"), entities.wallet_entities(e, ins, flows), entities.correlation_findings(e, ins, flows), confidence.pattern_wallets(hops_, mixed, views.order_transfers(s, d)))
+    return got.select("wallet", "co_flagged", "confidence", "findings", "in_pattern")
 
 
-@register("typology", sql(f"WITH {CHAINS}, {CIO}, {FIND}, {WE} SELECT wallet, 'peeling' AS tag, min(chain_id) AS reference FROM (SELECT from_wallet AS wallet, chain_id FROM hop UNION ALL SELECT to_wallet, chain_id FROM hop) GROUP BY 1 UNION ALL SELECT wallet, 'correlated_entity', min(entity_id) FROM we WHERE entity_id IN (SELECT entity_id FROM fin) GROUP BY 1", "t", "inp", "flows", every=SPARSE, recursive=True))
+@register("typology", sql(f"WITH {CHAINS}, {CIO}, {FIND}, {WE}, {COIN}, {MIXED} SELECT wallet, 'peeling' AS tag, min(chain_id) AS reference FROM (SELECT from_wallet AS wallet, chain_id FROM hop UNION ALL SELECT to_wallet, chain_id FROM hop) GROUP BY 1 UNION ALL SELECT wallet, 'coinjoin', min(transaction_id) FROM mix GROUP BY 1 UNION ALL SELECT wallet, 'correlated_entity', min(entity_id) FROM we WHERE entity_id IN (SELECT entity_id FROM fin) GROUP BY 1", "t", "inp", "flows", "ot", recursive=True))
 def typology_query(s, d):
     e, ins, outs, flows = _entities(s, d)
     t = views.transfers(s, d)
-    return confidence.typology(graphs.peeling_hops(t), ins.select("transaction_id").limit(0), t, entities.wallet_entities(e, ins, flows), entities.correlation_findings(e, ins, flows))
+    mixed = entities.coinjoin_candidates(entities.coinjoin_metrics(ins, outs))
+    return confidence.typology(graphs.peeling_hops(t), mixed, views.order_transfers(s, d), entities.wallet_entities(e, ins, flows), entities.correlation_findings(e, ins, flows))
 
 
-UTXO_SQL = """WITH i AS (SELECT l_orderkey AS tx, 'a' || CAST(l_partkey % 50 AS VARCHAR) AS address, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem WHERE l_orderkey % 4 = 0),
+UTXO_SQL = """WITH i AS (SELECT l_orderkey AS tx, 'a' || CAST(l_partkey % 50 AS VARCHAR) AS address, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem),
 sa AS (SELECT tx, address, sum(v) AS v FROM i GROUP BY ALL), se AS (SELECT tx, address AS sender FROM (SELECT *, row_number() OVER (PARTITION BY tx ORDER BY v DESC, address) AS k FROM sa) WHERE k = 1),
-oo AS (SELECT tx, row_number() OVER (PARTITION BY tx ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos, 'a' || CAST(l_suppkey % 50 AS VARCHAR) AS address, CAST(l_quantity * 1000 AS BIGINT) AS v FROM (SELECT *, l_orderkey AS tx FROM lineitem WHERE l_orderkey % 4 = 0)),
+oo AS (SELECT tx, row_number() OVER (PARTITION BY tx ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos, 'a' || CAST(l_suppkey % 50 AS VARCHAR) AS address, CAST(l_quantity * 1000 AS BIGINT) AS v FROM (SELECT *, l_orderkey AS tx FROM lineitem)),
 g AS (SELECT tx, address AS receiver, sum(v) AS v, min(pos) AS pos FROM oo WHERE (tx, address) NOT IN (SELECT tx, address FROM sa) GROUP BY ALL)
 SELECT 'btc:' || CAST(tx AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS transaction_id, sender, receiver, CAST(v AS DOUBLE) / 100000000 AS amount FROM g JOIN se USING (tx)"""
 
 
 @register("utxo_normalise", UTXO_SQL)
 def utxo_normalise(s, d):
-    li = views.table(s, d, "lineitem").where("l_orderkey % 4 = 0")
+    li = views.table(s, d, "lineitem")
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     part = F.struct(F.lit(False).alias("is_coinbase"), F.struct(F.concat(F.lit("a"), (F.col("l_partkey") % 50).cast("string")).alias("scriptpubkey_address"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("value")).alias("prevout"))
     out = F.struct(F.concat(F.lit("a"), (F.col("l_suppkey") % 50).cast("string")).alias("scriptpubkey_address"), (F.col("l_quantity") * 1000).cast("long").alias("value"))
@@ -270,8 +272,8 @@ register("pair_flows", sql("SELECT least(sender, receiver) AS a, greatest(sender
 )
 register("real_activity", sql("SELECT wallet, count(*) AS n, round(sum(amount), 4) AS amount FROM legs GROUP BY 1 HAVING count(*) >= 2", "t", "legs"))(lambda s, d: listing.busy_wallets(views.transfers(s, d)).withColumn("amount", F.round("amount", 4)))
 register("overview", sql("SELECT count(*) AS transfers, count(DISTINCT sender) AS senders, count(DISTINCT receiver) AS receivers, round(sum(amount), 2) AS amount, min(ts) AS first_seen, max(ts) AS last_seen FROM t", "t"))(lambda s, d: listing.overview(views.transfers(s, d)).withColumn("amount", F.round("amount", 2)))
-register("geo_wallet", sql("WITH p AS (SELECT sender AS wallet, transaction_id, 'country' AS kind, country AS value FROM flows UNION ALL SELECT sender, transaction_id, 'asn', CAST(asn AS VARCHAR) FROM flows) SELECT wallet, kind, value, count(DISTINCT transaction_id) AS transactions FROM p GROUP BY ALL", "flows", every=1))(lambda s, d: listing.wallet_geo(views.flows(s, d)))
-register("geo_summary", sql("SELECT country, count(DISTINCT transaction_id) AS transactions FROM flows WHERE sender IN (SELECT sender FROM t) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "t", "flows", every=1))(lambda s, d: listing.geo_summary(views.flows(s, d), views.transfers(s, d).select(F.col("sender").alias("wallet"))))
+register("geo_wallet", sql("WITH p AS (SELECT sender AS wallet, transaction_id, 'country' AS kind, country AS value FROM flows UNION ALL SELECT sender, transaction_id, 'asn', CAST(asn AS VARCHAR) FROM flows) SELECT wallet, kind, value, count(DISTINCT transaction_id) AS transactions FROM p GROUP BY ALL", "flows"))(lambda s, d: listing.wallet_geo(views.flows(s, d)))
+register("geo_summary", sql("SELECT country, count(DISTINCT transaction_id) AS transactions FROM flows WHERE sender IN (SELECT sender FROM t) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "t", "flows"))(lambda s, d: listing.geo_summary(views.flows(s, d), views.transfers(s, d).select(F.col("sender").alias("wallet"))))
 GEO_SQL = """WITH r AS (SELECT CAST(n_nationkey AS BIGINT) * 10000000 AS s, CAST(n_nationkey AS BIGINT) * 10000000 + 15000000 AS e, n_name FROM nation), c AS (SELECT c_custkey, (c_custkey * 7919) % 250000000 AS n FROM customer)
 SELECT c_custkey, (SELECT n_name FROM r WHERE n BETWEEN s AND e ORDER BY e - s, s LIMIT 1) AS n_name FROM c"""
 
@@ -302,10 +304,10 @@ register("weekly_activity", sql("WITH z AS (SELECT epoch_us(date_trunc('day', mi
 )
 register("percentile_rank", sql(f"WITH {CORE} SELECT wallet, CAST(fan_in AS DOUBLE) AS value, round(100.0 * cume_dist() OVER (ORDER BY fan_in), 6) AS percent FROM f", "t", "legs"))(lambda s, d: listing.percentile_rank(features.core_features(features.legs(views.transfers(s, d))), "fan_in").withColumn("percent", F.round("percent", 6)))
 register("median_features", sql(f"WITH {CORE} SELECT CAST(median(transaction_count) AS DOUBLE) AS transaction_count, round(median(total_sent_btc), 6) AS total_sent_btc, round(median(dormancy_duration), 6) AS dormancy_duration FROM f", "t", "legs"))(
-    lambda s, d: _features(s, d).agg(F.median("transaction_count").alias("transaction_count"), F.round(F.median("total_sent_btc"), 6).alias("total_sent_btc"), F.round(F.median("dormancy_duration"), 6).alias("dormancy_duration"))
+    lambda s, d: (lambda r: r.select("transaction_count", *[F.round(c, 6).alias(c) for c in ("total_sent_btc", "dormancy_duration")]))(percentiles(_features(s, d), {c: (c, 0.5) for c in ("transaction_count", "total_sent_btc", "dormancy_duration")}))
 )
 register("ml_rank", sql(f"WITH {SCORED} SELECT wallet, ml_score AS value, count(*) OVER () - 0 AS n, rank() OVER (ORDER BY ml_score DESC) AS ml_rank FROM mp", "t", "legs"))(
-    lambda s, d: (lambda m: m.join(m.groupBy("anomaly_score").agg(F.count("*").alias("c")).withColumn("ml_rank", F.expr("sum(c) over (order by anomaly_score desc rows between unbounded preceding and current row) - c + 1")), "anomaly_score").crossJoin(F.broadcast(m.agg(F.count("*").alias("n")))).select("wallet", F.col("anomaly_score").alias("value"), "n", "ml_rank"))(cut(_model(_features(s, d))))
+    lambda s, d: listing.descending_rank(_model(_features(s, d)), "anomaly_score", "ml_rank")
 )
 register("evidence_matrix", sql(f"WITH {SCORED} SELECT evidence_level, count(*) FILTER (anomaly_prediction = 'Anomalous') AS anomalous, count(*) FILTER (anomaly_prediction = 'Normal') AS normal FROM fus GROUP BY 1", "t", "legs"))(lambda s, d: listing.evidence_matrix(_fused(s, d)))
 register("ego_graph", sql(f"WITH p AS (SELECT counterparty AS w FROM legs WHERE wallet = '{FOCUS}' GROUP BY 1 ORDER BY count(*) DESC, sum(amount) DESC, 1 LIMIT 10), n AS (SELECT w FROM p UNION SELECT '{FOCUS}'), q AS (SELECT least(sender, receiver) AS a, greatest(sender, receiver) AS b, count(*) AS transfers, sum(amount) AS amount, sum(CASE WHEN sender < receiver THEN amount ELSE -amount END) AS net FROM t WHERE sender IN (SELECT w FROM n) AND receiver IN (SELECT w FROM n) GROUP BY 1, 2) SELECT CASE WHEN net >= 0 THEN a ELSE b END AS source, CASE WHEN net >= 0 THEN b ELSE a END AS target, transfers, round(amount, 4) AS amount FROM q", "t", "legs"))(

@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that this process has written with ``written``, and not removed.
+_TABLES: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where no folder is set (tests on one machine)."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and everything runs on one machine."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
     if not folder:
+        if held.isEmpty() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='trailmark-')}"
     if held.isEmpty():
         sc.setCheckpointDir(folder)
@@ -30,4 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate as a compressed table in the shared folder and return a scan of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tables_written() -> int:
+    """How many intermediates there are so far; a mark for ``remove_since``."""
+    return len(_TABLES)
+
+
+def remove_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Delete the intermediates written since a mark, but the ``keep`` latest. Only for what no later plan reads."""
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in _TABLES[mark : len(_TABLES) - keep]:
+        path(name).getFileSystem(conf).delete(path(name), True)
+    del _TABLES[mark : len(_TABLES) - keep]
