@@ -27,8 +27,25 @@ def merge_all(word, merges):
     return w
 
 
+def written_out(alphabet, merges):
+    """The whole automaton as the gadget construction makes it, state by state: token -> tokens that may follow."""
+    arcs = {a: set(alphabet) for a in alphabet}
+    for u, v in merges:
+        if v not in arcs.get(u, ()):
+            continue
+        w = u + v
+        state = set(arcs[v])
+        arcs[u].discard(v)
+        for s in [*arcs.values(), state]:
+            if u in s:
+                s.add(w)
+        arcs[w] = state
+    return arcs
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_gadgets_and_arcs(seed):
+    """The table that the query uses, compiled merge by merge, has the arcs of the automaton written out, after every gadget."""
     rng = random.Random(seed)
     tokens, merges = list("abc"), []
     for _ in range(12):
@@ -37,9 +54,14 @@ def test_gadgets_and_arcs(seed):
             tokens.append(u + v)
             merges.append((u, v))
     at = {t: i for i, t in enumerate(tokens)}
+    step = bpe.Table(len(tokens))
+    for k, (u, v) in enumerate(merges):
+        before = written_out(list("abc"), merges[:k])
+        assert (u in before and v in before and step.gadget(at[u], at[v], at[u + v])) == (v in before.get(u, ()))
+        now = written_out(list("abc"), merges[: k + 1])
+        assert all(step.arc(at[s], at[t]) == (t in now[s]) for s in now for t in now)
     a = bpe.Automaton(json.dumps({"added_tokens": [], "model": {"vocab": at, "merges": merges}}))
-    table = bpe.build_gadgets(list("abc"), merges)
-    assert all(a.follows(at[s], at[t]) == (t in table[s]) for s in table for t in table)
+    assert (a.table.made, a.table.default, a.table.beside, a.table.taken) == (step.made, step.default, step.beside, step.taken)
     for _ in range(50):
         word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))
         assert [tokens[i] for i in a.encode(word)] == merge_all(word, merges)

@@ -3,12 +3,14 @@
 Compiling merges one by one (the merge-gadget construction) turns the one-state automaton over base symbols into a
 deterministic one with a state per token, whose arcs say which token may follow which in a proper tokenization. For a
 merge (u, v) -> w, the gadget takes the arc v out of state u, adds an arc w beside every arc u that is left, and gives
-the new state w the arcs that state v had. ``build_gadgets`` does just this, for small vocabularies. With some 50,000
-tokens the full table has billions of arcs, so ``Automaton`` keeps the construction in closed form (each token's parts
-and the step at which its state and arcs were made) and fills in the arcs of the table when words first need them.
+the new state w the arcs that state v has then. Written out, the arcs of some 50,000 tokens would be billions, so ``Table``
+stores a state by what tells it from another one: each gadget adds one row (the state whose arcs the new state copies by
+default, the arc that the new arc stands beside) and one exception (the arc taken out). ``Table.arc`` follows the defaults
+of a state until an exception or the base symbols decide; words' scans keep what they looked up.
 
 A word's tokenization is then the only path through the automaton that spells the word: one left-to-right scan with a
-table lookup per token that matches.
+lookup in the table of symbols (``Table.step``) for each character and one in the table of arcs for each token that matches.
+Decoding emits the labels of the arcs on the path.
 """
 
 from __future__ import annotations
@@ -27,25 +29,62 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import table
 
-#: Distinct words whose encoding a Python worker holds; beyond it, the store starts anew.
+#: Distinct words whose encoding a Python worker holds, and arcs looked up; beyond it, the store starts anew.
 HELD_WORDS, HELD_ARCS = 400_000, 2_000_000
-END = ""  # stands for the end-of-word mark, behind the last symbol
-
+END = "\ue000"  # stands for the end-of-word mark, behind the last symbol
+
+
+class Table:
+    """The compiled automaton over ``size`` tokens. All are base symbols with arcs to each other until a gadget makes them."""
+
+    def __init__(self, size: int):
+        self.made = [-1] * size  # the gadget that made the state, or -1
+        self.default = [-1] * size  # the state whose arcs it copied then
+        self.beside = [-1] * size  # the arc that its arc was added beside
+        self.taken: dict[tuple[int, int], int] = {}  # (state, arc) -> the gadget that took the arc out
+        self.gadgets = 0
+        self.trie: dict[int, int] = {}  # (node, character) -> node
+        self.token = [-1]  # the token that a node spells, or -1
+
+    def gadget(self, u: int, v: int, w: int) -> bool:
+        """Compile the merge (u, v) -> w in; False if v never follows u, so that the merge has nothing to act on."""
+        if not self.arc(u, v):
+            return False
+        self.made[w], self.default[w], self.beside[w] = self.gadgets, v, u
+        self.taken[u, v] = self.gadgets
+        self.gadgets += 1
+        return True
+
+    def arc(self, state: int, arc: int) -> bool:
+        """Whether the state has the arc. Of the two, the one made later says where the arc came from: the state copied it from its
+        default state, or it was put beside another arc of the state; so the question goes back to an earlier automaton."""
+        made, default, beside, taken, limit = self.made, self.default, self.beside, self.taken, self.gadgets
+        while True:
+            if taken.get((state, arc), limit) < limit:
+                return False
+            a, b = made[state], made[arc]
+            if a > b:
+                state, limit = default[state], a
+            elif b > a:
+                u = beside[arc]
+                if state == u == default[arc]:
+                    return False  # u u -> w: once u has no arc u, w is not beside it
+                arc, limit = u, b
+            elif a < 0:
+                return True
+            else:  # the gadget's own state and arc
+                state, arc, limit = default[state], beside[arc], a
 
-def build_gadgets(alphabet: list[str], merges: list[tuple[str, str]]) -> dict[str, set[str]]:
-    """The whole automaton, state by state, as the gadget construction makes it: token -> tokens that may follow."""
-    arcs = {a: set(alphabet) for a in alphabet}
-    for u, v in merges:
-        if v not in arcs.get(u, ()):
-            continue  # v never follows u: the merge has nothing to act on
-        w = u + v
-        state = set(arcs[v])
-        arcs[u].discard(v)
-        for s in [*arcs.values(), state]:
-            if u in s:
-                s.add(w)
-        arcs[w] = state
-    return arcs
+    def label(self, text: str, token: int) -> None:
+        """Let the scan know what a token spells."""
+        node = 0
+        for c in text:
+            key = node << 21 | ord(c)
+            if key not in self.trie:
+                self.trie[key] = len(self.token)
+                self.token.append(-1)
+            node = self.trie[key]
+        self.token[node] = token
 
 
 class Automaton:
@@ -59,76 +98,49 @@ class Automaton:
         name = (lambda s: s[: -len(suffix)] + END if s.endswith(suffix) else s) if suffix else (lambda s: s)
         vocab = model["vocab"]
         self.label = {i: s for s, i in vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
-        n = max(self.label) + 1
-        self.left, self.right, self.born, self.rank = [-1] * n, [-1] * n, [-1] * n, {}
-        dead: set[int] = set()
-        for k, pair in enumerate(model["merges"]):
+        self.table = Table(max(self.label, default=-1) + 1)
+        base, dead = set(vocab.values()), set()
+        for pair in model["merges"]:
             u, v = (vocab[x] for x in (pair if isinstance(pair, list) else pair.split(" ")))
             w = vocab[self.label[u] + self.label[v]]
-            if self.born[w] >= 0 or max(self.born[u], self.born[v]) >= k:
+            if w not in base or w == u or w == v:
                 raise ValueError("merges must make each token once, from tokens made before")
-            if u in dead or v in dead or not self.follows(u, v, k):
-                dead.add(w)  # v never follows u: the merge has nothing to act on
-                continue
-            self.left[w], self.right[w], self.born[w] = u, v, k
-            self.rank[u, v] = k
-        self.match: dict[str, int] = {}  # every prefix of a token -> the token it is, or -1
+            base.discard(w)
+            if u in dead or v in dead or not self.table.gadget(u, v, w):
+                dead.add(w)
         for s, i in vocab.items():
-            s = name(s)
-            for j in range(1, len(s)):
-                self.match.setdefault(s[:j], -1)
-            self.match[s] = -1 if i in dead else i
-        self.arcs: dict[int, bool] = {}
-
-    def follows(self, s: int, t: int, limit: int = 1 << 60) -> bool:
-        """Whether state s has the arc t once the merges of rank below ``limit`` are compiled in.
-
-        Read backwards: the merge of s and t took the arc away; otherwise the later made of the two says where the arc
-        came from: state s copied it from its right part's state, or arc t was put beside the arc of its left part.
-        """
-        left, right, born, rank = self.left, self.right, self.born, self.rank
-        while True:
-            if rank.get((s, t), limit) < limit:
-                return False
-            a, b = born[s], born[t]
-            if a > b:
-                s, limit = right[s], a
-            elif b > a:
-                u = left[t]
-                if s == u == right[t]:
-                    return False
-                t, limit = u, b
-            elif a < 0:
-                return True
-            else:
-                s, t, limit = right[s], left[s], a
+            if i not in dead:
+                self.table.label(name(s), i)
+        self.arcs: dict[int, bool] = {}  # arcs looked up by scans
 
     def encode(self, word: str) -> list[int]:
         """Token ids of one pre-split word, given in the tokenizer's symbols."""
         if self.suffixed:
             word += END
-        n = len(word)
+        n, codes = len(word), list(map(ord, word))
         token, back = [-1] * (n + 1), [0] * (n + 1)
-        match, arcs = self.match, self.arcs
+        go, spelled, arcs = self.table.trie.get, self.table.token, self.arcs
         for i in range(n):
             s = token[i]
             if s < 0 and i:
                 continue
-            for j in range(i + 1, n + 1):
-                t = match.get(word[i:j])
-                if t is None:
+            node = 0
+            for j in range(i, n):
+                node = go(node << 21 | codes[j])
+                if node is None:
                     break
-                if t >= 0 and token[j] < 0:
+                t = spelled[node]
+                if t >= 0 and token[j + 1] < 0:
                     if i:
                         key = s << 20 | t
                         ok = arcs.get(key)
                         if ok is None:
                             if len(arcs) > HELD_ARCS:
                                 arcs.clear()
-                            ok = arcs[key] = self.follows(s, t)
+                            ok = arcs[key] = self.table.arc(s, t)
                         if not ok:
                             continue
-                    token[j], back[j] = t, i
+                    token[j + 1], back[j + 1] = t, i
         out = []
         while n > 0:
             if token[n] < 0:
@@ -178,11 +190,16 @@ class WordTokenizer:
         pattern = said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find, self.find_ascii = regex.compile(pattern).findall, re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r ")).findall
         self.special = {x["content"]: x["id"] for x in said["added_tokens"]}
-        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
+        either = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.split, self.marked = either.split, either.search
+        starts = {x[:2] for x in self.special}
+        if len(starts) == 1:  # a plain search for what they all begin with is faster than the pattern
+            begin = starts.pop()
+            self.marked = lambda text: begin in text
         self.words, self.mapped = _Words(self.automaton, False), _Words(self.automaton, True)
 
     def pieces(self, text: str) -> Iterator[tuple[bytes, str]]:
-        for part in self.split(text) if "<|" in text else (text,):
+        for part in self.split(text) if self.special and self.marked(text) else (text,):
             if part in self.special:
                 yield self.special[part].to_bytes(4, "little"), part
             elif part.isascii():
