@@ -58,3 +58,28 @@ def test_columns(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r["media_sha256"] == hashlib.sha256(media.mux(payload)).hexdigest()
     assert media.probe_media(media.store_media(df.limit(0))).count() == 0
+
+
+def movie(stsc=(1, 1, 1, 1), stsz=(64, 1), offsets=(0,), kind=b"co64", stss=(1,), duration=5):
+    """A file of 64 bytes of media and one track with the given tables."""
+    full, box, u4 = media.full, media.box, lambda *x: struct.pack(f">{len(x)}I", *x)
+    stbl = box(b"stbl", full(b"stsc", u4(*stsc)), full(b"stsz", u4(*stsz)), full(kind, struct.pack(">I", len(offsets)), *(struct.pack(">Q" if kind == b"co64" else ">I", o) for o in offsets)), full(b"stss", u4(len(stss), *stss)))
+    mdhd = box(b"mdhd", b"\1\0\0\0" + bytes(16) + struct.pack(">IQ", 1000, duration) + bytes(4))
+    return bytes(64) + box(b"moov", box(b"trak", box(b"mdia", mdhd, box(b"minf", stbl))))
+
+
+def test_hostile_files_are_errors_of_their_row(spark):
+    """Deep nesting, tables that claim billions of entries, offsets, sizes, durations and sync samples out of range."""
+    nested = b""
+    for _ in range(1500):
+        nested = media.box(b"moov", nested)
+    body = movie()[64:]
+    head = media.box(b"free", bytes(56))
+    hostile = [
+        nested, head + movie(stsz=(1, (1 << 32) - 1))[64:], head + movie(stsz=(0, (1 << 32) - 1))[64:], head + movie(stsc=(1, 1, (1 << 32) - 1, 1))[64:], head + movie(stsc=(2, 1, 1, 1, (1 << 32) - 1, 1, 1))[64:],
+        head + movie(offsets=((1 << 64) - 100,))[64:], head + movie(offsets=(1 << 62,))[64:], head + movie(stss=(0,))[64:], head + movie(stss=(9,))[64:], head + movie(duration=1 << 63)[64:], head + movie(stsc=(1 << 31,))[64:],
+    ]
+    rows = [(k, 1, bytearray(x)) for k, x in enumerate([*hostile, head + body])]
+    got = sorted(media.probe_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect(), key=lambda r: r["doc_id"])
+    assert all(r["error"] and r["payload_sha256"] is None for r in got[:-1]), [r["doc_id"] for r in got[:-1] if not r["error"]]
+    assert got[-1]["error"] is None and got[-1]["payload_bytes"] == 64 and got[-1]["keyframes"][0]["size"] == 64

@@ -68,10 +68,16 @@ def mux(payload: bytes) -> bytes:
     return head + again + mdat + payload
 
 
-def walk(data: memoryview, start: int, end: int, path: tuple = ()):
-    """(path, payload start, payload end) of every box, nested ones after their container."""
-    at = start
-    while at < end:
+def walk(data: memoryview):
+    """(kind, whether inside a track, payload start, payload end) of every box, nested ones after their container, however
+    deep they are nested."""
+    at, ends, tracks = 0, [(len(data), False)], 0
+    while ends:
+        end, track = ends[-1]
+        if at >= end:
+            ends.pop()
+            tracks -= track
+            continue
         if end - at < 8:
             raise ValueError("truncated box header")
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -84,24 +90,27 @@ def walk(data: memoryview, start: int, end: int, path: tuple = ()):
             size = end - at
         if size < head or at + size > end:
             raise ValueError(f"box {kind!r} runs beyond its container")
-        yield (*path, kind), at + head, at + size
+        yield kind, tracks > 0, at + head, at + size
         if kind in CONTAINERS:
-            yield from walk(data, at + head, at + size, (*path, kind))
-        at += size
+            ends.append((at + size, kind == b"trak"))
+            tracks += kind == b"trak"
+            at += head
+        else:
+            at += size
 
 
 def probe(data: bytes) -> list[dict]:
     """Per track: handler, codec, timescale, duration, and arrays of sample offsets, sizes and sync flags.
 
-    Only boxes are read: media payloads are never decoded.
+    Only boxes are read: media payloads are never decoded. Tables that contradict each other or the file's length raise
+    ValueError before anything of a size that they claim is made; samples may not take more bytes than the file has.
     """
     view, tracks = memoryview(data), []
     ints = lambda at, count, kind=">u4": np.frombuffer(view, kind, count, at).astype(np.int64)
-    for path, at, end in walk(view, 0, len(view)):
-        kind = path[-1]
+    for kind, inside, at, end in walk(view):
         if kind == b"trak":
             tracks.append({"handler": "", "codec": "", "timescale": 0, "duration": 0})
-        if not tracks or b"trak" not in path:
+        if not inside:
             continue
         t = tracks[-1]
         if kind == b"mdhd":
@@ -109,31 +118,39 @@ def probe(data: bytes) -> list[dict]:
         elif kind == b"hdlr":
             t["handler"] = bytes(view[at + 8 : at + 12]).decode("latin-1")
         elif kind == b"stsd":
-            t["codec"] = bytes(view[at + 12 : at + 16]).decode("latin-1")
+            t["codec"] = bytes(view[at + 12 : min(at + 16, end)]).decode("latin-1")
         elif kind in (b"stts", b"stsc", b"stss", b"stco", b"co64"):
             (n,) = struct.unpack_from(">I", view, at + 4)
             wide = {b"stts": 2, b"stsc": 3}.get(kind, 1)
+            if at + 8 + n * wide * (8 if kind == b"co64" else 4) > end:
+                raise ValueError(f"the table {kind!r} runs beyond its box")
             got = ints(at + 8, n * wide, ">u8" if kind == b"co64" else ">u4")
             t["stco" if kind == b"co64" else kind.decode()] = got.reshape(-1, wide) if wide > 1 else got
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", view, at + 4)
+            if size * n > len(view) or (not size and at + 12 + 4 * n > end):
+                raise ValueError("the samples have more bytes than the file")
             t["sizes"] = np.full(n, size, np.int64) if size else ints(at + 12, n)
     for t in tracks:
         sizes, chunks, runs = t.get("sizes", np.zeros(0, np.int64)), t.pop("stco", np.zeros(0, np.int64)), t.pop("stsc", np.zeros((0, 3), np.int64))
-        last = np.append(runs[1:, 0], len(chunks) + 1) if len(runs) else np.zeros(0, np.int64)
-        per = np.repeat(runs[:, 1], last - runs[:, 0]) if len(runs) else np.zeros(0, np.int64)
-        if len(per) != len(chunks) or per.sum() != len(sizes):
+        length = np.diff(np.append(runs[:, 0], len(chunks) + 1)) if len(runs) else np.zeros(0, np.int64)
+        if (length < 0).any() or length.sum() != len(chunks) or (len(runs) and runs[0, 0] != 1) or int((runs[:, 1] * length).sum()) != len(sizes):
             raise ValueError("the sample tables disagree")
+        per = np.repeat(runs[:, 1], length)
         ends = np.cumsum(sizes)
-        first = np.cumsum(per) - per
+        first = np.minimum(np.cumsum(per) - per, max(len(sizes) - 1, 0))  # an empty chunk has no first sample
         base = np.repeat((ends - sizes)[first] if len(sizes) else first, per)
         t["sizes"], t["offsets"] = sizes, np.repeat(chunks, per) + (ends - sizes) - base
-        if len(sizes) and ((t["offsets"] + sizes).max() > len(view)):
+        if len(sizes) and (chunks.min() < 0 or chunks.max() > len(view) or (t["offsets"] + sizes).max() > len(view)):
             raise ValueError("a sample lies beyond the file")
         stts = t.pop("stts", np.zeros((0, 2), np.int64))
-        t["duration"] = t["duration"] or int((stts[:, 0] * stts[:, 1]).sum())
+        t["duration"] = t["duration"] or sum(a * b for a, b in stts.tolist())
+        if t["duration"] >= 1 << 63:
+            raise ValueError("the duration is out of range")
         sync = t.pop("stss", None)
         t["keys"] = np.arange(len(sizes)) if sync is None else sync - 1
+        if len(t["keys"]) and (t["keys"].min() < 0 or t["keys"].max() >= len(sizes)):
+            raise ValueError("a sync sample is no sample")
     return tracks
 
 
@@ -188,7 +205,7 @@ def probe_media(media: DataFrame) -> DataFrame:
                     keys = [{"offset": int(o), "size": int(s)} for o, s in zip(t["offsets"][t["keys"]], t["sizes"][t["keys"]], strict=True)]
                     row |= {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["sizes"]), "keyframes": keys, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:])}
                 except (ValueError, struct.error, IndexError) as e:
-                    row["error"] = str(e)
+                    row["error"] = str(e) or "broken"
             keyframe = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
             kinds = kinds or {"codec": pa.string(), "keyframes": keyframe, "payload_sha256": pa.string(), "media_sha256": pa.string(), "error": pa.string()}
             cols = {k: pa.array([r[k] for r in rows], kinds.get(k, pa.int64())) for k in rows[0]} if rows else {}
