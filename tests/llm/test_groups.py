@@ -56,6 +56,14 @@ def test_packing_keeps_everything(spark):
     assert packing.best_fit_pack(packing.document_items(df.limit(0))).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark):
+    rows = [(1, "a b c", "s")] * 900 + [(k, "a b c", "s") for k in range(2, 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.best_fit_pack(packing.document_items(df), items_per_shard=100).collect()
+    shards = [r["shard"] for r in got if r["doc_id"] == 1]
+    assert len(got) == len(rows) and len(shards) == 900 and max(map(shards.count, set(shards))) < 200
+
+
 def test_lpt_against_heap():
     rng = random.Random(2)
     sizes = sorted((rng.randint(1, 99) for _ in range(200)), reverse=True)
@@ -69,6 +77,32 @@ def test_lpt_against_heap():
     assert sharding.lpt(sizes, [0.0] * 7) == want
 
 
+def test_bucketed_schedule_against_brute_force(spark):
+    """The query's assignment with several buckets: each bucket is a plain LPT schedule that starts from its fraction of the
+    large groups' loads, and together the shards come out even."""
+    rng = random.Random(6)
+    sizes = {f"{k:05d}".encode(): rng.choice([rng.randint(20, 300), 100]) for k in range(3000)} | {b"big%d" % k: 40_000 + k for k in range(5)}
+    df = spark.createDataFrame([(bytearray(k), v) for k, v in sizes.items()], "key binary, total long").repartition(6)
+    got = {bytes(r["key"]): r["shard"] for r in sharding.assign_groups(df, 8, 400).collect()}
+    buckets = {bytes(r["key"]): r["b"] for r in df.selectExpr("key", "cast(pmod(xxhash64(key), 8) as int) as b").collect()}
+    limit = sum(sizes.values()) // (8 * sharding.LARGE_SHARE)
+    large = sorted((k for k in sizes if sizes[k] > limit), key=lambda k: (-sizes[k], k))
+    assert len(large) == 5 and -(-(len(sizes) - len(large)) // 400) == 8
+    loads = [0.0] * 8
+    for k in large:
+        s = loads.index(min(loads))
+        assert got[k] == s
+        loads[s] += sizes[k]
+    for b in range(8):
+        order, mine = [(b + k) % 8 for k in range(8)], [x / 8 for x in loads]
+        for k in sorted((k for k in sizes if buckets[k] == b and k not in large), key=lambda k: (-sizes[k], k)):
+            s = min(order, key=lambda x: (mine[x], order.index(x)))
+            assert got[k] == s
+            mine[s] += sizes[k]
+    total = [sum(v for k, v in sizes.items() if got[k] == s) for s in range(8)]
+    assert max(total) - min(total) < 0.02 * max(total)
+
+
 def test_sharding(spark):
     rng = random.Random(3)
     rows = [(i, "t%d " % rng.randrange(300) * rng.randint(1, 30)) for i in range(2000)] + [(9000 + i, "hot text") for i in range(1000)] + [(1, None), (2, ""), (None, "ü"), (None, "ü"), (7, "big" * 40_000)]

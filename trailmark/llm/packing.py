@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import WORD, spread, table
+from trailmark.llm.common import WORD, spread, table, written
 
 CAPACITY = 2048
 ITEMS_PER_SHARD = 4096
@@ -119,7 +119,9 @@ def best_fit_pack(
     longer than the capacity are cut into full pieces, each a bin of its own, and a rest; items of null or no length
     take no part. Null sources and null clusters conflict with nothing. Items are dealt by a hash of all their values
     into shards of about ``items_per_shard``, packed apart; within a shard longest first, ties by cluster, document
-    and start; a bin's number counts within its shard. Other columns of ``items`` are ignored.
+    and start; a bin's number counts within its shard. Items equal in all values are one row with a count until they are
+    dealt, each copy by its number, so that no shard gets them all. Other columns of ``items`` are ignored; no items give
+    no rows.
     """
     it = items.select(
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -130,8 +132,10 @@ def best_fit_pack(
         else F.lit(None).cast("long").alias("cluster"),
         (F.col(cluster).isNull() if cluster else F.lit(True)).alias("free"),
     ).where("total > 0")
-    n = it.agg(F.count("*")).first()[0]
+    it = written(it.groupBy("doc_id", "total", "source", "cluster", "free").agg(F.count("*").alias("n")), "packing-items")
+    n = it.agg(F.sum("n")).first()[0] or 0
     shards = spread(n, items_per_shard)
+    it = it.withColumn("copy", F.explode(F.expr("sequence(1L, n)")))
     pieces = it.withColumn("piece", F.explode(F.expr(f"sequence(0, cast((total - 1) div {capacity} as int))"))).select(
         "doc_id",
         "piece",
@@ -139,7 +143,7 @@ def best_fit_pack(
         F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("piece") * F.lit(capacity).cast("long")).alias("length"),
         "source",
         F.when(~F.col("free"), F.col("cluster")).alias("cluster"),
-        F.expr(f"cast(pmod(xxhash64(doc_id, total, cluster, piece), {shards}) as int)").alias("shard"),
+        F.expr(f"cast(pmod(xxhash64(doc_id, total, cluster, piece, copy), {shards}) as int)").alias("shard"),
     )
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
