@@ -9,7 +9,7 @@ from trailmark.llm import substrings
 
 def brute(rows, window):
     seen, out = set(), {}
-    for i, t in sorted(rows, key=lambda r: (1 << 60 if r[0] is None else r[0], r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (-(1 << 70) if r[0] is None else r[0], r[1] or "")):
         w = (t or "").encode().split()
         gone = set()
         for a in range(len(w) - window + 1):
@@ -34,9 +34,9 @@ def test_against_brute_force(spark, window, chunk_bytes):
             w += rng.choice(passages) if rng.random() < 0.4 else [rng.choice(vocab) for _ in range(rng.randint(1, 30))]
         rows.append((i, rng.choice([" ", "\n", " \t"]).join(w)))
     rows += [(100, None), (101, "  "), (102, "again " * 500), (103, "again " * 500), (-5, " ".join(passages[0])), (1 << 40, " ".join(passages[1])), (None, " ".join(passages[2]))]
-    df = spark.createDataFrame([(*r, 7, "k") for r in rows], "doc_id long, text string, part int, kind string").repartition(5)
+    df = spark.createDataFrame([(*r, 7, "k", 1, 2) for r in rows], "doc_id long, text string, part int, kind string, `_chunk` int, chunk int").repartition(5)
     got = substrings.substring_dedup(df, window, chunk_bytes)
-    assert got.columns == ["doc_id", "text", "part", "kind", "n_words", "n_removed", "kept"]
+    assert got.columns == ["doc_id", "text", "part", "kind", "_chunk", "chunk", "n_words", "n_removed", "kept"]
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()} == brute(rows, window)
 
 

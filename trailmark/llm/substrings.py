@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import spread, table
+from trailmark.llm.common import free_name, spread, table
 
 WINDOW = 20
 CHUNK_BYTES = 6 << 20
@@ -52,9 +52,9 @@ class Chunk:
     def __init__(self, docs: pa.Table, plan: Plan):
         self.plan = plan
         ids, text = docs.column("doc_id"), docs.column("text")
-        self.order = pa.compute.sort_indices(pa.table({"i": ids, "t": text}), sort_keys=[("i", "ascending"), ("t", "ascending")])
+        self.order = pa.compute.sort_indices(pa.table({"i": ids, "t": text}), sort_keys=[("i", "ascending"), ("t", "ascending")], null_placement="at_start")
         ids, text = ids.take(self.order), text.take(self.order).cast(pa.large_binary())
-        self.ids = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
+        self.ids = ids.fill_null(np.iinfo(np.int64).min).to_numpy()
         hashes, parts, self.words, counts = _Hashes(), [], [], []
         for t in text.to_pylist():
             w = t.split() if t else []
@@ -193,7 +193,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
 
     Words are runs of characters other than space and the controls 9 to 13, unchanged. A word goes if a window of
     ``window`` words that covers it starts earlier elsewhere: in a document of smaller doc_id, or earlier in the same
-    one; all windows are judged on the input. Null texts have no words (kept: empty). Null doc_ids come last. Rows that
+    one; all windows are judged on the input. Null texts have no words (kept: empty). Null doc_ids come first. Rows that
     repeat a doc_id count in the order of start, then of chunk; rows equal in doc_id and text share a chunk and count in
     the order read. Extra columns are kept as they are, whatever their names (but n_words, n_removed, kept, which are replaced).
     """
@@ -201,15 +201,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan(window, max(1, total // 6))
     chunks = spread(total, chunk_bytes)
-    dealt = docs.withColumn("_chunk", F.expr(f"cast(pmod(xxhash64(doc_id, text), {chunks}) as int)"))
-    key = dealt.groupBy("_chunk")
+    chunk = free_name(docs, "chunk")
+    dealt = docs.withColumn(chunk, F.expr(f"cast(pmod(xxhash64(doc_id, text), {chunks}) as int)"))
+    key = dealt.groupBy(chunk)
 
     def sketch(rows: pa.Table) -> pa.Table:
-        return _notes(rows.column("_chunk")[0].as_py(), 0, Chunk(rows, plan).sketch())
+        return _notes(rows.column(chunk)[0].as_py(), 0, Chunk(rows, plan).sketch())
 
     def places(rows: pa.Table, notes: pa.Table) -> pa.Table:
         c = Chunk(rows, plan)
-        return _notes(rows.column("_chunk")[0].as_py(), 0, c.places(c.earliest(c.estimated(_bits(notes, 1)))))
+        return _notes(rows.column(chunk)[0].as_py(), 0, c.places(c.earliest(c.estimated(_bits(notes, 1)))))
 
     def remove(rows: pa.Table, notes: pa.Table) -> pa.Table:
         c = Chunk(rows, plan)
@@ -225,7 +226,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
         kept = []
         for words, a, n, r in zip(c.words, c.first.tolist(), c.counts.tolist(), n_removed.tolist(), strict=True):
             kept.append(b" ".join(words if not r else [w for w, g in zip(words, gone[a : a + n].tolist(), strict=True) if not g]))
-        table_ = rows.take(c.order).drop_columns(["_chunk"])
+        table_ = rows.take(c.order).drop_columns([chunk])
         return table_.append_column("n_words", pa.array(c.counts)).append_column("n_removed", pa.array(n_removed)).append_column("kept", pa.array(kept, pa.binary()).cast(pa.string()))
 
     np.seterr(over="ignore")
