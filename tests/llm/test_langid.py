@@ -41,3 +41,53 @@ def test_odd_rows(spark):
     none = df.limit(0)
     assert langid.fit(none, langid.default_vocabulary()) is None
     assert langid.predict(none, None).count() == 0 and {r["lang_pred"] for r in langid.predict(df, None).collect()} == {"und"}
+
+
+def test_predictions_against_brute_force(spark):
+    """The query's language and score: every word's probability summed over its segmentations one by one, in plain Python."""
+    rows = [(k, "der hund und die katze essen brot", "de") for k in range(10)] + [(k, "the dog and the cat eat bread", "en") for k in range(10, 20)] + [(k, "el perro y el gato comen pan", "es") for k in range(20, 30)]
+    texts = ["the katze", "und y and", "Brot, bread & pan!", "qqq zzz", "x²y ½", "日本 hund", "a" * 70]
+    df = spark.createDataFrame(rows + [(100 + k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit(df, langid.default_vocabulary())
+
+    def word(w, k):
+        w, floor = langid.START + w, len(model.prob) - 1
+
+        def rest(i):
+            if i == len(w):
+                return 1.0
+            total, single = 0.0, False
+            for j in range(i + 1, len(w) + 1):
+                p = model.match.get(w[i:j])
+                if p is not None and p >= 0:
+                    single |= j == i + 1
+                    total += model.prob[p, k] * tails[j]
+            return total + (0 if single else model.prob[floor, k] * tails[i + 1])
+
+        tails = {}
+        for i in range(len(w), -1, -1):
+            tails[i] = rest(i)
+        return math.log(max(tails[0], 1e-300))
+
+    got = {r["doc_id"]: r for r in langid.predict(df, model).collect()}
+    for k, t in enumerate(texts):
+        runs = ["x", "y"] if t == "x²y ½" else [w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+        parts = [w[a : a + langid.LONGEST] for w in runs for a in range(0, len(w), langid.LONGEST)]
+        sums = [sum(word(w, j) for w in parts) for j in range(len(model.langs))]
+        best = max(range(len(sums)), key=lambda j: (sums[j], -j))
+        assert got[100 + k]["lang_pred"] == model.langs[best]
+        assert got[100 + k]["score"] == pytest.approx(1 / sum(math.exp(s - sums[best]) for s in sums))
+
+
+def test_letters_and_labels(spark):
+    """Numerals are no letters, so such a text has no language; labels beyond the bound are not learned."""
+    rows = [(k, f"word{chr(97 + k % 3)} text", f"l{k % 3}") for k in range(30)] + [(40, "½ ² ① Ⅷ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, langid.default_vocabulary())
+    assert model.langs == ["l0", "l1", "l2"] and {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, model).collect()}[40] == "und"
+    most = langid.MOST_LABELS
+    langid.MOST_LABELS = 2
+    try:
+        assert len(langid.fit(df, langid.default_vocabulary()).langs) == 2
+    finally:
+        langid.MOST_LABELS = most

@@ -7,7 +7,6 @@ pieces, by the forward algorithm; a text's is the product over its words. Models
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import cut, table
+from trailmark.llm.common import cut, letter_runs, table
 
 UNKNOWN = "und"
 #: Labelled documents per language that models are fitted on (expected number, drawn by a hash of doc_id).
@@ -24,14 +23,18 @@ ROUNDS = 2
 #: Letter runs beyond this length are read in parts of it.
 LONGEST = 32
 HELD_WORDS = 300_000
+#: Labels that are learned: those with the most documents (ties: in alphabetical order). It bounds the model's size.
+MOST_LABELS = 200
 SMOOTH, FLOOR = 0.1, 1e-9
-LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 START = "▁"
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return LETTERS.findall(text.lower()) if text else []
+    """Lower-cased runs of letters (Unicode category L), those beyond LONGEST in parts of it."""
+    words = letter_runs(text.lower()) if text else []
+    if words and max(map(len, words)) > LONGEST:
+        return [w[a : a + LONGEST] for w in words for a in range(0, len(w), LONGEST)]
+    return words
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -122,10 +125,11 @@ def held_out():
 
 
 def fit(docs: DataFrame, path: str, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model | None:
-    """Models of all labels that occur in documents which are not held out; None if there are none."""
+    """Models of the labels (MOST_LABELS at most) that occur in documents which are not held out; None if there are none. A label
+    is learned from about ``train_docs`` of its documents, drawn by a hash of doc_id; a null text or label does not count."""
     spark = docs.sparkSession
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()}
     if not sizes:
         return None
     langs, match = sorted(sizes), vocabulary(path)
@@ -174,8 +178,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred and score (the posterior of that language, uniform prior).
 
     Only the text counts. ``und`` and 0.0 for null texts and texts without a letter (or if no language was learned);
-    ties go to the first language in alphabetical order. Columns named lang_pred and score are replaced. Whole texts of
-    any length are read; scores of words are kept per Python worker, up to a bound.
+    ties go to the first language in alphabetical order. Letters are those of Unicode's category L; runs of more than LONGEST
+    letters are read in parts of it. Columns named lang_pred and score are replaced, others stay as they are. Repeated rows
+    get equal values; an empty table gives an empty one. Whole texts of any length are read; scores of words are kept per
+    Python worker, up to a bound.
     """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
