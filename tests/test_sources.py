@@ -123,3 +123,66 @@ def test_session_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("sess").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["first_at"].hour, r["n"]) for r in spark.sql("select * from sess").collect()} == {(0, 2), (5, 1)}
+
+
+def test_session_stream_with_late_rows(spark, tmp_path):
+    """Rows in any order over several batches: the last update per session is what the batch operator finds."""
+    import random
+
+    rng, src = random.Random(4), str(tmp_path / "obs")
+    schema = "device_id string, observation_id string, observed_at timestamp_ntz"
+    rows = [(rng.choice("abc"), str(k), datetime(2025, 1, 1 + rng.randrange(9), rng.randrange(24), rng.randrange(60))) for k in range(120)]
+    (tmp_path / "obs").mkdir()
+    stream = sessions.stream_sessions(spark.readStream.schema(schema).parquet(src))
+    latest = {}
+
+    def keep(batch, _):
+        for r in batch.collect():
+            latest[r["device_id"], r["session_id"]] = (r["first_at"], r["last_at"], r["n"])
+
+    for k in range(0, 120, 40):
+        spark.createDataFrame(rows[k : k + 40], schema).coalesce(1).write.mode("append").parquet(src)
+        stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    want = {(r["device_id"], r["first_at"], r["last_at"], r["n"]) for r in sessions.sessions(spark.createDataFrame(rows, schema)).collect()}
+    assert {(d, *v) for (d, _), v in latest.items() if v[2]} == want
+
+
+def test_inbox_limits_csv_and_failures(spark, tmp_path):
+    box, ledger, rejects, cp = (str(tmp_path / x) for x in ("in", "ledger", "rejects", "cp"))
+    (tmp_path / "in").mkdir()
+    head = "transaction_id,source_ref,ts,sender,receiver,amount,input_count,output_count\n"
+    (tmp_path / "in" / "a.csv").write_text(head + "t1,,2025-01-01T00:00:00,a,b,1.5,1,1\n")
+
+    def fail(_):
+        raise RuntimeError("no analysis")
+
+    monitor.monitor(spark, box, ledger, rejects, cp, after=fail).awaitTermination()
+    assert [(r["error"], r["message"], r["ledger_rows"]) for r in monitor.failures(spark, cp).collect()] == [("RuntimeError", "no analysis", 1)]
+    rows = [(f"x{k}", None, datetime(2025, 1, 1), "a", "b", 1.0, 1, 1, f, n) for f, n, c in (("big", 11 << 20, 1), ("long", 10, 3), ("fine", 10, 2)) for k in range(c)]
+    batch = spark.createDataFrame(rows, monitor.INBOX + ", file string, file_bytes long")
+    monitor.absorb(batch, 7, ledger, rejects, most_rows=2)
+    assert {r["transaction_id"] for r in monitor.known(spark, ledger).collect()} == {"t1", "x0", "x1"}
+    assert {r["reason"] for r in spark.read.parquet(rejects).where("batch = 7").collect()} == {"big has 11534336 bytes", "long has 3 rows"}
+
+
+def test_observation_files_and_guards(spark, tmp_path):
+    from trailmark.sources import files
+
+    row = ("obs-1-S", "t1", "a", "1.2.3.4", "dev-1", "ua", "wifi", "sess-1", "EU", datetime(2025, 1, 1, 0, 0, 9), "made", True)
+    df = spark.createDataFrame([row], schemas.OBSERVATION)
+    files.write_observations(df, str(tmp_path / "obs"))
+    assert [tuple(r) for r in files.read_observations(spark, str(tmp_path / "obs")).collect()] == [row]
+    transfers = spark.createDataFrame([("t1", datetime(2025, 1, 1), "a", "b")], "transaction_id string, ts timestamp_ntz, sender string, receiver string")
+    seen = df.withColumnRenamed("wallet_address", "wallet")
+    bad = seen.selectExpr("observation_id", "'zz' as transaction_id", "wallet", "ip_address", "device_id", "observed_at").unionAll(seen.selectExpr("'obs-1-R'", "transaction_id", "wallet", "ip_address", "device_id", "observed_at"))
+    every = bad.unionAll(seen.select(*bad.columns))
+    assert sorted(r["reasons"] for r in validate.check_observations(every, transfers).collect()) == ["", "unknown transaction", "wallet is not that party of the transaction"]
+    (tmp_path / "x.json").write_bytes(b"\xff\xfe\x00[")
+    with pytest.raises(ValueError, match="UTF-8"):
+        files.guard(spark, str(tmp_path / "x.json"))
+    with pytest.raises(ValueError, match="at most 1"):
+        files.guard_records(spark.range(2), 1)
+    blocks = spark.createDataFrame([("a", (5,), 0), ("b", (5,), 1), ("c", (6,), 0)], "txid string, status struct<block_height: bigint>, index int")
+    assert {r["txid"] for r in files.block_slice(blocks, 1, 5).collect()} == {"c"} and {r["txid"] for r in files.block_slice(blocks, per_block=1, heights=[5]).collect()} == {"a"}
+    with pytest.raises(ValueError, match="7"):
+        files.block_slice(blocks, heights=[5, 7])

@@ -45,7 +45,7 @@ def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 
 
 def isolation_forest(features: DataFrame, columns=FEATURES, trees: int = FOREST_TREES, contamination: float = CONTAMINATION, seed: int = FOREST_SEED) -> DataFrame:
-    """wallet, anomaly_score, anomaly_prediction for wallets whose features are all defined.
+    """wallet, anomaly_score, anomaly_prediction for wallets (one row each, or it raises) whose features are all defined.
 
     A tree's sample is the ``PSI`` wallets of least hash of (wallet, tree, seed), so results do not depend on the
     partitioning. Only rows under a hash threshold that leaves about four times as many are ranked. The grown forest is
@@ -54,7 +54,9 @@ def isolation_forest(features: DataFrame, columns=FEATURES, trees: int = FOREST_
     spark = features.sparkSession
     columns = list(columns)
     x = features.where(finite(columns)).select("wallet", *[F.col(c).cast("double").alias(c) for c in columns])
-    n = x.agg(F.count("*")).first()[0]
+    n, wallets = x.agg(F.count("*"), F.count_distinct("wallet")).first()
+    if n != wallets:
+        raise ValueError("a wallet has more than one row of features")
     psi = min(PSI, n)
     share = min(1.0, 4 * psi / max(n, 1))
     draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("wallet", t, F.lit(seed)).alias("h")))

@@ -27,26 +27,72 @@ def _edge(df: DataFrame, kind: str, source, target, *data: str) -> DataFrame:
     return df.select(F.concat_ws("", F.lit(f"{kind}:"), s, F.lit("->"), t).alias("id"), s.alias("source"), t.alias("target"), F.lit(kind).alias("type"), (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("data"))
 
 
-def wallet_graph(transfers: DataFrame, observations: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int = 150) -> tuple[DataFrame, DataFrame]:
+def focus_wallets(kind: str, value: str, transfers: DataFrame, observations: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """The seed wallets of a focus: a wallet itself, a transaction's parties, whoever an address, device or session was seen with, or a
+    cluster's members. (Cases have seeds of their own, see case_seeds.)"""
+    if kind == "wallet":
+        return transfers.sparkSession.createDataFrame([(value,)], "wallet string")
+    if kind == "transaction":
+        return transfers.where(F.col("transaction_id") == value).select(F.explode(F.array("sender", "receiver")).alias("wallet")).distinct()
+    if kind == "cluster" and clusters is not None:
+        return clusters.where(F.col("cluster_id") == value).select("wallet").distinct()
+    column = {"ip": "ip_address", "device": "device_id", "session": "session_id"}[kind]
+    return observations.where(F.col(column) == value).select("wallet").distinct()
+
+
+def wallet_graph(transfers: DataFrame, observations: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int = 150, single: bool = False, types: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around seed wallets: wallets up to ``depth`` steps off (strongest links first, capped), aggregated
-    ``sent_to`` edges, the addresses and devices seen with them, and ``same_device`` pairs. Edge ids are unique."""
+    ``sent_to`` edges (or, with ``single``, a node per transfer with ``sent`` and ``received_by`` edges), the addresses, devices and
+    sessions seen with them, and ``same_device`` and ``same_session`` pairs; edges of the given types only. Edge ids are unique."""
     if not (0 <= depth <= DEPTH_CAP and 1 <= max_nodes <= NODE_CAP):
         raise ValueError(f"depth is at most {DEPTH_CAP}, nodes at most {NODE_CAP}")
     inside = cut(expand(cut(undirected_edges(transfers)), seeds, depth, max_nodes).select("wallet", "hop"))
     members = F.broadcast(inside.select("wallet"))
     t = transfers.join(members.withColumnRenamed("wallet", "sender"), "sender", "left_semi").join(members.withColumnRenamed("wallet", "receiver"), "receiver", "left_semi")
-    sent = t.groupBy("sender", "receiver").agg(F.count("*").alias("transfers"), F.sum("amount").alias("amount"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     o = observations.join(members, "wallet", "left_semi")
     ip, dev = (o.where(f"{c} is not null").groupBy("wallet", c).agg(F.count("*").alias("n")) for c in ("ip_address", "device_id"))
     link = o.where("ip_address is not null and device_id is not null").select("ip_address", "device_id").distinct()
-    nodes = _node(inside, "wallet", "wallet", "hop").unionAll(_node(ip.select("ip_address").distinct(), "ip_address", "ip")).unionAll(_node(dev.select("device_id").distinct(), "device_id", "device"))
-    edges = [
-        _edge(sent, "sent_to", ("wallet", "sender"), ("wallet", "receiver"), "transfers", "amount", "first_seen", "last_seen"),
+    nodes = [_node(inside, "wallet", "wallet", "hop"), _node(ip.select("ip_address").distinct(), "ip_address", "ip"), _node(dev.select("device_id").distinct(), "device_id", "device")]
+    if single:
+        nodes.append(_node(t, "transaction_id", "tx", "amount", "ts"))
+        edges = [_edge(t, "sent", ("wallet", "sender"), ("tx", "transaction_id"), "amount", "ts"), _edge(t, "received_by", ("tx", "transaction_id"), ("wallet", "receiver"), "amount", "ts")]
+    else:
+        sent = t.groupBy("sender", "receiver").agg(F.count("*").alias("transfers"), F.sum("amount").alias("amount"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+        edges = [_edge(sent, "sent_to", ("wallet", "sender"), ("wallet", "receiver"), "transfers", "amount", "first_seen", "last_seen")]
+    edges += [
         _edge(ip, "observed_from", ("wallet", "wallet"), ("ip", "ip_address"), "n"),
         _edge(link, "associated_with", ("ip", "ip_address"), ("device", "device_id")),
         _edge(same_key_pairs(o), "same_device", ("wallet", "a"), ("wallet", "b"), "shared"),
     ]
-    return nodes, reduce(DataFrame.unionAll, edges)
+    if "session_id" in observations.columns:
+        seen = o.where("session_id is not null").groupBy("wallet", "session_id").agg(F.count("*").alias("n"))
+        nodes.append(_node(seen.select("session_id").distinct(), "session_id", "session"))
+        edges += [_edge(seen, "in_session", ("wallet", "wallet"), ("session", "session_id"), "n"), _edge(same_key_pairs(o, "session_id"), "same_session", ("wallet", "a"), ("wallet", "b"), "shared")]
+    every = reduce(DataFrame.unionAll, edges)
+    return reduce(DataFrame.unionAll, nodes), every if types is None else every.where(F.col("type").isin(*types))
+
+
+def omitted_wallets(transfers: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int = 150) -> DataFrame:
+    """One row: how many wallets lie within ``depth`` steps, and how many of them the cap leaves out of the graph."""
+    near = seeds.select("wallet").distinct()
+    sym = undirected_edges(transfers)
+    sym = cut(sym.select(F.col("a").alias("wallet"), F.col("b").alias("other")).unionAll(sym.select("b", "a")))
+    for _ in range(depth):
+        near = cut(near.unionAll(sym.join(near, "wallet").select(F.col("other").alias("wallet"))).distinct())
+    return near.agg(F.count("*").alias("within"), F.greatest(F.count("*") - max_nodes, F.lit(0)).alias("omitted"))
+
+
+def focus_entities(kind: str, value: str, entities: DataFrame, inputs: DataFrame, ip_links: DataFrame) -> DataFrame:
+    """The focus entities (entity_id) of an entity itself, an address, a transaction's inputs, or an address of flows."""
+    if kind == "entity":
+        return entities.where(F.col("entity_id") == value).select("entity_id").distinct()
+    if kind == "address":
+        return entities.where(F.col("address") == value).select("entity_id").distinct()
+    if kind == "transaction":
+        return inputs.where(F.col("transaction_id") == value).join(entities, "address").select("entity_id").distinct()
+    if kind == "ip":
+        return ip_links.where(F.col("src_ip") == value).select("entity_id").distinct()
+    raise ValueError(f"no focus on {kind}")
 
 
 def entity_graph(entities: DataFrame, inputs: DataFrame, outputs: DataFrame, ip_links: DataFrame, links: DataFrame, focus: DataFrame, depth: int = 1, max_nodes: int = 150) -> tuple[DataFrame, DataFrame]:

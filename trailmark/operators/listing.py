@@ -108,16 +108,29 @@ def geoip(rows: DataFrame, ranges: DataFrame, ip: str = "src_ip", bits: int = 16
     return rows.join(best, rows[ip] == best["_ip"], "left").select(*[rows[c] for c in rows.columns], *[F.col(f"_g.{a}").alias(a) for a in attrs])
 
 
-def search(transfers: DataFrame, observations: DataFrame, q: str, limit: int = 10) -> DataFrame:
-    """category, value, n (how many rows hold it), total (matches in the category): exact matches first, then by value."""
+def search(transfers: DataFrame, observations: DataFrame, q: str, limit: int = 10, clusters: DataFrame | None = None, cases: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """category, value, n (how many rows hold it), total (matches in the category): exact matches first, then by value.
+
+    Transactions, wallets, addresses, devices and (if there are any) sessions match by their ids; clusters (cluster_id, wallet) by
+    id or member, with n members; cases (case_id, title) by id, title or item, with n items."""
 
     def hits(df: DataFrame, category: str, column: str, count) -> DataFrame:
         return df.where(contains_text(column, q)).groupBy(F.col(column).alias("value")).agg(count.alias("n")).select(F.lit(category).alias("category"), "value", "n")
 
+    def named(df: DataFrame, category: str, key: str, match: DataFrame, rows: DataFrame) -> DataFrame:
+        ids = df.select(key).join(match.select(key).distinct(), key, "left_semi").distinct()
+        return ids.join(rows.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(F.lit(category).alias("category"), F.col(key).alias("value"), F.coalesce("n", F.lit(0)).alias("n"))
+
     one = F.count("*")
     sides = transfers.select(F.explode(F.array("sender", "receiver")).alias("wallet"))
     rows = [hits(transfers, "transaction", "transaction_id", one), hits(sides, "wallet", "wallet", one)]
-    rows += [hits(observations, kind, column, F.count_distinct("wallet")) for kind, column in (("ip", "ip_address"), ("device", "device_id"))]
+    kinds = [("ip", "ip_address"), ("device", "device_id"), ("session", "session_id")]
+    rows += [hits(observations, kind, column, F.count_distinct("wallet")) for kind, column in kinds if column in observations.columns]
+    if clusters is not None:
+        rows.append(named(clusters, "cluster", "cluster_id", clusters.where(contains_text("cluster_id", q) | contains_text("wallet", q)), clusters))
+    if cases is not None and items is not None:
+        match = cases.where(contains_text("case_id", q) | contains_text("title", q)).select("case_id").unionAll(items.where(contains_text("item_id", q)).select("case_id"))
+        rows.append(named(cases, "case", "case_id", match, items))
     every = reduce(DataFrame.unionAll, rows)
     totals = every.groupBy("category").agg(F.count("*").alias("total"))
     order = F.struct(F.when(F.lower("value") == q.lower(), 0).otherwise(1).alias("o"), F.col("value"))

@@ -40,8 +40,9 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("reasons = ''").drop("reasons"), checked.where("reasons <> ''")
 
 
-def ingest(batch: DataFrame, stored: DataFrame, source: str = "synthetic") -> DataFrame:
-    """Adds ``outcome`` to a batch (transaction_id, source_ref, ts, sender, receiver, amount): accepted, duplicate, or conflict.
+def ingest(batch: DataFrame, stored: DataFrame, source: str = "synthetic", replace: bool = False) -> DataFrame:
+    """Adds ``outcome`` to a batch (transaction_id, source_ref, ts, sender, receiver, amount): accepted, duplicate, or conflict; with
+    ``replace`` a conflict with a stored row is to replace it.
 
     An id or reference that is stored (or came earlier in the batch, in the order of ``position``) with equal content is a
     duplicate, with other content a conflict; so is a wallet that another source owns."""
@@ -57,7 +58,7 @@ def ingest(batch: DataFrame, stored: DataFrame, source: str = "synthetic") -> Da
     for side in ("sender", "receiver"):
         j = j.join(others.select(F.col("w").alias(side), F.lit(True).alias(f"_{side}")), side, "left")
     outcome = (
-        F.when(F.col("_there") & F.col("_same"), "duplicate").when(F.col("_there"), "conflict")
+        F.when(F.col("_there") & F.col("_same"), "duplicate").when(F.col("_there"), "replaced" if replace else "conflict")
         .when((F.col("_nth") > 1) & (F.col("_own") == F.col("_first")), "duplicate").when(F.col("_nth") > 1, "conflict")
         .when(F.col("_sender") | F.col("_receiver"), "wallet of another source").otherwise("accepted")
     )
@@ -127,20 +128,22 @@ def rich_signature() -> Column:
     return F.sha2(F.concat_ws("|", F.round("fee_btc", 8).cast("string"), "script_type", side("input_addresses", "input_amounts"), side("output_addresses", "output_amounts")), 256)
 
 
-def import_rich(records: DataFrame, transfers: DataFrame, details: DataFrame) -> DataFrame:
+def import_rich(records: DataFrame, transfers: DataFrame, details: DataFrame, source: str | None = None) -> DataFrame:
     """Adds ``outcome`` and ``problem`` to valid records (in the order of ``position``): attached to a stored transfer, created,
-    duplicate or rejected. ``details``: (txid, transaction_id, signature) that are stored already."""
+    duplicate or rejected. ``details``: (txid, transaction_id, signature) that are stored already. With ``source``, a stored transfer
+    (which then has a source column) must be of that source."""
     r = records.withColumn("signature", rich_signature())
     w = W.partitionBy("txid").orderBy("position")
     r = r.withColumn("_nth", F.row_number().over(w)).withColumn("_first", F.first("signature").over(w))
     d = details.select("txid", F.col("signature").alias("_stored"))
-    t = transfers.select(F.col("transaction_id").alias("legacy_transaction_id"), F.col("ts").alias("_ts"), F.col("sender").alias("_s"), F.col("receiver").alias("_r"), F.col("amount").alias("_a"))
+    t = transfers.select(F.col("transaction_id").alias("legacy_transaction_id"), F.col("ts").alias("_ts"), F.col("sender").alias("_s"), F.col("receiver").alias("_r"), F.col("amount").alias("_a"), (F.col("source") if source else F.lit(None).cast("string")).alias("_source"))
     taken = details.select(F.col("transaction_id").alias("legacy_transaction_id"), F.lit(True).alias("_taken")).distinct()
     j = r.join(d, "txid", "left").join(t, "legacy_transaction_id", "left").join(taken, "legacy_transaction_id", "left")
     there = F.col("_s").isNotNull()
     mismatch = (
         F.when(F.col("sender_wallet") != F.col("_s"), "the stored transfer has another sender").when(F.col("receiver_wallet") != F.col("_r"), "the stored transfer has another receiver")
         .when(sats("amount_btc") != sats("_a"), "the stored transfer has another amount").when(F.col("ts") != F.col("_ts"), "the stored transfer has another timestamp")
+        .when(F.col("_source") != F.lit(source), "the stored transfer is of another source")
     )
     problem = (
         F.when((F.col("_nth") > 1) & (F.col("signature") != F.col("_first")), "txid appears twice with different content")
@@ -150,7 +153,7 @@ def import_rich(records: DataFrame, transfers: DataFrame, details: DataFrame) ->
     )
     j = j.withColumn("problem", problem)
     outcome = F.when(F.col("problem").isNotNull(), "rejected").when(F.col("_stored").isNotNull() | (F.col("_nth") > 1), "duplicate").when(there, "attached").otherwise("created")
-    return j.withColumn("outcome", outcome).drop("_nth", "_first", "_stored", "_ts", "_s", "_r", "_a", "_taken")
+    return j.withColumn("outcome", outcome).drop("_nth", "_first", "_stored", "_ts", "_s", "_r", "_a", "_taken", "_source")
 
 
 def explode_sides(records: DataFrame, key: str = "txid") -> tuple[DataFrame, DataFrame]:

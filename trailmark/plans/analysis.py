@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from trailmark.operators.hops import hop_distance
 from trailmark.plans.shared import written
 
 
+RUN = "source string, run_id long, status string, transfer_count long, started_at timestamp_ntz, finished_at timestamp_ntz, error string"
+
+
 @dataclass(frozen=True)
 class Analysis:
     features: DataFrame
@@ -48,17 +52,52 @@ def merge_leads(previous: DataFrame, current: DataFrame, now) -> DataFrame:
     return current.join(first, "wallet", "left").withColumn("first_flagged_at", F.coalesce("_first", F.lit(now).cast("timestamp_ntz"))).drop("_first")
 
 
+def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
+    """Write a table's partitions by ``keys`` in place of the ones of equal keys; all others stay."""
+    spark = df.sparkSession
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        df.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+
+
+def replace_source(df: DataFrame, path: str, source: str) -> None:
+    """Delete and replace what a table (chains, candidates, findings, confidence, ...) holds of one source."""
+    replace_partitions(df.withColumn("source", F.lit(source)), path, "source")
+
+
 def save_run(result: Analysis, folder: str, source: str, run_id: int) -> None:
     """Write a run's tables under source= and run_id= folders, the newest of which are the current state."""
     for name in ("features", "anomaly", "findings", "fusion", "leads"):
-        df = getattr(result, name).withColumn("source", F.lit(source)).withColumn("run_id", F.lit(run_id))
-        spark = df.sparkSession
-        mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        replace_partitions(getattr(result, name).withColumn("source", F.lit(source)).withColumn("run_id", F.lit(run_id)), f"{folder}/{name}", "source", "run_id")
+
+
+def run_analysis(transfers: DataFrame, folder: str, source: str) -> int:
+    """Analyse a source, save the run and note it in the table of runs; returns the run's id. One run of a source at a time: a second one
+    raises. A run that fails is noted with its error, which is raised on."""
+    spark = transfers.sparkSession
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    lock, table = path(f"{folder}/_running-{source}"), path(f"{folder}/runs")
+    fs = lock.getFileSystem(conf)
+    if not fs.createNewFile(lock):
+        raise RuntimeError(f"an analysis of {source} is running")
+    try:
+        runs = spark.read.schema(RUN).parquet(f"{folder}/runs") if fs.exists(table) else spark.createDataFrame([], RUN)
+        run_id = 1 + (runs.where(F.col("source") == source).agg(F.max("run_id")).first()[0] or 0)
+        began, error, n = datetime.now(UTC), None, transfers.count()
         try:
-            df.write.mode("overwrite").partitionBy("source", "run_id").parquet(f"{folder}/{name}")
+            save_run(analyse(transfers), folder, source, run_id)
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            raise
         finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+            row = (source, run_id, "failed" if error else "completed", n, began.replace(tzinfo=None), datetime.now(UTC).replace(tzinfo=None), error)
+            spark.createDataFrame([row], RUN).write.mode("append").parquet(f"{folder}/runs")
+    finally:
+        fs.delete(lock, False)
+    return run_id
 
 
 def latest_run(table: DataFrame, source: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.operators import clusters, confidence, entities, features, fusion, graphs, listing, records, rules
+from trailmark.operators import clusters, confidence, entities, features, fusion, graphs, graphview, listing, records, rules
 from trailmark.plans.analysis import review_status
-from trailmark.plans.registry import CHAINS, CIO, COIN, CONF, CORE, FIND, NET, ORACLE_SQL, QUERIES, SCORED, _entities, _features, _model, _ranked, register
+from trailmark.plans.registry import CHAINS, CIO, COIN, CONF, CORE, FIND, FOCUS, NET, ORACLE_SQL, QUERIES, SCORED, _entities, _features, _model, _ranked, register
 from trailmark.plans.shared import cut
 from trailmark.sources import views
 from trailmark.sources.views import sql
@@ -180,3 +180,24 @@ register("case_summary", sql(f"WITH {CASES}, x AS (SELECT case_id, transaction_i
 register("case_seeds", sql(f"WITH {CASES}, {NET} SELECT case_id, item_id AS wallet FROM itm WHERE item_type = 'wallet' UNION SELECT case_id, wallet FROM itm JOIN net ON item_type = 'cluster' AND item_id = cluster_id UNION SELECT case_id, sender FROM itm JOIN t ON item_type = 'transaction' AND item_id = transaction_id UNION SELECT case_id, receiver FROM itm JOIN t ON item_type = 'transaction' AND item_id = transaction_id", "t", "obs", recursive=True))(
     lambda s, d: records.case_seeds(_cases(s, d)[1], _net(s, d), views.transfers(s, d), s.createDataFrame([], "wallet string, entity_id string"))
 )
+SEARCH_ALL = """h AS (SELECT * FROM (SELECT 'transaction' AS category, transaction_id AS value, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT 'wallet', wallet, count(*) FROM legs GROUP BY ALL
+  UNION ALL SELECT 'ip', ip_address, count(DISTINCT wallet) FROM obs GROUP BY ALL UNION ALL SELECT 'device', device_id, count(DISTINCT wallet) FROM obs GROUP BY ALL) WHERE contains(lower(value), '{q}')
+  UNION ALL SELECT 'cluster', cluster_id, count(*) FROM net WHERE cluster_id IN (SELECT cluster_id FROM net WHERE contains(lower(cluster_id), '{q}') OR contains(lower(wallet), '{q}')) GROUP BY 2
+  UNION ALL SELECT 'case', cas.case_id, count(item_id) FROM cas LEFT JOIN itm USING (case_id) WHERE contains(lower(cas.case_id), '{q}') OR contains(lower(title), '{q}') OR cas.case_id IN (SELECT case_id FROM itm WHERE contains(lower(item_id), '{q}')) GROUP BY 2),
+m AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN lower(value) = '{q}' THEN 0 ELSE 1 END, value) AS k, count(*) OVER (PARTITION BY category) AS total FROM h) SELECT category, value, n, total FROM m WHERE k <= 10"""
+register("search_all", sql(f"WITH {NET}, {CASES}, " + SEARCH_ALL.replace("{q}", "w00001"), "t", "legs", "obs", recursive=True))(
+    lambda s, d: (lambda c: listing.search(views.transfers(s, d), views.observations(s, d), "W00001", 10, _net(s, d), *c))(_cases(s, d))
+)
+TX_FOCUS = "fx AS (SELECT min(transaction_id) AS id FROM t), sd AS (SELECT sender AS w FROM t WHERE transaction_id = (SELECT id FROM fx) UNION SELECT receiver FROM t WHERE transaction_id = (SELECT id FROM fx)), tt AS (SELECT * FROM t WHERE sender IN (SELECT w FROM sd) AND receiver IN (SELECT w FROM sd))"
+
+
+@register("graph_transaction_edges", sql(f"WITH {TX_FOCUS} SELECT 'sent:wallet:' || sender || '->tx:' || transaction_id AS id, 'wallet:' || sender AS source, 'tx:' || transaction_id AS target, 'sent' AS type FROM tt UNION ALL SELECT 'received_by:tx:' || transaction_id || '->wallet:' || receiver, 'tx:' || transaction_id, 'wallet:' || receiver, 'received_by' FROM tt", "t"))
+def graph_transaction_edges(s, d):
+    t, o = views.transfers(s, d), views.observations(s, d)
+    seeds = graphview.focus_wallets("transaction", t.agg(F.min("transaction_id")).first()[0], t, o)
+    return graphview.wallet_graph(t, o, seeds, 0, 10, single=True, types={"sent", "received_by"})[1].select("id", "source", "target", "type")
+
+
+register("graph_omitted", sql(f"WITH e AS (SELECT DISTINCT sender AS a, receiver AS b FROM t UNION SELECT DISTINCT receiver, sender FROM t), n AS (SELECT '{FOCUS}' AS w UNION SELECT b FROM e WHERE a = '{FOCUS}') SELECT count(*) AS within, greatest(count(*) - 20, 0) AS omitted FROM n", "t"))(
+    lambda s, d: (lambda t: graphview.omitted_wallets(t, graphview.focus_wallets("wallet", FOCUS, t, views.observations(s, d)), 1, 20))(views.transfers(s, d))
+)

@@ -345,8 +345,8 @@ register("review_status", sql("WITH w AS (SELECT DISTINCT wallet FROM legs) SELE
 SESSION_SQL = """WITH o AS (SELECT wallet AS device_id, observed_at AS seen, observation_id AS i, CASE WHEN epoch_us(observed_at) - lag(epoch_us(observed_at)) OVER (PARTITION BY wallet ORDER BY observed_at, observation_id) > 7200000000 THEN 1 ELSE 0 END AS new FROM obs),
 r AS (SELECT *, sum(new) OVER (PARTITION BY device_id ORDER BY seen, i ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT device_id, CAST(k AS BIGINT) AS session_no, min(seen) AS first_at, max(seen) AS last_at, count(*) AS n FROM r GROUP BY device_id, k"""
 register("sessions", sql(SESSION_SQL, "obs"))(lambda s, d: sessions.sessions(views.observations(s, d).withColumn("device_id", F.col("wallet"))))
-register("hash_coverage", sql("WITH p AS (SELECT *, CASE WHEN direction = 'Outgoing' THEN 'S' ELSE 'R' END AS side, CASE WHEN direction = 'Outgoing' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS share FROM legs), q AS (SELECT *, CAST(('0x' || substr(sha256('42|cover|' || transaction_id || '|' || side), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u, CAST(('0x' || substr(sha256('42|delay|' || transaction_id || '|' || side), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS v FROM p) SELECT 'obs-' || transaction_id || '-' || side AS observation_id, wallet, CAST(1 + floor(v * 30) AS BIGINT) AS delay_seconds FROM q WHERE u < share", "t", "legs"))(
-    lambda s, d: sessions.coverage(views.transfers(s, d))
+register("party_sample", sql("WITH p AS (SELECT *, CASE WHEN direction = 'Outgoing' THEN 'S' ELSE 'R' END AS side, CASE WHEN direction = 'Outgoing' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS share FROM legs), q AS (SELECT *, CAST(('0x' || substr(sha256('42|cover|' || transaction_id || '|' || side), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM p) SELECT transaction_id, side, wallet, u FROM q WHERE u < share", "t", "legs"))(
+    lambda s, d: sessions.party_sample(views.transfers(s, d))
 )
 RAW = "SELECT 'tx-' || lpad(CAST(event_id AS VARCHAR), 10, '0') AS transaction_id, ts, 'w' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS sender, 'w' || lpad(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1), 6, '0') AS receiver, value AS amount FROM events"
 

@@ -47,10 +47,30 @@ def write_ledger(transfers: DataFrame, path: str) -> None:
 
 
 def guard(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> None:
-    """Refuse an upload beyond its size limit before it is parsed."""
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    """Refuse an upload beyond its size limit, or one that is no UTF-8 text (a byte order mark is allowed), before it is parsed."""
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0
     if size > max_bytes:
         raise ValueError(f"the file has {size} bytes; at most {max_bytes} are allowed")
+    if not files.where(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty():
+        raise ValueError("the file is no UTF-8 text")
+
+
+def guard_records(records: DataFrame, most: int = MAX_RECORDS) -> DataFrame:
+    """The records, if there are no more than the limit (counted up to one beyond it)."""
+    if records.limit(most + 1).count() > most:
+        raise ValueError(f"at most {most} records are allowed")
+    return records
+
+
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    """Network observations from CSV with exactly the fixed twelve columns."""
+    return spark.read.schema(schemas.OBSERVATION).options(header=True, enforceSchema=False, mode="FAILFAST", timestampNTZFormat="yyyy-MM-dd HH:mm:ss").csv(path)
+
+
+def write_observations(observations: DataFrame, path: str) -> None:
+    names = [f.name for f in T._parse_datatype_string(schemas.OBSERVATION).fields]
+    observations.select(*names).write.mode("overwrite").options(header=True, timestampNTZFormat="yyyy-MM-dd HH:mm:ss").csv(path)
 
 
 def _indexed(df: DataFrame) -> DataFrame:
@@ -90,10 +110,13 @@ def read_explorer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EXPLORER).option("multiLine", True).json(path)
 
 
-def block_slice(transactions: DataFrame, newest: int, per_block: int) -> DataFrame:
-    """The first ``per_block`` transactions (by ``index``) of the ``newest`` blocks."""
-    heights = transactions.select(F.col("status.block_height").alias("h")).where("h is not null").distinct().orderBy(F.desc("h")).limit(newest)
-    t = transactions.withColumn("h", F.col("status.block_height")).join(heights, "h")
+def block_slice(transactions: DataFrame, newest: int = 0, per_block: int = 25, heights: list[int] | None = None) -> DataFrame:
+    """The first ``per_block`` transactions (by ``index``) of the ``newest`` blocks, or of the given heights, of which none may be missing."""
+    there = transactions.select(F.col("status.block_height").alias("h")).where("h is not null").distinct()
+    chosen = there.orderBy(F.desc("h")).limit(newest) if heights is None else there.where(F.col("h").isin(heights))
+    if heights is not None and (missing := set(heights) - {r["h"] for r in chosen.collect()}):
+        raise ValueError(f"no block at height {sorted(missing)}")
+    t = transactions.withColumn("h", F.col("status.block_height")).join(chosen, "h")
     return t.withColumn("k", F.row_number().over(W.partitionBy("h").orderBy("index"))).where(F.col("k") <= per_block).drop("k", "h")
 
 

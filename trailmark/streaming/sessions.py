@@ -1,9 +1,10 @@
-"""Device sessions, in batch and as a stateful stream, and reproducible synthetic observations."""
+"""Device sessions, in batch and as a stateful stream, and a reproducible sample of a ledger's parties."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -36,39 +37,41 @@ def sessions(observations: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) ->
 
 
 def stream_sessions(observations: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
-    """The same on a stream (device_id, observed_at): updates of each device's open session. State is one session per
-    device; a late row within the gap widens it, an older one is its own session, as late data are always accepted."""
+    """The same sessions on a stream (device_id, observed_at), however late a row comes: updates, of which the last per device_id and
+    session_id counts. A session that a late row moved to an earlier start, or joined to another one, is closed by n = 0.
+
+    A device's state is the intervals of its sessions (three integers each); rows and intervals are merged as arrays."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    gap = pd.Timedelta(seconds=gap_seconds)
+    gap = gap_seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        device, out = key[0], []
-        first, last, n = (pd.Timestamp(state.get[0], unit="us"), pd.Timestamp(state.get[1], unit="us"), state.get[2]) if state.exists else (None, None, 0)
-        times = pd.concat([b["observed_at"] for b in batches]).sort_values()
-        for t in times:
-            if last is not None and first - gap <= t <= last + gap:
-                first, last, n = min(first, t), max(last, t), n + 1
-            elif last is not None and t < first:
-                out.append((device, f"sess-{device}-{t:%Y%m%d%H%M%S}", t, t, 1))
-            else:
-                if last is not None:
-                    out.append((device, f"sess-{device}-{first:%Y%m%d%H%M%S}", first, last, n))
-                first, last, n = t, t, 1
-        out.append((device, f"sess-{device}-{first:%Y%m%d%H%M%S}", first, last, n))
-        micro = lambda x: int(x.value // 1000)
-        state.update((micro(first), micro(last), n))
-        yield pd.DataFrame(out, columns=["device_id", "session_id", "first_at", "last_at", "n"])
-
-    return observations.groupBy("device_id").applyInPandasWithState(step, SESSION, "first long, last long, n long", "update", GroupStateTimeout.NoTimeout)
-
-
-def coverage(transfers: DataFrame, seed: int = FOREST_SEED) -> DataFrame:
-    """observation_id, wallet, delay_seconds: which parties of a transfer are observed, and how late, by reproducible hashes
-    (80 % of senders, 50 % of receivers, 1 to 30 seconds)."""
-    side = F.when(F.col("direction") == "Outgoing", "S").otherwise("R")
-    share = F.when(F.col("direction") == "Outgoing", SENDER_COVERAGE).otherwise(RECEIVER_COVERAGE)
-    rows = legs(transfers).withColumn("side", side)
-    seen = rows.where(uniform(F.lit(seed), F.lit("cover"), "transaction_id", "side") < share)
-    delay = 1 + F.floor(uniform(F.lit(seed), F.lit("delay"), "transaction_id", "side") * 30)
-    return seen.select(F.concat(F.lit("obs-"), "transaction_id", F.lit("-"), "side").alias("observation_id"), "wallet", delay.cast("long").alias("delay_seconds"))
+        old = [np.array(x, np.int64) for x in (state.get if state.exists else ((), (), ()))]
+        t = pd.concat([b["observed_at"] for b in batches]).dropna().to_numpy("datetime64[us]").astype(np.int64)
+        first, last, n = np.concatenate([old[0], t]), np.concatenate([old[1], t]), np.concatenate([old[2], np.ones(len(t), np.int64)])
+        if not len(first):
+            return
+        order = np.argsort(first, kind="stable")
+        first, last, n = first[order], last[order], n[order]
+        start = np.flatnonzero(np.append(True, first[1:] > np.maximum.accumulate(last)[:-1] + gap))
+        first, last, n = first[start], np.maximum.reduceat(last, start), np.add.reduceat(n, start)
+        state.update((first.tolist(), last.tolist(), n.tolist()))
+        was = dict(zip(old[0].tolist(), zip(old[1].tolist(), old[2].tolist(), strict=True), strict=True))
+        rows = [(f, z, c) for f, z, c in zip(first.tolist(), last.tolist(), n.tolist(), strict=True) if was.get(f) != (z, c)]
+        rows += [(f, was[f][0], 0) for f in was.keys() - set(first.tolist())]
+        out = pd.DataFrame(rows, columns=["first_at", "last_at", "n"])
+        out["first_at"], out["last_at"] = pd.to_datetime(out["first_at"], unit="us"), pd.to_datetime(out["last_at"], unit="us")
+        out.insert(0, "session_id", f"sess-{key[0]}-" + out["first_at"].dt.strftime("%Y%m%d%H%M%S.%f"))
+        out.insert(0, "device_id", key[0])
+        yield out
+
+    state = "first array<bigint>, last array<bigint>, n array<bigint>"
+    return observations.where("device_id is not null and observed_at is not null").groupBy("device_id").applyInPandasWithState(step, SESSION, state, "update", GroupStateTimeout.NoTimeout)
+
+
+def party_sample(transfers: DataFrame, seed: int = FOREST_SEED, sender_share: float = SENDER_COVERAGE, receiver_share: float = RECEIVER_COVERAGE) -> DataFrame:
+    """transaction_id, side, wallet, u: a sample of the transfers' parties by reproducible hashes (80 % of senders and 50 % of
+    receivers), the same under any partitioning."""
+    rows = legs(transfers).withColumn("side", F.when(F.col("direction") == "Outgoing", "S").otherwise("R"))
+    rows = rows.withColumn("u", uniform(F.lit(seed), F.lit("cover"), "transaction_id", "side"))
+    return rows.where(F.col("u") < F.when(F.col("side") == "S", sender_share).otherwise(receiver_share)).select("transaction_id", "side", "wallet", "u")
