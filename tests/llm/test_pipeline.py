@@ -18,13 +18,29 @@ def test_stages(spark, sf, tmp_path):
 
 
 def test_odd_tables(spark, tmp_path):
-    odd = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "some words of text to keep here", "en", "s", 3), (3, "12 !!", "en", "s", 1), (3, "12 !!", "en", "s", 1)]
+    """Nulls, empty, wordless, repeated and very long texts, columns with the operators' own names: what each stage makes of them."""
+    long = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k in range(60_000))
+    line = "some words of text to keep here"
+    odd = [(1, None, "en"), (2, "", None), (None, line, "en"), (3, "12 !!", "en"), (3, "12 !!", "en"), (4, long, "en"), (5, long, "en"), (6, line, "en"), (6, line, "en"), (7, f"{line}\n13 !!", None)]
+    extra = "row_key string, `_key` int, chunk int, CUT int, id long"
+    want = {
+        "language": [(None, line), (4, long), (5, long), (6, line), (6, line), (7, f"{line}\n13 !!")],
+        "line_dedup": [(None, line), (4, long), (5, ""), (6, ""), (6, ""), (7, "13 !!")],
+        "near_dedup": [(None, line), (4, long), (5, ""), (7, "13 !!")],
+        "substring_dedup": [(None, line), (4, long), (5, ""), (7, "13 !!")],
+    }
     for k, rows in enumerate(([], odd)):
-        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), "x", 1, 2, 3, 9) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+        names = docs.columns
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, "")
             out.write.parquet(str(tmp_path / f"{name}{k}"))
             docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            if name in want:
+                got = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+                assert docs.columns == names and got == sorted(((-1 if i is None else i, t) for i, t in (want[name] if rows else [])), key=str), name
+                assert all((r["row_key"], r["_key"], r["chunk"], r["CUT"], r["id"], r["n_chars"]) == ("x", 1, 2, 3, 9, len(r["text"])) for r in docs.collect())
+        assert {r["doc_id"] for r in docs.collect()} == ({None, 4, 7} if rows else set())
 
 
 def test_registered():
