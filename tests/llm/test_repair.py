@@ -30,6 +30,31 @@ def test_repetition_is_compressed():
     assert len(seq) < 5100 and len(rules) >= 2 and (repair.expand(seq, rules, base) == ids).all()
 
 
+def test_ratio_on_documents(both, sf):
+    """Stored integers an id on real ids: the early stop costs next to nothing against going on to the last pair."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()]
+    ids = np.concatenate([np.append(x, 2) for x in both[0](texts)])
+    stored = [(len(s) + 2 * len(r)) / len(ids) for s, r, _ in (repair.compress(ids), repair.compress(ids, least_gain=0.0))]
+    assert stored[0] < 0.75 and stored[0] < stored[1] + 0.02, stored
+
+
+def test_special_tokens_and_other_files(both):
+    """Special tokens are those of the file, whatever they look like; a file of other rules goes through the library whole."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(P.path("byte_bpe_50k.json")).read())
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": len(spec["model"]["vocab"]), "content": "[x y]"})
+    texts = ["a [x y] b", "[x y][x y]", "plain words here", ""]
+    for change in ({}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}):
+        text = json.dumps(spec | change)
+        library = Tokenizer.from_str(text)
+        assert [x.tolist() for x in repair.Encoder(text)(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.fixture(scope="module")
 def both():
     from tokenizers import Tokenizer
