@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from trailmark.llm import bpe, langid, lines, media, packing, repair, sharding, simhash, substrings, topk
+from trailmark.llm import bpe, langid, lines, media, packing, repair, sharding, simhash, spelling, substrings, topk, toxicity, trie
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -17,5 +17,8 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "pipeline": corpus_pipeline.run,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_conversation_trie": trie.op12_conversation_trie,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
-ORACLE_SQL = {"op2_ball_tree_top_k": topk.ORACLE_SQL, "op8_substring_dedup": substrings.ORACLE_SQL}
+ORACLE_SQL = {"op2_ball_tree_top_k": topk.ORACLE_SQL, "op8_substring_dedup": substrings.ORACLE_SQL, "op12_conversation_trie": trie.ORACLE_SQL}
