@@ -73,12 +73,20 @@ def test_encoder(both, texts):
     assert [x.tolist() for x in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("batches", [[["Hello, world . ok."]], [["hi!!", "x !! y"]], [["x !! y", "hi!!"]], [["hi!!"], ["x !! y"]], [["x !! y"], ["hi!!", ". . a.", "?! b?!"]]])
+def test_points_alone_and_behind_words(both, batches):
+    """Points behind a word and the same points between spaces have different ids, whichever comes first."""
+    encode = repair.Encoder(open(P.path("byte_bpe_50k.json")).read())
+    for texts in batches:
+        assert [x.tolist() for x in encode(texts)] == [both[1].encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_files(spark, both, sf):
-    rows = [(7, "some words, and some words again"), (3, None), (5, ""), (9, "x " * 30_000), (3, "again"), (None, "no id")]
+    rows = [(7, "some words, and some words again"), (8, "Hello, world . ok. !! x!!"), (7, "some words, and some words again"), (3, None), (5, ""), (9, "x " * 30_000), (3, "again"), (None, "no id")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part int").repartition(3)
     files = repair.token_files(df, P.path("byte_bpe_50k.json"), shard_ids=50).cache()
     got = {(r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in repair.document_ids(files).collect()}
-    at, want = 0, set()
+    at, want = 0, set()  # the repeated row is two documents, each with its own start
     for i, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")):
         ids = np.array(both[1].encode(t or "", add_special_tokens=False).ids + [2], "<u4")
         want.add((at, i, len(ids), zlib.crc32(ids.tobytes())))

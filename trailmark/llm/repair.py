@@ -167,13 +167,14 @@ class Encoder:
         self.index: dict[str, int] = defaultdict(count().__next__)
         self.head, self.tail = np.zeros(0, np.int32), np.zeros(0, np.int32)  # slots of each part
         self.flat, self.size = np.zeros(0, np.int32), np.zeros(1, np.int32)  # slot 0 has no ids
-        self.slots: dict[str, int] = {"": 0}  # of words with the space before them, and of the points behind words
+        self.slots: dict[str, int] = {"": 0}  # of words with the space before them
+        self.points: dict[str, int] = {"": 0}  # of the points behind words, which may look like a word that stands alone
         self.opens, self.closes = np.zeros(0, bool), np.zeros(0, bool)  # parts that begin or end with white space
 
     def learn(self, parts: list[str]) -> None:
         """Encode new parts. Those without white space at their ends are encoded many at a time, in texts where each begins with
         a space: the only ids that begin with one are then their first."""
-        slots, each = self.slots, pa.array(parts, pa.string())
+        slots, points, each = self.slots, self.points, pa.array(parts, pa.string())
         cut = pc.extract_regex(each, WORD)  # null for a part that is no word of Latin letters with points behind
         plain = pc.is_null(cut).to_numpy(zero_copy_only=False)
         heads, tails = (pc.if_else(pc.is_valid(cut), pc.struct_field(cut, k), x) for k, x in ((0, each), (1, "")))
@@ -191,22 +192,28 @@ class Encoder:
         parted = [c.dictionary_encode() for c in (kept, pc.if_else(pa.array(alone), "", tails))]
         marked = pa.array(begins(parted[0].dictionary, "\0"))
         words = [w for w in _strings(parted[0].dictionary.filter(pc.invert(marked))) if w not in slots]
-        rest = [w for w in _strings(parted[0].dictionary.filter(marked)) if w not in slots] + [t for t in _strings(parted[1].dictionary) if t not in slots]
+        rest = [w for w in _strings(parted[0].dictionary.filter(marked)) if w not in slots]
+        tails = [t for t in _strings(parted[1].dictionary) if t not in points]
         # points are encoded as they stand, a first part without its mark, another part with the space before it
-        plain_texts = [w if w[:1] != "\0" else w[2:] if w[:2] == "\0 " else " " + w[1:] for w in rest]
+        plain_texts = tails + [w[2:] if w[:2] == "\0 " else " " + w[1:] for w in rest]
         got = [e.ids for e in self.library.encode_batch_fast(plain_texts, add_special_tokens=False)]
         flat, size = [np.fromiter((i for x in got for i in x), np.int32)], [np.fromiter(map(len, got), np.int32, len(got))]
         texts = [" " + " ".join(words[a : a + 256]) for a in range(0, len(words), 256)]
         for a, e in enumerate(self.library.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, np.int32)
             begin = np.flatnonzero(self.begins[ids])
-            if len(begin) != len(words[256 * a : 256 * a + 256]):
-                raise AssertionError("this vocabulary joins what a space parts")
+            if len(begin) != len(words[256 * a : 256 * a + 256]):  # this vocabulary joins what a space parts: one by one
+                each_ids = [x.ids for x in self.library.encode_batch_fast([" " + w for w in words[256 * a : 256 * a + 256]], add_special_tokens=False)]
+                flat.append(np.fromiter((i for x in each_ids for i in x), np.int32))
+                size.append(np.fromiter(map(len, each_ids), np.int32, len(each_ids)))
+                continue
             flat.append(ids)
             size.append(np.diff(np.append(begin, len(ids))).astype(np.int32))
-        slots.update(zip(rest + words, range(len(self.size), len(self.size) + len(rest) + len(words)), strict=True))
+        n = len(self.size)
+        points.update(zip(tails, range(n, n + len(tails)), strict=True))
+        slots.update(zip(rest + words, range(n + len(tails), n + len(plain_texts) + len(words)), strict=True))
         self.flat, self.size = np.concatenate([self.flat, *flat]), np.concatenate([self.size, *size])
-        head, tail = (np.fromiter(map(slots.__getitem__, _strings(c.dictionary)), np.int32, len(c.dictionary))[c.indices.to_numpy()] for c in parted)
+        head, tail = (np.fromiter(map(known.__getitem__, _strings(c.dictionary)), np.int32, len(c.dictionary))[c.indices.to_numpy()] for c, known in zip(parted, (slots, points), strict=True))
         self.head, self.tail = np.concatenate([self.head, head]), np.concatenate([self.tail, tail])
         self.opens, self.closes = np.concatenate([self.opens, opens]), np.concatenate([self.closes, closes])
 
@@ -273,7 +280,7 @@ def token_files(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int
     """Shards of the corpus' token ids in ascending order of doc_id (nulls first; ties by text): rows that make up the
     files. A shard is cut at a document once it has ``shard_ids`` ids: part and seq give its place, doc_starts the first
     symbol of each document in its sequence (32-bit), rules and lengths the grammar. Null texts count as empty; each
-    document ends with ``end_id``."""
+    document ends with ``end_id``. Repeated rows are documents of their own, one after the other; other columns play no part."""
     spec = docs.sparkSession.sparkContext.broadcast(Path(path).read_text())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
