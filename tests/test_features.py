@@ -1,5 +1,6 @@
 """Features, rules and fusion on a ledger small enough to work out by hand."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -27,17 +28,31 @@ def ledger(spark, rows=ROWS):
 
 def test_small_ledger(spark):
     t = ledger(spark).repartition(3)
-    got = {r["wallet"]: tuple(r)[1:] for r in features.wallet_features(t, hop_distance(t, block=64)).collect()}
+    got = {r["wallet"]: tuple(r)[1:] for r in features.wallet_features(t, hop_distance(t)).collect()}
     for wallet, want in EXPECTED.items():
         for k, (g, w) in enumerate(zip(got[wallet], want, strict=True)):
             assert g == (pytest.approx(w, abs=1e-6) if w is not None else None), (wallet, features.FEATURES[k])
 
 
-def test_hops_by_joins_agree(spark):
-    t = ledger(spark)
-    a = {r[0]: r[1] for r in hop_distance(t).collect()}
-    b = {r[0]: r[1] for r in hop_distance(t, block=64, broadcast_edges=0).collect()}
-    assert a == pytest.approx(b)
+def test_hops_against_plain_search(spark):
+    """Several blocks of sources, parts that are not linked, and a long path."""
+    rng = random.Random(5)
+    links = [(f"a{rng.randrange(90):02}", f"a{rng.randrange(90):02}") for _ in range(150)] + [(f"p{k:02}", f"p{k + 1:02}") for k in range(9)] + [("x", "x")]
+    near = {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for s in near:
+        at, edge = {s: 0}, [s]
+        while edge:
+            edge = [y for x in edge for y in near[x] if y not in at and at.update({y: at[x] + 1}) is None]
+        want[s] = sum(at.values()) / (len(at) - 1)
+    t = spark.createDataFrame(links, "sender string, receiver string").repartition(3)
+    for masks in (1, 8):
+        assert {r[0]: r[1] for r in hop_distance(t, masks).collect()} == pytest.approx(want)
+    assert hop_distance(t.where("sender = 'x'")).count() == 0
 
 
 def test_mirror(spark):

@@ -76,7 +76,38 @@ def test_risk(spark):
 def test_shortest_path(spark):
     t = transfers(spark, [("t1", "A", "B", 1), ("t2", "B", "C", 1), ("t3", "D", "A", 1), ("t4", "D", "C", 1)])
     path = lambda a, b: [r["wallet"] for r in graphs.shortest_path(t, a, b).orderBy("position").collect()]
-    assert path("A", "C") == ["A", "B", "C"] and path("C", "D") == ["C", "D"] and path("A", "Z") == []
+    assert path("A", "C") == ["A", "B", "C"] and path("C", "D") == ["C", "D"] and path("A", "Z") == [] == path("A", "A") == path("Z", "Z")
+    hops = [tuple(r) for r in graphs.trace_path(t.unionAll(t.where("sender = 'B'")), "C", "B").collect()]
+    assert hops == [(1, "undirected", "C", "B", 0, 2, 0.0)]
+    assert [tuple(r)[1:] for r in graphs.trace_path(t, "D", "B").orderBy("hop").collect()] == [("directed", "D", "A", 1, 0, 1.0), ("directed", "A", "B", 1, 0, 1.0)]
+
+
+def test_traced_paths_against_search(spark):
+    """Length and order of the path on random graphs: the least of all shortest ones."""
+    rng = random.Random(8)
+    pairs = sorted({(f"w{rng.randrange(30):02}", f"w{rng.randrange(30):02}") for _ in range(60)})
+    t = transfers(spark, [(f"t{k}", a, b, 1) for k, (a, b) in enumerate(pairs)])
+    for start, end in [("w00", "w17"), ("w05", "w21"), ("w29", "w03")]:
+        want = None
+        for edges in ({(a, b) for a, b in pairs}, {e for a, b in pairs for e in ((a, b), (b, a))}):
+            paths, seen = [[start]], {start}
+            while paths and want is None:
+                paths = sorted([*p, b] for p in paths for a, b in edges if a == p[-1] and b not in seen)
+                seen |= {p[-1] for p in paths}
+                want = next((p for p in paths if p[-1] == end), None)
+            if want:
+                break
+        assert [r["wallet"] for r in graphs.shortest_path(t, start, end).orderBy("position").collect()] == (want or [])
+
+
+def test_middles_of_time_ordered_paths(spark):
+    rng = random.Random(9)
+    rows = [(f"t{k:03}", T0 + timedelta(hours=rng.randrange(40)), f"w{rng.randrange(9)}", f"w{rng.randrange(9)}", 1.0) for k in range(60)]
+    rows += [("q1", T0, "x", "y", 1.0), ("q2", T0 + timedelta(hours=1), "y", "z", 1.0), ("q3", T0 + timedelta(hours=2), "z", "x", 1.0), ("q4", T0 + timedelta(hours=3), "z", "v", 1.0)]
+    df = spark.createDataFrame(rows, "transaction_id string, ts timestamp_ntz, sender string, receiver string, amount double")
+    want = {m[0] for m in rows for a in rows for d in rows if a[3] == m[2] and d[2] == m[3] and a[1] < m[1] < d[1] and len({a[2], m[2], m[3], d[3]}) == 4}
+    got = [r["transaction_id"] for r in graphs.time_path_middles(df.repartition(5)).collect()]
+    assert set(got) == want and len(got) == len(want) and "q2" in want
 
 
 def test_network_clusters(spark):
@@ -97,7 +128,15 @@ def test_stable_ids(spark):
     old = frame([("NET-x", "a"), ("NET-x", "b"), ("NET-x", "c"), ("NET-y", "d")])
     new = frame([("NET-a", "a"), ("NET-a", "b"), ("NET-c", "c"), ("NET-c", "e"), ("NET-y", "f")])
     got = {r["default_id"]: r["stable_id"] for r in graphs.stable_ids(new, old).collect()}
-    assert got == {"NET-a": "NET-x", "NET-c": "NET-c", "NET-y": "NET-y"}
+    assert got == {"NET-a": "NET-x", "NET-c": "NET-c", "NET-y": "NET-y-2"}  # NET-y is an old cluster's, and stays its
+
+
+def test_stable_ids_are_never_given_twice(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "cluster_id string, wallet string")
+    old = frame([("NET-a", "x"), ("NET-a-2", "z"), ("NET-b", "gone"), ("NET-b-3", "gone too"), ("NET-d-2", "w")])
+    new = frame([("NET-q", "x"), ("NET-a", "n1"), ("NET-z", "z"), ("NET-b", "n2"), ("NET-b-2", "n3"), ("NET-d", "n4")])
+    got = {r["default_id"]: r["stable_id"] for r in graphs.stable_ids(new, old).collect()}
+    assert got == {"NET-q": "NET-a", "NET-z": "NET-a-2", "NET-a": "NET-a-3", "NET-b": "NET-b-4", "NET-b-2": "NET-b-2", "NET-d": "NET-d"}
 
 
 def test_shortest_path_of_many_hops(spark):
@@ -125,6 +164,72 @@ def test_communities_settle(spark):
             assert value({w: of[a] if c == of[b] else c for w, c in of.items()}) <= best + 1e-9
 
 
+def louvain(edges):
+    """Sequential local moving, level by level; the modularity of what it ends in."""
+    links, of = {}, {}
+    for a, b in edges:
+        for x, y in ((a, b), (b, a)):
+            links.setdefault(x, {})[y] = links.setdefault(x, {}).get(y, 0) + (1 if a != b else 0.5)
+    m, groups = len(edges), {x: {x} for x in links}
+    while True:
+        degree = {x: sum(w * (2 if y == x else 1) for y, w in ys.items()) for x, ys in links.items()}
+        of = {x: x for x in links}
+        tot, moved, any_move = dict(degree), True, False
+        while moved:
+            moved = False
+            for x in sorted(links):
+                tot[of[x]] -= degree[x]
+                into = {}
+                for y, w in links[x].items():
+                    if y != x:
+                        into[of[y]] = into.get(of[y], 0) + w
+                value = lambda c: into.get(c, 0) - degree[x] * tot.get(c, 0) / (2 * m)  # noqa: B023, E731
+                best = min(into, key=lambda c: (-value(c), c), default=of[x])
+                if value(best) > value(of[x]) + 1e-9:
+                    of[x], moved, any_move = best, True, True
+                tot[of[x]] = tot.get(of[x], 0) + degree[x]
+        if not any_move:
+            return groups
+        merged, joined = {}, {}
+        for x, ys in links.items():
+            groups_of = joined.setdefault(of[x], set())
+            groups_of |= groups[x]
+            for y, w in ys.items():
+                row = merged.setdefault(of[x], {})
+                row[of[y]] = row.get(of[y], 0) + (w / 2 if of[x] == of[y] and x != y else w)
+        links, groups = merged, joined
+
+
+def value_of(edges, of):
+    tot = {}
+    for w in [w for e in edges for w in e]:
+        tot[of[w]] = tot.get(of[w], 0) + 1
+    return sum(of[a] == of[b] for a, b in edges) / len(edges) - sum(t * t for t in tot.values()) / (4 * len(edges) ** 2)
+
+
+def test_communities_against_sequential_moving(spark):
+    """Within 2 % of the modularity that moving one node at a time reaches, on random graphs, planted groups and a star."""
+    rng = random.Random(4)
+    loose = {tuple(sorted((f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}"))) for _ in range(110)}
+    planted = {(f"{g}{i}", f"{g}{j}") for g in "abcd" for i in range(8) for j in range(i + 1, 8) if rng.random() < 0.7} | {("a0", "b0"), ("b1", "c1"), ("c2", "d2"), ("d3", "a3")}
+    star = {("hub", f"leaf{k:02}") for k in range(30)} | {("leaf00", "far"), ("far", "further")}
+    for edges in ({e for e in loose if e[0] != e[1]}, planted, star):
+        edges = sorted(edges)
+        got = {r["wallet"]: r["community_id"] for r in graphs.communities(spark.createDataFrame([(*e, 1) for e in edges], "a string, b string, weight long")).collect()}
+        mine = value_of(edges, {w: got.get(w, w) for e in edges for w in e})
+        plain = value_of(edges, {w: g for g, ws in louvain(edges).items() for w in ws})
+        assert mine >= plain - 0.02 * abs(plain), (mine, plain)
+
+
+def test_communities_of_a_long_path(spark):
+    """Rounds do not follow the diameter, and no plan grows from round to round."""
+    edges = [(f"{k:04}", f"{k + 1:04}") for k in range(999)]
+    got = {r["wallet"]: r["community_id"] for r in graphs.communities(spark.createDataFrame([(*e, 1) for e in edges], "a string, b string, weight long")).collect()}
+    assert len(got) == 1000 and value_of(edges, got) > 0.92
+    runs = [got[f"{k:04}"] for k in range(1000)]
+    assert sum(a != b for a, b in zip(runs, runs[1:], strict=False)) == len(set(runs)) - 1  # communities are stretches of the path
+
+
 def test_moves_apart(spark):
     moves = spark.createDataFrame([("u1", "a", "b", 1.0), ("u2", "b", "c", 2.0), ("u3", "c", "d", 3.0), ("u4", "e", "f", 0.5), ("u5", "e", "g", 0.5)], "u string, c string, to string, more double")
     assert {r["u"] for r in graphs.apart(moves).collect()} == {"u3", "u4"}

@@ -15,7 +15,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df: pd.DataFrame) -> list:
     def text(x):
-        return "" if x is None or x is pd.NaT or x is pd.NA or x != x else repr(round(float(x), 6)) if isinstance(x, float) else str(x)
+        if x is None or x is pd.NaT or x is pd.NA or x != x:
+            return ""
+        return str(int(x)) if isinstance(x, float) and x == int(x) else repr(round(x, 6)) if isinstance(x, float) else str(x)  # a nullable column of integers may come as floats
 
     out = df[sorted(df.columns)].copy()
     for c in out.columns:

@@ -12,12 +12,12 @@ from trailmark.config import PEEL_HOPS, PEEL_SHARE, RISK_DECAY, RISK_HOPS, RISK_
 from trailmark.functions.scalars import micros
 from trailmark.operators.components import connected_components
 from trailmark.operators.hops import undirected_edges
-from trailmark.plans.shared import cut
+from trailmark.plans.shared import cut, remove_since, tables_written, written
 
 
-#: A rise of the modularity below this is taken for rounding.
-LEAST_GAIN = 1e-12
-#: So is a node's gain (in units of weight, rounded to nine digits) over staying of this or less.
+#: A round that raises the modularity by less ends what it tries (as in the published algorithm's usual form).
+LEAST_GAIN = 1e-7
+#: A node's gain (in units of weight, rounded to nine digits) over staying of this or less is taken for rounding.
 LEAST_MOVE = 5e-9
 #: Rounds whose matches are held apart before they are put together.
 FOLD = 20
@@ -37,21 +37,20 @@ def network_clusters(observations: DataFrame, keys=("ip_address", "device_id", "
     return groups.select(F.concat(F.lit("NET-"), "component").alias("cluster_id"), F.col("node").alias("wallet"))
 
 
-def modularity(ends: DataFrame, degree: DataFrame, label: DataFrame, m: float, resolution: float) -> float:
-    """Of the communities (label: u, c) of a graph (ends: u, v, w in both directions, loops once) of total weight m."""
-    inside = ends.join(label, "u").join(label.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").where("c = d")
-    within = inside.agg(F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(F.col("w") / 2))).first()[0] or 0.0
-    squares = label.join(degree, "u").groupBy("c").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") * F.col("tot"))).first()[0] or 0.0
-    return within / m - resolution * squares / (4 * m * m)
+def modularity(ends: DataFrame, label: DataFrame, m: float, resolution: float = 1.0) -> float:
+    """Of the communities (label: u, c, k = weighted degree) of a graph (ends: u, v, w in both directions, loops once) of total weight m."""
+    inside = ends.join(label.select("u", "c"), "u").join(label.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").where("c = d")
+    within = inside.agg(F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(F.col("w") / 2)).alias("x"))
+    squares = label.groupBy("c").agg(F.sum("k").alias("tot")).agg((F.sum(F.col("tot") * F.col("tot")) * (-resolution / (4 * m))).alias("x"))
+    return sum(r["x"] or 0.0 for r in within.unionAll(squares).collect()) / m
 
 
-def best_moves(ends: DataFrame, degree: DataFrame, label: DataFrame, turn, m: float, resolution: float) -> DataFrame:
-    """u, c, to, more: where each node whose turn it is gains most by moving, if it gains (``more`` than by staying)."""
-    size = label.join(degree, "u").groupBy("c").agg(F.sum("k").alias("tot"))
+def best_moves(ends: DataFrame, label: DataFrame, m: float, resolution: float) -> DataFrame:
+    """u, c, to, more: where each node gains most by moving, if it gains (``more`` than by staying)."""
+    size = label.groupBy("c").agg(F.sum("k").alias("tot"))
     near = ends.where("u <> v").join(label.select(F.col("u").alias("v"), F.col("c").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").alias("win"))
-    own = label.join(degree, "u").where(turn)
-    options = near.unionByName(own.select("u", F.col("c").alias("to"), F.lit(0.0).alias("win"))).groupBy("u", "to").agg(F.sum("win").alias("win"))
-    gain = options.join(own, "u").join(size.withColumnRenamed("c", "to"), "to")
+    options = near.unionAll(label.select("u", F.col("c").alias("to"), F.lit(0.0).alias("win"))).groupBy("u", "to").agg(F.sum("win").alias("win"))
+    gain = options.join(label, "u").join(size.withColumnRenamed("c", "to"), "to")
     tot = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
     gain = gain.withColumn("gain", F.round(F.col("win") - F.lit(resolution) * F.col("k") * tot / (2 * m), 9))
     stay = F.max(F.when(F.col("to") == F.col("c"), F.col("gain")))
@@ -59,64 +58,78 @@ def best_moves(ends: DataFrame, degree: DataFrame, label: DataFrame, turn, m: fl
     return best.where((F.col("to") != F.col("c")) & (F.col("more") > LEAST_MOVE))
 
 
+def not_adjacent(moves: DataFrame, ends: DataFrame, turn: int) -> DataFrame:
+    """Of the moves those whose node comes first, in an order by hash that differs each turn, of all moving nodes next to it: a colour
+    class of the graph of movers, which holds a fixed share of them on average, whatever the graph's diameter."""
+    first = F.struct(F.xxhash64("u", F.lit(turn)).alias("h"), "u")
+    movers = moves.select("u", first.alias("mine"))
+    beside = ends.where("u <> v").join(movers, "u").join(movers.select(F.col("u").alias("v"), F.col("mine").alias("other")), "v")
+    later = beside.where("other < mine").select("u").distinct()
+    return moves.join(later, "u", "left_anti")
+
+
 def apart(moves: DataFrame) -> DataFrame:
-    """Of the moves those that gain most (ties: the least node) of all that leave or enter either of their communities."""
+    """Of the moves those that gain most (ties: the least node) of all that leave or enter either of their communities. Their gains
+    add up exactly."""
     first = F.struct((-F.col("more")).alias("g"), "u")
     most = moves.select("u", "more", F.explode(F.array("c", "to")).alias("x")).groupBy("x").agg(F.min(first).alias("first"))
     a, b = most.select(F.col("x").alias("c"), F.col("first.u").alias("ua")), most.select(F.col("x").alias("to"), F.col("first.u").alias("ub"))
     return moves.join(a, "c").join(b, "to").where("u = ua and u = ub")
 
 
+def settled(ends: DataFrame, label: DataFrame, m: float, resolution: float, max_rounds: int) -> DataFrame:
+    """The labels (u, c, k) after local moving. A round moves a colour class of the nodes that gain; where that does not raise the
+    modularity (nodes that do not touch may still crowd a community) it is undone, and half of such a class moves, then only moves
+    of communities that no other one touches. Where those raise it no more, it is over."""
+    reached, caution = modularity(ends, label, m, resolution), 0
+    for turn in range(max_rounds):
+        moves = written(best_moves(ends, label, m, resolution), "moves")
+        if moves.isEmpty():
+            return label
+        if caution < 2:
+            moves = not_adjacent(moves, ends, turn)
+            moves = moves if caution == 0 else moves.where(F.xxhash64("u", F.lit(-turn)) % 2 == 0)
+        else:
+            moves = apart(moves)
+        tried = written(label.join(moves.select("u", "to"), "u", "left").select("u", F.coalesce("to", "c").alias("c"), "k"), "labels")
+        got = modularity(ends, tried, m, resolution)
+        if got > reached + LEAST_GAIN:
+            label, reached = tried, got
+        elif caution == 2:
+            return label
+        else:
+            caution += 1
+    raise RuntimeError(f"communities did not settle in {max_rounds} rounds")
+
+
 def communities(edges: DataFrame, resolution: float = 1.0, max_rounds: int = 10_000) -> DataFrame:
     """community_id, wallet: modularity communities of two or more on weighted undirected edges (a, b, weight).
 
-    Louvain's local moving, made parallel: in each round a hashed half of the nodes moves to the neighbouring community of
-    the largest modularity gain (ties: the least label) if it beats staying, the other half in the next round. Where such
-    a pass no longer raises the modularity it is undone, and from then on only moves between communities that no other
-    move of the round touches are made, whose gains add up exactly, until no node gains by moving. Then communities become
+    Louvain's local moving, made parallel: in each round a set of nodes no two of which touch moves to the neighbouring
+    community of the largest modularity gain (ties: the least label) if it beats staying (``settled``). Then communities become
     the next level's nodes, until a level brings no gain. Deterministic under any partitioning. Labels are least members,
-    so ids are TXC- and the least wallet. Each round gains, so all ends; ``max_rounds`` (a level) only guards by raising.
+    so ids are TXC- and the least wallet. Each round gains, so all ends; ``max_rounds`` (a level) only guards by raising. All
+    state is in tables, whose sizes the optimizer knows.
     """
-    e = cut(edges.select("a", "b", F.col("weight").cast("double").alias("w")))
+    spark = edges.sparkSession
+    e = written(edges.select("a", "b", F.col("weight").cast("double").alias("w")), "edges")
     m = e.agg(F.sum("w")).first()[0] or 1.0
-    of = e.select(F.explode(F.array("a", "b")).alias("wallet")).distinct().withColumn("node", F.col("wallet"))
+    of = written(e.select(F.explode(F.array("a", "b")).alias("wallet")).distinct().withColumn("node", F.col("wallet")), "nodes")
     while True:
+        mark = tables_written()
         ends = e.select("a", "b", "w").unionAll(e.where("a <> b").select("b", "a", "w"))
-        ends = cut(ends.toDF("u", "v", "w").groupBy("u", "v").agg(F.sum("w").alias("w")))
-        degree = cut(ends.groupBy("u").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k")))
-        label = cut(degree.select("u", F.col("u").alias("c")))
-        reached = modularity(ends, degree, label, m, resolution)
-        held, careful, steps = label, False, 0
-        for r in range(max_rounds):
-            turn = F.lit(True) if careful else F.pmod(F.xxhash64("u", F.lit(r // 2)), F.lit(2)) == r % 2
-            best = best_moves(ends, degree, label, turn, m, resolution)
-            if careful:
-                best = apart(cut(best))
-            best = cut(best.select("u", "to"))
-            step = best.count()
-            steps += step
-            if step:
-                label = cut(label.join(best, "u", "left").select("u", F.coalesce("to", "c").alias("c")))
-            if careful and not step:
-                break
-            if not careful and r % 2:
-                if not steps:
-                    break
-                got = modularity(ends, degree, label, m, resolution)
-                if got > reached + LEAST_GAIN:
-                    held, reached = label, got
-                else:
-                    label, careful = held, True
-                steps = 0
-        else:
-            raise RuntimeError(f"communities did not settle in {max_rounds} rounds")
+        ends = written(ends.toDF("u", "v", "w").groupBy("u", "v").agg(F.sum("w").alias("w")), "ends")
+        label = written(ends.groupBy("u").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k")).select("u", F.col("u").alias("c"), "k"), "labels")
+        label = settled(ends, label, m, resolution, max_rounds)
         name = label.groupBy("c").agg(F.min("u").alias("name"))
-        label = cut(label.join(name, "c").select(F.col("u").alias("node"), "name"))
-        of = cut(of.join(label, "node").select("wallet", F.col("name").alias("node")))
-        if label.where("node <> name").isEmpty():
-            break
+        label = written(label.join(name, "c").select(F.col("u").alias("node"), "name"), "names")
+        done = label.where("node <> name").isEmpty()
         la, lb = label.select(F.col("node").alias("a"), F.col("name").alias("na")), label.select(F.col("node").alias("b"), F.col("name").alias("nb"))
-        e = cut(e.join(la, "a").join(lb, "b").groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.sum("w").alias("w")))
+        e = written(e.join(la, "a").join(lb, "b").groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.sum("w").alias("w")), "edges")
+        of = written(of.join(label, "node").select("wallet", F.col("name").alias("node")), "nodes")
+        remove_since(spark, mark, keep=2)
+        if done:
+            break
     names = of.groupBy("node").agg(F.min("wallet").alias("least"), F.count("*").alias("n")).where("n > 1")
     return of.join(names, "node").select(F.concat(F.lit("TXC-"), "least").alias("community_id"), "wallet")
 
@@ -129,7 +142,8 @@ def stable_ids(new: DataFrame, old: DataFrame, group: str = "cluster_id", member
     """default_id, stable_id: clusters keep the id of the old cluster that they overlap most, each old id once.
 
     Greedy by overlap: a pair that is the best on both sides is always greedy's choice, so all such pairs are taken at once,
-    round by round until no pair is left (the best pair left is always one). New clusters without a match keep their own id, with a suffix if another cluster took it.
+    round by round until no pair is left (the best pair left is always one). New clusters without a match keep their own id; where
+    an old cluster has or had it, they get the least suffix from -2 on that neither an old cluster nor another new one has.
     """
     pairs = new.select(F.col(group).alias("fresh"), F.col(member).alias("m")).join(old.select(F.col(group).alias("kept"), F.col(member).alias("m")), "m")
     left = cut(pairs.groupBy("fresh", "kept").agg(F.count("*").alias("n")))
@@ -143,10 +157,16 @@ def stable_ids(new: DataFrame, old: DataFrame, group: str = "cluster_id", member
         left = cut(left.join(both.select("fresh"), "fresh", "left_anti").join(both.select("kept"), "kept", "left_anti"))
     names = new.select(F.col(group).alias("fresh")).distinct()
     matched = reduce(DataFrame.unionAll, taken) if taken else names.select("fresh", F.col("fresh").alias("kept")).limit(0)
-    used = matched.select(F.col("kept").alias("fresh"), F.lit(True).alias("used")).distinct()
-    got = names.join(matched, "fresh", "left").join(used, "fresh", "left")
-    own = F.when(F.col("used"), F.concat("fresh", F.lit("-2"))).otherwise(F.col("fresh"))
-    return got.select(F.col("fresh").alias("default_id"), F.coalesce("kept", own).alias("stable_id"))
+    got = names.join(matched, "fresh", "left")
+    before = old.select(F.col(group).alias("fresh")).distinct()
+    rest = got.where("kept is null").select("fresh")
+    clash = rest.join(before, "fresh", "left_semi")
+    # of the numbers from 2 on that stand behind each name in ids that are in use, those before the first gap
+    parts = before.unionAll(rest).distinct().select(F.regexp_extract("fresh", r"^(.*)-([1-9][0-9]{0,8})$", 1).alias("base"), F.regexp_extract("fresh", r"-([1-9][0-9]{0,8})$", 1).try_cast("int").alias("i"))
+    used = parts.where("i >= 2").join(clash.select(F.col("fresh").alias("base")), "base", "left_semi")
+    in_row = used.withColumn("k", F.row_number().over(W.partitionBy("base").orderBy("i"))).where("i = k + 1").groupBy(F.col("base").alias("fresh")).agg(F.max("i").alias("last"))
+    suffix = clash.join(in_row, "fresh", "left").select("fresh", F.concat("fresh", F.lit("-"), (F.coalesce("last", F.lit(1)) + 1).cast("string")).alias("other"))
+    return got.join(suffix, "fresh", "left").select(F.col("fresh").alias("default_id"), F.coalesce("kept", "other", "fresh").alias("stable_id"))
 
 
 def previous_event(events: DataFrame, key: str, us: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -243,26 +263,61 @@ def propagate_risk(transfers: DataFrame, seeds: list[str], decay: float = RISK_D
     return got.select("wallet", F.pow(F.lit(decay), F.col("hop")).alias("propagated_score"), F.col("hop").alias("hop_distance"), "path")
 
 
+def _meet(edges: DataFrame, start: str, end: str) -> list[str] | None:
+    """The least (in the order of its wallets) of the shortest paths along edges (u, v). Two searches meet: the smaller frontier goes
+    on, each wallet with the least path to it. The first wallets that both have reached lie on all shortest paths."""
+    spark = edges.sparkSession
+    there = edges.select(F.explode(F.array("u", "v")).alias("wallet")).where(F.col("wallet").isin(start, end)).distinct().count()
+    if start == end or there < 2:
+        return None
+    turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    sides = []
+    for wallet, along, join in ((start, edges, lambda path, w: F.concat(path, F.array(w))), (end, turned, lambda path, w: F.concat(F.array(w), path))):
+        front = written(spark.createDataFrame([(wallet, [wallet])], "wallet string, path array<string>"), "path-front")
+        sides.append({"edges": along, "front": front, "seen": front.select("wallet"), "n": 1, "add": join})
+    while True:
+        side = min(sides, key=lambda x: x["n"])
+        step = side["edges"].join(side["front"].withColumnRenamed("wallet", "u"), "u").join(side["seen"].select(F.col("wallet").alias("v")), "v", "left_anti")
+        step = step.groupBy(F.col("v").alias("wallet")).agg(F.min(side["add"](F.col("path"), F.col("v"))).alias("path"))
+        side["front"] = written(step, "path-front")
+        side["n"] = side["front"].count()
+        if not side["n"]:
+            return None
+        side["seen"] = written(side["seen"].unionAll(side["front"].select("wallet")), "path-seen")
+        a, b = sides[0]["front"], sides[1]["front"].select("wallet", F.col("path").alias("rest"))
+        whole = a.join(b, "wallet").agg(F.min(F.concat("path", F.expr("slice(rest, 2, size(rest) - 1)"))).alias("path")).first()["path"]
+        if whole:
+            return whole
+
+
+def trace_path(transfers: DataFrame, start: str, end: str) -> DataFrame:
+    """A row per hop of a shortest path: hop (from 1), mode (directed along transfers; undirected if there is no such path),
+    from_wallet, to_wallet, forward and backward (transfers either way), amount (what went forward). No rows for equal or unknown
+    wallets, or where no path is. Of equally short paths it is the least in the order of their wallets."""
+    spark, mark = transfers.sparkSession, tables_written()
+    flow = written(transfers.where("sender <> receiver").groupBy(F.col("sender").alias("u"), F.col("receiver").alias("v")).agg(F.count("*").alias("n"), F.sum("amount").alias("amount")), "path-flows")
+    either = flow.select("u", "v").unionAll(flow.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    schema, rows = "hop int, mode string, from_wallet string, to_wallet string", []
+    for mode, edges in (("directed", flow.select("u", "v")), ("undirected", either)):
+        path = _meet(edges, start, end)
+        if path:
+            rows = [(k + 1, mode, a, b) for k, (a, b) in enumerate(zip(path, path[1:], strict=False))]
+            break
+    hops = spark.createDataFrame(rows, schema)
+    forward = flow.select(F.col("u").alias("from_wallet"), F.col("v").alias("to_wallet"), F.col("n").alias("forward"), "amount")
+    backward = flow.select(F.col("v").alias("from_wallet"), F.col("u").alias("to_wallet"), F.col("n").alias("backward"))
+    zero = F.lit(0).cast("long")
+    got = hops.join(forward, ["from_wallet", "to_wallet"], "left").join(backward, ["from_wallet", "to_wallet"], "left")
+    got = written(got.select("hop", "mode", "from_wallet", "to_wallet", F.coalesce("forward", zero).alias("forward"), F.coalesce("backward", zero).alias("backward"), F.coalesce("amount", F.lit(0.0)).alias("amount")), "path")
+    remove_since(spark, mark, keep=1)
+    return got
+
+
 def shortest_path(transfers: DataFrame, start: str, end: str) -> DataFrame:
-    """position, wallet of a shortest path, along transfers if there is one, else ignoring their direction; empty if none.
-    Ties go to the smaller wallet at each step back from the end."""
-    spark = transfers.sparkSession
-    flow = cut(transfers.groupBy(F.col("sender").alias("u"), F.col("receiver").alias("v")).agg(F.count("*").alias("n")).select("u", "v"))
-    for edges in (flow, flow.unionAll(flow.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()):
-        seen = frontier = cut(spark.createDataFrame([(start, None)], "wallet string, parent string"))
-        while seen.where(F.col("wallet") == end).isEmpty() and not frontier.isEmpty():
-            frontier = cut(edges.join(frontier.select(F.col("wallet").alias("u")), "u").groupBy(F.col("v").alias("wallet")).agg(F.min("u").alias("parent")).join(seen, "wallet", "left_anti"))
-            seen = cut(seen.unionAll(frontier))
-        path, at = [], end
-        while at is not None:
-            row = seen.where(F.col("wallet") == at).first()
-            if row is None:
-                break
-            path.append(at)
-            at = row["parent"]
-        if path and path[-1] == start:
-            return spark.createDataFrame(list(enumerate(reversed(path))), "position int, wallet string")
-    return spark.createDataFrame([], "position int, wallet string")
+    """position (from 0), wallet of the path that ``trace_path`` finds; empty if none."""
+    hops = trace_path(transfers, start, end)
+    each = F.explode(F.when(F.col("hop") == 1, F.array("from_wallet", "to_wallet")).otherwise(F.array("to_wallet")))
+    return hops.select("hop", "to_wallet", each.alias("wallet")).select((F.col("hop") - (F.col("wallet") != F.col("to_wallet")).cast("int")).alias("position"), "wallet")
 
 
 def time_paths(transfers: DataFrame, within_days: float | None = None) -> DataFrame:
@@ -282,3 +337,27 @@ def time_paths(transfers: DataFrame, within_days: float | None = None) -> DataFr
     a = a.withColumnRenamed("w", "b").withColumnRenamed("r2", "w")
     b = a.join(nxt(3).withColumnRenamed("s3", "w"), ["w", "span"]).where(f"us3 > us2 and {soon.format(k=3)} and r3 <> s1 and r3 <> b")
     return b.select(F.col("s1").alias("a"), "b", F.col("w").alias("c"), F.col("r3").alias("d"), "t1", "t2", "t3")
+
+
+#: How many of the first senders to a wallet (and last receivers from it) decide: one may be the middle's other end, and of two more
+#: one differs from whatever is taken on the other side.
+ENDS_KEPT = 3
+
+
+def time_path_middles(transfers: DataFrame) -> DataFrame:
+    """transaction_id, b, c: transfers that are the middle of a simple three-hop path with strictly increasing times, at any distance
+    in time. Linear in the transfers: each wallet's first three distinct senders and last three distinct receivers decide."""
+    t = transfers.select("transaction_id", micros("ts").alias("us"), "sender", "receiver").where("sender <> receiver")
+
+    def ends(wallet: str, other: str, time, order) -> DataFrame:
+        each = t.groupBy(F.col(wallet).alias("wallet"), F.col(other).alias("other")).agg(time.alias("us"))
+        top = each.withColumn("k", F.row_number().over(W.partitionBy("wallet").orderBy(order, "other"))).where(F.col("k") <= ENDS_KEPT)
+        return top.groupBy("wallet").agg(F.collect_list(F.struct("us", "other")).alias("ends"))
+
+    first = ends("receiver", "sender", F.min("us"), F.asc("us")).select(F.col("wallet").alias("sender"), F.col("ends").alias("firsts"))
+    last = ends("sender", "receiver", F.max("us"), F.desc("us")).select(F.col("wallet").alias("receiver"), F.col("ends").alias("lasts"))
+    a = F.filter("firsts", lambda x: (x["us"] < F.col("us")) & (x["other"] != F.col("receiver")))
+    d = F.filter("lasts", lambda x: (x["us"] > F.col("us")) & (x["other"] != F.col("sender")))
+    got = t.join(first, "sender").join(last, "receiver").select("transaction_id", "sender", "receiver", a.alias("a"), d.alias("d"))
+    differ = (F.size("a") > 1) | (F.size("d") > 1) | (F.col("a")[0]["other"] != F.col("d")[0]["other"])
+    return got.where((F.size("a") > 0) & (F.size("d") > 0) & differ).select("transaction_id", F.col("sender").alias("b"), F.col("receiver").alias("c"))

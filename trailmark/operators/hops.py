@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.plans.shared import cut
+from trailmark.operators.fusion import ordinal
+from trailmark.plans.shared import remove_since, tables_written, written
 
-#: Up to this many edges the graph is broadcast (some 100 MB); beyond it, blocks of sources travel along joins.
-BROADCAST_EDGES = 5_000_000
-BLOCK = 512
+#: 64-bit masks of a row: the search goes from 64 times as many wallets at once in each row.
+MASKS = 8
 
 
 def undirected_edges(transfers: DataFrame) -> DataFrame:
@@ -20,86 +20,41 @@ def undirected_edges(transfers: DataFrame) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.count("*").alias("transfers"))
 
 
-def symmetric(edges: DataFrame) -> DataFrame:
-    """u, v: both directions of each edge."""
-    both = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
-    return edges.select(both.alias("e")).select("e.*")
-
-
-def _distances(start: np.ndarray, neighbours: np.ndarray, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of distances, nodes reached) per source, by breadth-first search with a bit per source."""
-    n, words = len(start) - 1, -(-len(sources) // 8)
-    seen = np.zeros((n, words), np.uint8)
-    seen[sources, np.arange(len(sources)) // 8] |= (1 << (7 - np.arange(len(sources)) % 8)).astype(np.uint8)
-    front, total, reached, level = seen.copy(), np.zeros(len(sources)), np.zeros(len(sources)), 0
-    has = np.flatnonzero(np.diff(start) > 0)
+def hop_distance(transfers: DataFrame, masks: int = MASKS) -> DataFrame:
+    """wallet, hop_distance: null for a wallet that reaches no other (one without a link to another has no row).
+
+    One search from all wallets at once: a row per wallet and block of 64 x ``masks`` sources has a bit for each source that
+    has reached it. A level is a join of what is new with the edges and a bitwise or per wallet and block; levels (at most the
+    diameter) are the only loop. Distances are symmetric, so what reaches a wallet at a level counts for its own mean. Exact; its
+    rows are wallets squared over the bits of a row, by definition of the measure.
+    """
+    spark, mark, each = transfers.sparkSession, tables_written(), range(masks)
+    edges = undirected_edges(transfers).select("a", "b")
+    of = written(ordinal(edges.select(F.explode(F.array("a", "b")).alias("wallet")).distinct(), F.asc("wallet"), name="k").withColumn("k", F.col("k") - 1), "hop-wallets")
+    a, b = of.select(F.col("wallet").alias("a"), F.col("k").alias("u")), of.select(F.col("wallet").alias("b"), F.col("k").alias("v"))
+    both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    sym = written(edges.join(a, "a").join(b, "b").select(both.alias("e")).select("e.*"), "hop-edges")
+    bit = F.expr("shiftleft(1L, cast(k % 64 as int))")
+    start = [F.when(F.floor(F.col("k") / 64) % masks == i, bit).otherwise(F.lit(0).cast("long")) for i in each]
+    state = written(of.select("k", F.floor(F.col("k") / (64 * masks)).alias("block"), *[x.alias(f"s{i}") for i, x in enumerate(start)], *[x.alias(f"f{i}") for i, x in enumerate(start)]), "hop-state")
+    some = " or ".join(f"f{i} <> 0" for i in each)
+    level, found, zero = 0, [], F.lit(0).cast("long")
     while True:
         level += 1
-        reach = np.zeros_like(seen)
-        reach[has] = np.bitwise_or.reduceat(front[neighbours], start[has], axis=0)
-        front = reach & ~seen
-        new = np.zeros(words * 8)
-        for a in range(0, n, 4096):
-            new += np.unpackbits(front[a : a + 4096], axis=1).sum(axis=0)
-        new = new[: len(sources)]
-        if not new.any():
-            return total, reached
-        total, reached = total + level * new, reached + new
-        seen |= front
-
-
-def hop_distance(transfers: DataFrame, block: int = BLOCK, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
-    """wallet, hop_distance: null for a wallet that reaches no other. Exact; its work is inherently wallets x edges / 64."""
-    edges = cut(undirected_edges(transfers))
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("wallet")).distinct()
-    if edges.count() > broadcast_edges:
-        return _by_joins(edges, nodes, block)
-    got = edges.select("a", "b").toArrow()
-    names, at = np.unique(np.concatenate([got.column("a").to_numpy(), got.column("b").to_numpy()]).astype(str), return_inverse=True)
-    a, b = at[: len(got)], at[len(got) :]
-    u, v = np.concatenate([a, b]), np.concatenate([b, a])
-    by = np.argsort(u, kind="stable")
-    start = np.searchsorted(u[by], np.arange(len(names) + 1))
-    shared = transfers.sparkSession.sparkContext.broadcast((start, v[by].astype(np.int32), names))
-
-    def run(batches):
-        start, neighbours, names = shared.value
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                sources = np.arange(k * block, min((k + 1) * block, len(names)))
-                total, reached = _distances(start, neighbours, sources)
-                mean = [t / r if r else None for t, r in zip(total, reached, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names[sources].tolist()), pa.array(mean, pa.float64())], names=["wallet", "hop_distance"])
-
-    blocks = max(1, -(-len(names) // block))
-    return transfers.sparkSession.range(0, blocks, 1, blocks).mapInArrow(run, "wallet string, hop_distance double")
-
-
-def _by_joins(edges: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """The same with the graph left distributed: a level is a join and a bitwise aggregate over 64 sources per column."""
-    from trailmark.operators.fusion import ordinal
-
-    sym, words = cut(symmetric(edges)), block // 64
-    ranked = cut(ordinal(nodes, F.asc("wallet"), name="k").withColumn("k", F.col("k") - 1))
-    total = None
-    for b in range(-(-ranked.count() // block)):
-        mine = ranked.where(F.floor(F.col("k") / block) == b)
-        bits = [F.when(F.floor((F.col("k") % block) / 64) == w, F.expr("shiftleft(1L, cast(k % 64 as int))")).otherwise(0).cast("long").alias(f"s{w}") for w in range(words)]
-        seen = front = cut(mine.select("wallet", *bits))
-        found, level = [], 0
-        while True:
-            level += 1
-            reach = sym.join(front, sym.v == front.wallet).groupBy(F.col("u").alias("wallet")).agg(*[F.bit_or(f"s{w}").alias(f"r{w}") for w in range(words)])
-            both = reach.join(seen, "wallet", "left")
-            fresh = both.select("wallet", *[F.col(f"r{w}").bitwiseAND(F.bitwise_not(F.coalesce(f"s{w}", F.lit(0).cast("long")))).alias(f"s{w}") for w in range(words)])
-            front = cut(fresh.where(" or ".join(f"s{w} <> 0" for w in range(words))))
-            if front.isEmpty():
-                break
-            flat = front.select(F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"s{w}").alias("x")) for w in range(words)])).alias("e")).select("e.*").where("x <> 0")
-            one = flat.select("w", F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(x, i) & 1) = 1)")).alias("i")).groupBy("w", "i").agg(F.count("*").alias("n"))
-            found.append(one.select((F.col("w") * 64 + F.col("i") + b * block).cast("long").alias("k"), (F.col("n") * level).alias("d"), "n"))
-            seen = cut(seen.unionAll(front).groupBy("wallet").agg(*[F.bit_or(f"s{w}").alias(f"s{w}") for w in range(words)]))
-        for part in found:
-            total = part if total is None else total.unionAll(part)
-    sums = total.groupBy("k").agg((F.sum("d") / F.sum("n")).alias("hop_distance"))
-    return ranked.join(sums, "k", "left").select("wallet", "hop_distance")
+        front = state.where(some).select(F.col("k").alias("v"), "block", *[f"f{i}" for i in each])
+        reach = sym.join(front, "v").groupBy(F.col("u").alias("k"), "block").agg(*[F.bit_or(f"f{i}").alias(f"r{i}") for i in each])
+        seen = state.select("k", "block", *[f"s{i}" for i in each])
+        met = reach.join(seen, ["k", "block"], "full")
+        s, r = [F.coalesce(f"s{i}", zero) for i in each], [F.coalesce(f"r{i}", zero) for i in each]
+        state = written(met.select("k", "block", *[x.bitwiseOR(y).alias(f"s{i}") for i, (x, y) in enumerate(zip(s, r, strict=True))], *[y.bitwiseAND(F.bitwise_not(x)).alias(f"f{i}") for i, (x, y) in enumerate(zip(s, r, strict=True))]), "hop-state")
+        new = reduce(lambda x, y: x + y, [F.bit_count(f"f{i}") for i in each])
+        counts = written(state.where(some).groupBy("k").agg(F.sum(new).alias("n")).select("k", "n", (F.col("n") * level).alias("d")), "hop-level")
+        if counts.isEmpty():
+            break
+        found.append(counts)
+    if not found:
+        return of.select("wallet", F.lit(None).cast("double").alias("hop_distance"))
+    sums = reduce(DataFrame.unionAll, found).groupBy("k").agg((F.sum("d") / F.sum("n")).alias("hop_distance"))
+    got = written(of.join(sums, "k", "left").select("wallet", "hop_distance"), "hop-distance")
+    remove_since(spark, mark, keep=1)
+    return got

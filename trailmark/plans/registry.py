@@ -190,6 +190,13 @@ register("risk_propagation", sql(f"WITH e AS (SELECT DISTINCT sender AS a, recei
     lambda s, d: graphs.propagate_risk(views.transfers(s, d), [FOCUS]).drop("path")
 )
 register("shortest_path")(lambda s, d: graphs.shortest_path(views.transfers(s, d), FOCUS, "w000042"))
+register(
+    "trace_path",
+    sql(f"WITH e AS (SELECT sender AS u, receiver AS v, count(*) AS n, sum(amount) AS amount FROM t GROUP BY ALL), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), d AS (SELECT '{FOCUS}' AS n, ['{FOCUS}'] AS p UNION ALL SELECT e.v, list_append(d.p, e.v) FROM d JOIN e ON e.u = d.n WHERE len(d.p) < 4 AND NOT list_contains(d.p, e.v)), x AS (SELECT '{FOCUS}' AS n, ['{FOCUS}'] AS p UNION ALL SELECT s.v, list_append(x.p, s.v) FROM x JOIN s ON s.u = x.n WHERE len(x.p) < 3 AND NOT list_contains(x.p, s.v)), best AS (SELECT mode, p FROM (SELECT 0 AS o, 'directed' AS mode, p FROM d WHERE n = 'w000042' UNION ALL SELECT 1, 'undirected', p FROM x WHERE n = 'w000042') ORDER BY o, len(p), p LIMIT 1), h AS (SELECT mode, p, unnest(range(1, len(p))) AS hop FROM best) SELECT CAST(hop AS INTEGER) AS hop, mode, p[hop] AS from_wallet, p[hop + 1] AS to_wallet, coalesce(f.n, 0) AS forward, coalesce(b.n, 0) AS backward, round(coalesce(f.amount, 0), 4) AS amount FROM h LEFT JOIN e f ON f.u = p[hop] AND f.v = p[hop + 1] LEFT JOIN e b ON b.u = p[hop + 1] AND b.v = p[hop]", "t", recursive=True),
+)(lambda s, d: graphs.trace_path(views.transfers(s, d), FOCUS, "w000042").withColumn("amount", F.round("amount", 4)))  # paths of up to three hops in SQL
+register("time_path_middles", sql("SELECT transaction_id, sender AS b, receiver AS c FROM t m WHERE EXISTS (SELECT 1 FROM t a JOIN t d ON a.sender <> d.receiver WHERE a.receiver = m.sender AND d.sender = m.receiver AND a.ts < m.ts AND d.ts > m.ts AND a.sender <> m.receiver AND d.receiver <> m.sender)", "t"))(
+    lambda s, d: graphs.time_path_middles(views.transfers(s, d))
+)
 register("time_paths", sql("WITH u AS (SELECT transaction_id AS i, epoch_us(ts) AS us, sender AS s, receiver AS r FROM t) SELECT a.s AS a, b.s AS b, c.s AS c, c.r AS d, a.i AS t1, b.i AS t2, c.i AS t3 FROM u a JOIN u b ON a.r = b.s AND b.us > a.us AND b.us < a.us + 43200000000 AND b.r <> a.s JOIN u c ON b.r = c.s AND c.us > b.us AND c.us < a.us + 43200000000 AND c.r <> a.s AND c.r <> b.s", "t"))(
     lambda s, d: graphs.time_paths(views.transfers(s, d), 0.5)
 )
