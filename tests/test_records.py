@@ -63,10 +63,38 @@ def test_runs_purge_and_staleness(spark, tmp_path):
     for source, run in (("a", 1), ("a", 2), ("b", 1)):
         analysis.save_run(result, folder, source, run)
     table = spark.read.parquet(f"{folder}/leads")
-    assert table.count() == 3 and [r["run_id"] for r in analysis.latest_run(table, "a").collect()] == [2]
+    assert {(r["source"], r["run_id"]) for r in table.collect()} == {("a", 2), ("b", 1)} and [r["run_id"] for r in analysis.current(spark, folder, "leads", "a").collect()] == [2]
     assert records.purge_source(spark, folder, ("leads", "cases"), "a") == ["leads"] and [r["source"] for r in spark.read.parquet(f"{folder}/leads").collect()] == ["b"]
-    runs = spark.createDataFrame([("a", k, "completed" if k < 60 else "failed", k) for k in range(1, 61)], "source string, run_id long, status string, transfer_count long")
-    assert analysis.run_history(runs).count() == 50 and not analysis.stale(runs, spark.range(59)) and analysis.stale(runs, spark.range(60))
+    runs = spark.createDataFrame([("a", k, "completed" if k < 60 else "failed", k) for k in range(1, 61)] + [("b", 2, "completed", 5)], "source string, run_id long, status string, transfer_count long")
+    assert analysis.run_history(runs).count() == 51 and analysis.latest_run(runs, "a").first()["run_id"] == 59
+    stale = lambda n, source: analysis.stale(runs, spark.range(n), source)
+    assert (stale(59, "a"), stale(60, "a"), stale(5, "b"), stale(6, "b"), stale(0, "c"), stale(1, "c")) == (False, True, False, True, False, True)
+
+
+def test_run_state_survives_a_crash(spark, tmp_path, monkeypatch):
+    """A run that stops between two writes leaves the state as it was; leads keep their first time; records are kept to a number."""
+    from datetime import timedelta
+
+    t0, folder = datetime(2025, 1, 1), str(tmp_path / "state")
+    leads_of = lambda *ws: (lambda df: analysis.Analysis(df, df, df, df, df, df))(spark.createDataFrame([(w, 1.0) for w in ws], "wallet string, x double"))
+    state = lambda: {r["wallet"]: r["first_flagged_at"] for r in analysis.current(spark, folder, "leads", "a").collect()}
+    assert analysis.current(spark, folder, "leads", "a") is None
+    analysis.save_run(leads_of("u", "v"), folder, "a", 1, t0)
+    assert state() == {"u": t0, "v": t0}
+    make = analysis.Folder.create
+    monkeypatch.setattr(analysis.Folder, "create", lambda self, name: (_ for _ in ()).throw(OSError("lost")) if "_manifests" in name else make(self, name))
+    with pytest.raises(OSError, match="lost"):
+        analysis.save_run(leads_of("v", "w"), folder, "a", 2, t0 + timedelta(days=1))
+    monkeypatch.setattr(analysis.Folder, "create", make)
+    assert analysis.current_run(spark, folder, "a") == 1 and state() == {"u": t0, "v": t0}
+    analysis.save_run(leads_of("v", "w"), folder, "a", 2, t0 + timedelta(days=2))
+    assert state() == {"v": t0, "w": t0 + timedelta(days=2)} and spark.read.parquet(f"{folder}/features").select("run_id").distinct().count() == 1
+    changes = analysis.lead_changes(leads_of("u", "v").leads, leads_of("v", "w").leads)
+    assert {tuple(r) for r in changes.collect()} == {("u", "gone"), ("v", "kept"), ("w", "new")}
+    for k in range(1, 6):
+        analysis.note_run(spark, folder, ("a", k, "running", k, t0, None, None), keep=3)
+        analysis.note_run(spark, folder, ("a", k, "completed", k, t0, t0, None), keep=3)
+    assert sorted((r["run_id"], r["status"]) for r in analysis.run_records(spark, folder).collect()) == [(k, "completed") for k in (3, 4, 5)]
 
 
 def test_failed_and_concurrent_runs(spark, tmp_path):
@@ -75,11 +103,13 @@ def test_failed_and_concurrent_runs(spark, tmp_path):
     for _ in range(2):
         with pytest.raises(ValueError, match="fewer than 20"):
             analysis.run_analysis(t, folder, "a")
-    runs = spark.read.parquet(f"{folder}/runs").orderBy("run_id").collect()
+    runs = analysis.run_records(spark, folder).orderBy("run_id").collect()
     assert [(r["run_id"], r["status"], r["transfer_count"], r["error"][:10]) for r in runs] == [(1, "failed", 1, "ValueError"), (2, "failed", 1, "ValueError")]
     (tmp_path / "runs" / "_running-a").touch()
     with pytest.raises(RuntimeError, match="running"):
         analysis.run_analysis(t, folder, "a")
+    with pytest.raises(ValueError, match="fewer than 20"):  # the lock of a driver that is lost
+        analysis.run_analysis(t, folder, "a", lock_seconds=-1)
     analysis.replace_source(spark.createDataFrame([("x",)], "c string"), f"{folder}/chains", "a")
     analysis.replace_source(spark.createDataFrame([("y",)], "c string"), f"{folder}/chains", "b")
     analysis.replace_source(spark.createDataFrame([("z",)], "c string"), f"{folder}/chains", "a")

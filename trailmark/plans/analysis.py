@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.config import FEATURES, MIN_SCORED_WALLETS, RUN_HISTORY
@@ -52,6 +53,13 @@ def merge_leads(previous: DataFrame, current: DataFrame, now) -> DataFrame:
     return current.join(first, "wallet", "left").withColumn("first_flagged_at", F.coalesce("_first", F.lit(now).cast("timestamp_ntz"))).drop("_first")
 
 
+def lead_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """wallet, change: new, kept or gone, of all leads before and now."""
+    p, c = previous.select("wallet", F.lit(1).alias("_p")), current.select("wallet", F.lit(1).alias("_c"))
+    change = F.when(F.col("_p").isNull(), "new").when(F.col("_c").isNull(), "gone").otherwise("kept")
+    return p.join(c, "wallet", "full").select("wallet", change.alias("change"))
+
+
 def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
     """Write a table's partitions by ``keys`` in place of the ones of equal keys; all others stay."""
     spark = df.sparkSession
@@ -68,45 +76,113 @@ def replace_source(df: DataFrame, path: str, source: str) -> None:
     replace_partitions(df.withColumn("source", F.lit(source)), path, "source")
 
 
-def save_run(result: Analysis, folder: str, source: str, run_id: int) -> None:
-    """Write a run's tables under source= and run_id= folders, the newest of which are the current state."""
-    for name in ("features", "anomaly", "findings", "fusion", "leads"):
-        replace_partitions(getattr(result, name).withColumn("source", F.lit(source)).withColumn("run_id", F.lit(run_id)), f"{folder}/{name}", "source", "run_id")
+#: The tables of a run, and how long an analysis may hold its source before another takes it for lost.
+TABLES = ("features", "anomaly", "findings", "fusion", "leads")
+LOCK_SECONDS = 6 * 3600
+
+
+class Folder:
+    """The files of a state folder, on whatever store it is."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.jvm = spark, folder, spark.sparkContext._jvm
+        self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def names(self, name: str) -> list[str]:
+        at = self.path(name)
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
+    def create(self, name: str) -> bool:
+        """Whether this call made the (empty) file; only one of several at the same time does."""
+        return self.fs.createNewFile(self.path(name))
+
+    def age(self, name: str) -> float:
+        """Seconds since it was written."""
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
+
+def current_run(spark: SparkSession, folder: str, source: str) -> int | None:
+    """The run whose tables are a source's state: the newest one with a manifest, which is the last thing that a run writes."""
+    done = [int(x) for x in Folder(spark, folder).names(f"_manifests/source={source}") if x.isdigit()]
+    return max(done, default=None)
+
 
+def current(spark: SparkSession, folder: str, name: str, source: str) -> DataFrame | None:
+    """A table of a source's state; only that run's files are read. None before the first run is done."""
+    run = current_run(spark, folder, source)
+    return None if run is None else spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}/source={source}/run_id={run}")
 
-def run_analysis(transfers: DataFrame, folder: str, source: str) -> int:
-    """Analyse a source, save the run and note it in the table of runs; returns the run's id. One run of a source at a time: a second one
-    raises. A run that fails is noted with its error, which is raised on."""
+
+def save_run(result: Analysis, folder: str, source: str, run_id: int, now: datetime | None = None) -> None:
+    """Make a run's tables the state of its source. Leads keep the time at which they were first flagged; those that are gone go.
+
+    Tables are written under source= and run_id= folders that nobody reads yet; then the manifest appears, at once; then
+    older runs' tables go. A run that stops before the manifest leaves the state as it was, and writing it again begins anew."""
+    spark = result.leads.sparkSession
+    files, before = Folder(spark, folder), current(spark, folder, "leads", source)
+    now = (now or datetime.now(UTC)).replace(tzinfo=None)
+    leads = result.leads.withColumn("first_flagged_at", F.lit(now).cast("timestamp_ntz")) if before is None else merge_leads(before, result.leads, now)
+    for name in TABLES:
+        df = leads if name == "leads" else getattr(result, name)
+        df.write.mode("overwrite").parquet(f"{folder}/{name}/source={source}/run_id={run_id}")
+    files.create(f"_manifests/source={source}/{run_id}")
+    for name in TABLES:
+        for old in files.names(f"{name}/source={source}"):
+            if old.startswith("run_id=") and int(old.removeprefix("run_id=")) < run_id:
+                files.delete(f"{name}/source={source}/{old}")
+    for old in files.names(f"_manifests/source={source}"):
+        if old.isdigit() and int(old) < run_id:
+            files.delete(f"_manifests/source={source}/{old}")
+
+
+def note_run(spark: SparkSession, folder: str, row: tuple, keep: int = RUN_HISTORY) -> None:
+    """Write a record (RUN) of a run, in place of one of the same number, and drop all but the ``keep`` newest of its source."""
+    source, run_id, files = row[0], row[1], Folder(spark, folder)
+    spark.createDataFrame([row], RUN).drop("source", "run_id").coalesce(1).write.mode("overwrite").parquet(f"{folder}/runs/source={source}/run_id={run_id}")
+    there = sorted(int(x.removeprefix("run_id=")) for x in files.names(f"runs/source={source}") if x.startswith("run_id="))
+    for old in there[:-keep]:
+        files.delete(f"runs/source={source}/run_id={old}")
+
+
+def run_records(spark: SparkSession, folder: str) -> DataFrame:
+    """All records of runs (RUN); empty before the first."""
+    return spark.read.schema(RUN).parquet(f"{folder}/runs") if Folder(spark, folder).names("runs") else spark.createDataFrame([], RUN)
+
+
+def run_analysis(transfers: DataFrame, folder: str, source: str, lock_seconds: float = LOCK_SECONDS) -> int:
+    """Analyse a source, make the result its state and note the run; returns the run's id. One run of a source at a time: a second
+    one raises, unless the first began more than ``lock_seconds`` ago and so is taken for lost. A run that fails is noted with its
+    error, which is raised on."""
     spark = transfers.sparkSession
-    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-    lock, table = path(f"{folder}/_running-{source}"), path(f"{folder}/runs")
-    fs = lock.getFileSystem(conf)
-    if not fs.createNewFile(lock):
-        raise RuntimeError(f"an analysis of {source} is running")
+    files, lock = Folder(spark, folder), f"_running-{source}"
+    if not files.create(lock):
+        if files.age(lock) <= lock_seconds:
+            raise RuntimeError(f"an analysis of {source} is running")
+        files.delete(lock)
+        if not files.create(lock):
+            raise RuntimeError(f"an analysis of {source} has just begun")
     try:
-        runs = spark.read.schema(RUN).parquet(f"{folder}/runs") if fs.exists(table) else spark.createDataFrame([], RUN)
-        run_id = 1 + (runs.where(F.col("source") == source).agg(F.max("run_id")).first()[0] or 0)
-        began, error, n = datetime.now(UTC), None, transfers.count()
+        run_id = 1 + max((int(x.removeprefix("run_id=")) for x in files.names(f"runs/source={source}") if x.startswith("run_id=")), default=0)
+        began, error, n = datetime.now(UTC).replace(tzinfo=None), None, transfers.count()
+        note_run(spark, folder, (source, run_id, "running", n, began, None, None))
         try:
             save_run(analyse(transfers), folder, source, run_id)
         except Exception as e:
             error = f"{type(e).__name__}: {e}"
             raise
         finally:
-            row = (source, run_id, "failed" if error else "completed", n, began.replace(tzinfo=None), datetime.now(UTC).replace(tzinfo=None), error)
-            spark.createDataFrame([row], RUN).write.mode("append").parquet(f"{folder}/runs")
+            note_run(spark, folder, (source, run_id, "failed" if error else "completed", n, began, datetime.now(UTC).replace(tzinfo=None), error))
     finally:
-        fs.delete(lock, False)
+        files.delete(lock)
     return run_id
 
 
-def latest_run(table: DataFrame, source: str) -> DataFrame:
-    """The rows of a source's newest run; only that partition is read."""
-    mine = table.where(F.col("source") == source)
-    run = mine.agg(F.max("run_id")).first()[0]
-    return mine.where(F.col("run_id") == (-1 if run is None else run))
-
-
 def run_history(runs: DataFrame, keep: int = RUN_HISTORY) -> DataFrame:
     """The newest runs of each source."""
     from pyspark.sql import Window as W
@@ -114,10 +190,15 @@ def run_history(runs: DataFrame, keep: int = RUN_HISTORY) -> DataFrame:
     return runs.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy(F.desc("run_id")))).where(F.col("k") <= keep).drop("k")
 
 
-def stale(runs: DataFrame, transfers: DataFrame) -> bool:
-    """Whether the newest completed run saw another number of transfers than there are now."""
-    last = runs.where("status = 'completed'").agg(F.max_by("transfer_count", "run_id")).first()[0]
-    return last is None or last != transfers.count()
+def latest_run(runs: DataFrame, source: str) -> DataFrame:
+    """The newest completed run of a source (RUN; one row, or none)."""
+    return runs.where((F.col("source") == source) & (F.col("status") == "completed")).orderBy(F.desc("run_id")).limit(1)
+
+
+def stale(runs: DataFrame, transfers: DataFrame, source: str) -> bool:
+    """Whether a source's newest completed run saw another number of its transfers than there are now. An empty ledger is not stale."""
+    n, last = transfers.count(), latest_run(runs, source).first()
+    return n > 0 and (last is None or last["transfer_count"] != n)
 
 
 def case_states(events: DataFrame) -> DataFrame:
