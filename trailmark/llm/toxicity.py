@@ -266,9 +266,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, bits: int
     """Counts over all training documents with a label but every fifth, and the curve's weights on ``fit_docs`` of those. None if
     not both labels occur."""
     rows = _labelled(docs.where(training()), labels.where(training()))
-    model = fit_counts(written(count_words(rows.where(~_fold())), "toxic-words"), bits)
-    if not (model.total.sum(axis=0) > 0).all():
+    words = written(count_words(rows.where(~_fold())), "toxic-words")
+    if not all(words.agg(F.sum("tox"), F.sum("ord")).first()):
         return None
+    model = fit_counts(words, bits)
     n = labels.where(training() & _fold()).count()
     drawn = training() & _fold() & (F.xxhash64(_id(), F.lit(11)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53)) < min(1.0, fit_docs / max(n, 1)))
     got = measured(_labelled(docs.where(drawn), labels.where(drawn)), model).where("measures is not null").select("measures", "y").toArrow()
