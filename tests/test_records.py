@@ -138,3 +138,38 @@ def test_observations(spark):
     assert [tuple(r) for r in got] == [("obs-2-R", "receiver"), ("obs-3", None), ("obs-1-S", "sender")]
     r = records.key_profile(o.withColumn("transaction_id", F.lit("t")), "ip_address", ("device_id",)).where("ip_address = 'i'").first()
     assert (r["n"], r["wallets"], r["transactions"], r["device_id_count"], r["device_id_list"]) == (2, 1, 1, 1, ["d"])
+
+
+def test_ingest_state_under_late_rows_and_replays(spark, tmp_path):
+    """Spans and numbers kept batch by batch equal those of the whole, whatever comes late, runs twice or stops halfway."""
+    import random
+    from datetime import timedelta
+
+    from trailmark.streaming import wallets
+
+    rng, folder, t0 = random.Random(3), str(tmp_path / "state"), datetime(2025, 1, 1)
+    columns = "transaction_id string, position long, ts timestamp_ntz, sender string, receiver string"
+    rows = [(None if rng.random() < 0.5 else f"x{k}", k, t0 + timedelta(minutes=rng.randrange(10_000)), f"w{rng.randrange(12)}", f"w{rng.randrange(12)}") for k in range(120)]
+    rows[70] = ("syn-000500", *rows[70][1:])  # a number that came with its row
+    batches, stored, want, last = [rows[a : a + 30] for a in range(0, 120, 30)], {}, [], 0
+    for b, some in enumerate(batches):
+        for again in range(2 if b in (1, 3) else 1):  # run again, as after a failure: the same numbers
+            before = wallets.last_number(spark, folder, b)
+            got = wallets.number(spark.createDataFrame(some, columns).repartition(3), before)
+            stored[b] = {r["position"]: r["transaction_id"] for r in got.collect()}
+            wallets.keep_spans(got, folder, b)
+            wallets.keep_number(got, folder, b, before)
+        for i, k, *_ in some:
+            last += i is None
+            want.append((k, i or f"syn-{last:06d}"))
+        last = max([last, *(int(i[4:]) for i, *_ in some if i and i.startswith("syn-"))])
+        if b == 2:
+            assert wallets.compact(spark, folder) == 1
+    assert [x for s in stored.values() for x in sorted(s.items())] == want and wallets.last_number(spark, folder) == last > 500
+    ends = [(w, ts) for _, _, ts, a, b in rows for w in {a, b}]
+    whole = {w: (min(t for x, t in ends if x == w), max(t for x, t in ends if x == w), sum(x == w for x, _ in ends)) for w, _ in ends}
+    spans = lambda: {r["wallet"]: tuple(r)[1:] for r in wallets.wallet_spans(spark, folder).collect()}
+    assert spans() == whole
+    (tmp_path / "state" / "base" / "upto=3").mkdir()  # a base that was not finished does not count
+    assert spans() == whole and wallets.compact(spark, folder, leave=0) == 3 and spans() == whole
+    assert wallets.wallet_spans(spark, str(tmp_path / "none")).count() == 0

@@ -15,8 +15,8 @@ from trailmark.operators.hops import undirected_edges
 from trailmark.plans.shared import cut, remove_since, tables_written, written
 
 
-#: A round that raises the modularity by less ends what it tries (as in the published algorithm's usual form).
-LEAST_GAIN = 1e-7
+#: A round that raises the modularity by less than this is the last of its kind; what it gains is kept.
+LEAST_GAIN = 1e-4
 #: A node's gain (in units of weight, rounded to nine digits) over staying of this or less is taken for rounding.
 LEAST_MOVE = 5e-9
 #: Rounds whose matches are held apart before they are put together.
@@ -77,27 +77,32 @@ def apart(moves: DataFrame) -> DataFrame:
     return moves.join(a, "c").join(b, "to").where("u = ua and u = ub")
 
 
+#: Shares of the nodes that gain by moving which move at once, by hash, before only those move that do not touch.
+SHARES = (2, 8)
+
+
 def settled(ends: DataFrame, label: DataFrame, m: float, resolution: float, max_rounds: int) -> DataFrame:
-    """The labels (u, c, k) after local moving. A round moves a colour class of the nodes that gain; where that does not raise the
-    modularity (nodes that do not touch may still crowd a community) it is undone, and half of such a class moves, then only moves
-    of communities that no other one touches. Where those raise it no more, it is over."""
+    """The labels (u, c, k) after local moving. A round moves a hashed share of the nodes that gain. Where that raises the
+    modularity by less than LEAST_GAIN (nodes that move at once may miss each other, or crowd a community; a loss is undone), a
+    smaller share moves from then on, then a colour class, then only moves of communities that no other move touches; then it
+    is over. Rounds follow neither the diameter nor, in a dense graph, the number of colours."""
     reached, caution = modularity(ends, label, m, resolution), 0
     for turn in range(max_rounds):
         moves = written(best_moves(ends, label, m, resolution), "moves")
         if moves.isEmpty():
             return label
-        if caution < 2:
-            moves = not_adjacent(moves, ends, turn)
-            moves = moves if caution == 0 else moves.where(F.xxhash64("u", F.lit(-turn)) % 2 == 0)
+        if caution < len(SHARES):
+            moves = moves.where(F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(SHARES[caution])) == 0)
         else:
-            moves = apart(moves)
+            moves = not_adjacent(moves, ends, turn) if caution == len(SHARES) else apart(moves)
         tried = written(label.join(moves.select("u", "to"), "u", "left").select("u", F.coalesce("to", "c").alias("c"), "k"), "labels")
         got = modularity(ends, tried, m, resolution)
-        if got > reached + LEAST_GAIN:
+        gain = got - reached
+        if gain > 0:
             label, reached = tried, got
-        elif caution == 2:
-            return label
-        else:
+        if gain < LEAST_GAIN:
+            if caution > len(SHARES):
+                return label
             caution += 1
     raise RuntimeError(f"communities did not settle in {max_rounds} rounds")
 
@@ -105,8 +110,8 @@ def settled(ends: DataFrame, label: DataFrame, m: float, resolution: float, max_
 def communities(edges: DataFrame, resolution: float = 1.0, max_rounds: int = 10_000) -> DataFrame:
     """community_id, wallet: modularity communities of two or more on weighted undirected edges (a, b, weight).
 
-    Louvain's local moving, made parallel: in each round a set of nodes no two of which touch moves to the neighbouring
-    community of the largest modularity gain (ties: the least label) if it beats staying (``settled``). Then communities become
+    Louvain's local moving, made parallel: in each round a set of nodes moves to the neighbouring community of the largest
+    modularity gain (ties: the least label) if it beats staying (``settled``). Then communities become
     the next level's nodes, until a level brings no gain. Deterministic under any partitioning. Labels are least members,
     so ids are TXC- and the least wallet. Each round gains, so all ends; ``max_rounds`` (a level) only guards by raising. All
     state is in tables, whose sizes the optimizer knows.

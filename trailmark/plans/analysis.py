@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -15,7 +14,7 @@ from trailmark.operators import fusion as fus
 from trailmark.operators import rules
 from trailmark.operators.forest import isolation_forest
 from trailmark.operators.hops import hop_distance
-from trailmark.plans.shared import written
+from trailmark.plans.shared import Folder, written
 
 
 RUN = "source string, run_id long, status string, transfer_count long, started_at timestamp_ntz, finished_at timestamp_ntz, error string"
@@ -81,32 +80,6 @@ TABLES = ("features", "anomaly", "findings", "fusion", "leads")
 LOCK_SECONDS = 6 * 3600
 
 
-class Folder:
-    """The files of a state folder, on whatever store it is."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.jvm = spark, folder, spark.sparkContext._jvm
-        self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-
-    def names(self, name: str) -> list[str]:
-        at = self.path(name)
-        return sorted(x.getPath().getName() for x in self.fs.listStatus(at)) if self.fs.exists(at) else []
-
-    def delete(self, name: str) -> None:
-        self.fs.delete(self.path(name), True)
-
-    def create(self, name: str) -> bool:
-        """Whether this call made the (empty) file; only one of several at the same time does."""
-        return self.fs.createNewFile(self.path(name))
-
-    def age(self, name: str) -> float:
-        """Seconds since it was written."""
-        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
-
-
 def current_run(spark: SparkSession, folder: str, source: str) -> int | None:
     """The run whose tables are a source's state: the newest one with a manifest, which is the last thing that a run writes."""
     done = [int(x) for x in Folder(spark, folder).names(f"_manifests/source={source}") if x.isdigit()]

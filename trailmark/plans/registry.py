@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from trailmark.operators import clusters, confidence, entities, features, fusion
 from trailmark.operators.forest import isolation_forest
 from trailmark.operators.ranks import percentiles
 from trailmark.plans.analysis import analyse, merge_leads, review_status
-from trailmark.plans.shared import cut
+from trailmark.plans.shared import cut, shared_dir
 from trailmark.sources import views
 from trailmark.sources.views import sql
-from trailmark.streaming import sessions
+from trailmark.streaming import sessions, wallets
 
 FOCUS = "w000007"
 QUERIES: dict = {}
@@ -376,3 +378,21 @@ def dedup_ingest(s, d):
 @register("next_number", f"WITH r AS ({RAW}) SELECT max(CAST(substr(transaction_id, 4) AS BIGINT)) + 1 AS next_number FROM r")
 def next_number(s, d):
     return validate.next_number(_raw(s, d), "tx-")
+
+
+@register("wallet_spans", sql("SELECT wallet, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM (SELECT sender AS wallet, ts FROM t UNION ALL SELECT receiver, ts FROM t) GROUP BY wallet", "t"))
+def wallet_spans(s, d):
+    """From parts kept batch by batch: three batches dealt by hash, so that each is late against the others, one of them run twice, and
+    a base that holds two of them."""
+    t, folder = views.transfers(s, d), f"{shared_dir(s)}/spans-{uuid.uuid4().hex}"
+    for batch in (0, 1, 1, 2):
+        wallets.keep_spans(t.where(F.pmod(F.xxhash64("transaction_id"), F.lit(3)) == batch), folder, batch)
+    wallets.compact(s, folder)
+    return wallets.wallet_spans(s, folder)
+
+
+@register("numbered_ids", f"WITH r AS ({RAW}) SELECT CASE WHEN hole THEN 'syn-' || printf('%06d', 41 + row_number() OVER (PARTITION BY hole ORDER BY k)) ELSE transaction_id END AS transaction_id, k FROM (SELECT transaction_id, CAST(substr(transaction_id, 4) AS BIGINT) AS k, CAST(substr(transaction_id, 4) AS BIGINT) % 3 = 0 AS hole FROM r)")
+def numbered_ids(s, d):
+    k = F.substring("transaction_id", 4, 20).cast("long")
+    rows = _raw(s, d).select(F.when(k % 3 != 0, F.col("transaction_id")).alias("transaction_id"), k.alias("position"))
+    return wallets.number(rows, 41).select("transaction_id", F.col("position").alias("k"))

@@ -1,8 +1,9 @@
-"""Where iterative plans cut their lineage: a folder that driver and executors share."""
+"""Where iterative plans cut their lineage: a folder that driver and executors share; and the files of folders that keep state."""
 
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,29 @@ def remove_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
     for name in _TABLES[mark : len(_TABLES) - keep]:
         path(name).getFileSystem(conf).delete(path(name), True)
     del _TABLES[mark : len(_TABLES) - keep]
+
+
+class Folder:
+    """The files of a state folder, on whatever store it is."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.jvm = spark, folder, spark.sparkContext._jvm
+        self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def names(self, name: str) -> list[str]:
+        at = self.path(name)
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
+    def create(self, name: str) -> bool:
+        """Whether this call made the (empty) file; only one of several at the same time does."""
+        return self.fs.createNewFile(self.path(name))
+
+    def age(self, name: str) -> float:
+        """Seconds since it was written."""
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000

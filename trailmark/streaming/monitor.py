@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trailmark.operators.validate import check_transfers, ingest, split_valid
+from trailmark.streaming.wallets import keep_number, keep_spans, last_number, number
 
 #: Limits of an inbox file (fixed values), and what is kept of a failed analysis.
 MOST_BYTES, MOST_ROWS = 10 << 20, 50_000
@@ -27,8 +28,9 @@ def inbox(spark: SparkSession, folder: str, files_per_tick: int = 10, archive: s
 
 def absorb(batch: DataFrame, batch_id: int, ledger: str, rejects: str, source: str = "synthetic", most_bytes: int = MOST_BYTES, most_rows: int = MOST_ROWS) -> None:
     """Append what a batch adds to the ledger, and the reasons for what it does not. Late rows are accepted at any age. A file beyond
-    a limit is refused whole, with one reject. Both writes overwrite the batch's own folder, so a batch that is run again
-    after a failure is not counted twice."""
+    a limit is refused whole, with one reject. Rows without an id get the next numbers. Wallets' spans and the highest number are
+    kept in ``<ledger>-state``. All writes overwrite the batch's own part, so a batch that is run again after a failure is not
+    counted twice, and gets the same numbers."""
     spark = batch.sparkSession
     refused = spark.createDataFrame([], "transaction_id string, reason string")
     if "file" in batch.columns:
@@ -38,9 +40,14 @@ def absorb(batch: DataFrame, batch_id: int, ledger: str, rejects: str, source: s
         refused = large.select(F.lit(None).cast("string").alias("transaction_id"), why.alias("reason"))
         batch = batch.join(F.broadcast(large.select("file")), "file", "left_anti").drop("file", "file_bytes")
     good, bad = split_valid(check_transfers(batch.withColumn("position", F.monotonically_increasing_id())))
+    before = last_number(spark, f"{ledger}-state", batch_id)
+    good = number(good, before)
     stored = known(spark, ledger)
     outcome = ingest(good, stored.where(F.col("batch") != batch_id), source).persist()
     outcome.where("outcome = 'accepted'").drop("outcome", "position").withColumn("source", F.lit(source)).write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+    taken = outcome.where("outcome = 'accepted'")
+    keep_spans(taken, f"{ledger}-state", batch_id)
+    keep_number(taken, f"{ledger}-state", batch_id, before)
     lost = bad.select("transaction_id", F.col("reasons").alias("reason")).unionAll(outcome.where("outcome not in ('accepted', 'duplicate')").select("transaction_id", F.col("outcome").alias("reason")))
     lost.unionAll(refused).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
     outcome.unpersist()
