@@ -86,10 +86,10 @@ def test_fusion(spark):
     got = {r["wallet"]: r for r in fusion.fuse(forensic, model).collect()}
     assert set(got) == {"a", "b", "c", "d", "e"}
     assert got["a"]["combined_score"] == pytest.approx(0.4 * 6 / 11 + 0.6 * 0.75, abs=1e-6) and got["a"]["valid"]
-    assert got["b"]["combined_score"] is None and got["b"]["errors"] == "ML result missing for this wallet"
-    assert got["c"]["errors"] == "forensic result missing for this wallet"
-    assert "duplicate forensic rows" in got["d"]["errors"] and got["d"]["rule_count"] is None
-    assert "out of expected [0, 1] range" in got["e"]["errors"] and got["e"]["ml_score"] is None and got["e"]["warnings"]
+    assert got["b"]["combined_score"] is None and got["b"]["errors"] == "model: no row of this wallet"
+    assert got["c"]["errors"] == "rules: no row of this wallet"
+    assert "several rows of this wallet" in got["d"]["errors"] and got["d"]["rule_count"] is None
+    assert "outside 0 to 1" in got["e"]["errors"] and got["e"]["ml_score"] is None and got["e"]["warnings"]
 
 
 def test_priority_bands(spark):

@@ -173,3 +173,48 @@ def test_ingest_state_under_late_rows_and_replays(spark, tmp_path):
     (tmp_path / "state" / "base" / "upto=3").mkdir()  # a base that was not finished does not count
     assert spans() == whole and wallets.compact(spark, folder, leave=0) == 3 and spans() == whole
     assert wallets.wallet_spans(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_longest_prefix_against_search(spark):
+    """Nested and equal prefixes, both versions, bad and non-public addresses."""
+    import ipaddress
+    import random
+
+    from trailmark.operators.listing import longest_prefix
+
+    rng = random.Random(12)
+    nets = [f"{rng.choice([8, 9, 31])}.{rng.randrange(3)}.{rng.randrange(3)}.0/{n}" for n in (8, 15, 16, 22, 24) for _ in range(6)] + ["0.0.0.0/0", "2a00::/12", "2a00:1::/32", "2a00:1:2::/48", "8.8.8.8/32", "8.8.8.8/32", "9.9.9.9", "10.0.0.0/8", "nonsense/8", "1.2.3.4/33"]
+    rows = [(n, f"{k:02}") for k, n in enumerate(nets)]
+    ips = [f"{rng.choice([8, 9, 31, 44])}.{rng.randrange(4)}.{rng.randrange(4)}.{rng.randrange(256)}" for _ in range(80)] + ["8.8.8.8", "9.9.9.9", "2a00:1:2::7", "2A00:1::9", "2a00:5::1", "2607::1", "999.1.1.1", "01.2.3.4", "10.1.1.1", "2001:db8::1", " 8.8.8.8", "", None]
+
+    def best(ip, public):
+        try:
+            a = ipaddress.ip_address(ip.strip())
+        except (ValueError, AttributeError):
+            return None
+        if public and not a.is_global:
+            return None
+        hits = []
+        for n, g in rows:
+            try:
+                net = ipaddress.ip_network(n, strict=False)
+            except ValueError:
+                continue
+            if net.version == a.version and a in net:
+                hits.append((-net.prefixlen, g))
+        return min(hits)[1] if hits else None
+
+    df, prefixes = spark.createDataFrame([(k, ip) for k, ip in enumerate(ips)], "k int, src_ip string"), spark.createDataFrame(rows, "network string, g string")
+    for public in (True, False):
+        got = {r["k"]: r["g"] for r in longest_prefix(df, prefixes, public_only=public).collect()}
+        assert got == {k: best(ip, public) for k, ip in enumerate(ips)}
+
+
+def test_details_of_a_giant_group_are_cut(spark):
+    """Lists hold the first items and the count of all; places of members come without a task that holds the cluster."""
+    many = spark.range(500).selectExpr("concat('w', lpad(cast(id as string), 4, '0')) as wallet", "'big' as cluster_id", "cast(if(id % 5 = 0, null, 500 - id) as long) as priority_rank")
+    got = records.cluster_members(many.select("cluster_id", "wallet").unionAll(spark.createDataFrame([("a", "w0003")], "cluster_id string, wallet string")), many.select("wallet", "priority_rank")).collect()
+    want = sorted((r for r in got if r["cluster_id"] == "big"), key=lambda r: (r["priority_rank"] is None, r["priority_rank"] or 0, r["wallet"]))
+    assert [r["place"] for r in want] == list(range(1, 501)) and [r["place"] for r in got if r["cluster_id"] == "a"] == [1]
+    top = records.first_items(many, "cluster_id", "wallet", "wallets", 3).first()
+    assert (top["wallets"], top["n"]) == (["w0000", "w0001", "w0002"], 500)

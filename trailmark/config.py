@@ -30,22 +30,24 @@ FEATURES = (
     "incoming_outgoing_ratio", "fan_in", "fan_out", "unique_counterparties", "wallet_degree", "repeated_connections", "hop_distance",
 )
 
-# The "high" rules in order (rule, feature); the imbalance rule comes last.
+# The "high" rules in order (rule, feature, what it says); the imbalance rule comes last.
 HIGH_RULES = (
-    ("high_transaction_count", "transaction_count"), ("high_transaction_frequency", "transaction_frequency"), ("activity_burst", "activity_burst"),
-    ("long_dormancy", "dormancy_duration"), ("fan_out", "fan_out"), ("fan_in", "fan_in"), ("many_counterparties", "unique_counterparties"),
-    ("repeated_relationships", "repeated_connections"), ("high_received_volume", "total_received_btc"), ("high_sent_volume", "total_sent_btc"),
-)
-# What a rule says, in the order of the rules.
-RULE_TEXTS = (
-    "Relatively high transaction activity compared with other wallets", "Relatively high transaction frequency (transactions per day)",
-    "Many transactions concentrated within a short (1-hour) period", "Long inactivity period between consecutive transactions (dormant-period indicator, in hours)",
-    "Funds are distributed across a relatively large number of outgoing connections", "Funds are received through a relatively large number of incoming connections",
-    "Interacts with a relatively large number of distinct counterparty wallets", "Repeatedly transacts with the same counterparties more often than most wallets",
-    "Relatively high total BTC received", "Relatively high total BTC sent",
-)
+    ("high_transaction_count", "transaction_count", "Relatively high transaction activity compared with other wallets"),
+    ("high_transaction_frequency", "transaction_frequency", "Relatively high transaction frequency (transactions per day)"),
+    ("activity_burst", "activity_burst", "Many transactions concentrated within a short (1-hour) period"),
+    ("long_dormancy", "dormancy_duration", "Long inactivity period between consecutive transactions (dormant-period indicator, in hours)"),
+    ("fan_out", "fan_out", "Funds are distributed across a relatively large number of outgoing connections"),
+    ("fan_in", "fan_in", "Funds are received through a relatively large number of incoming connections"),
+    ("many_counterparties", "unique_counterparties", "Interacts with a relatively large number of distinct counterparty wallets"),
+    ("repeated_relationships", "repeated_connections", "Repeatedly transacts with the same counterparties more often than most wallets"),
+    ("high_received_volume", "total_received_btc", "Relatively high total BTC received"),
+    ("high_sent_volume", "total_sent_btc", "Relatively high total BTC sent"),
+)
+IMBALANCE_RULE = "incoming_outgoing_imbalance"
+# What the imbalance rule says beyond either percentile; {} stand for the value and the percentile.
+IMBALANCE_HIGH = "Strong incoming/outgoing imbalance: much more BTC received than sent (incoming_outgoing_ratio={}, capped at 100; population 90th percentile={})."
+IMBALANCE_LOW = "Strong incoming/outgoing imbalance: much more BTC sent than received (incoming_outgoing_ratio={}; population 10th percentile={})."
 # Evidence levels for 0, 1, 2-3 and 4 or more rules.
 EVIDENCE_LEVELS = ("No specific rule triggered", "Single behavioural indicator", "Multiple behavioural indicators", "Multiple strong behavioural indicators")
-IMBALANCE_RULE = "incoming_outgoing_imbalance"
-RULES = (*(r for r, _ in HIGH_RULES), IMBALANCE_RULE)
+RULES = (*(r for r, _, _ in HIGH_RULES), IMBALANCE_RULE)
 SIGNAL_NOTE = "Investigative signal of a prototype; not statistically validated and no verdict."

@@ -59,12 +59,28 @@ def canonical_ip(ip: pd.Series) -> pd.Series:
     return ip.map(one)
 
 
+@F.pandas_udf(T.StructType([T.StructField("bits", T.StringType()), T.StructField("is_global", T.BooleanType())]))
+def address_bits(ip: pd.Series) -> pd.DataFrame:
+    """The bits of an IPv4 or IPv6 address behind its version (4 or 6), and whether it is a public one (not private, loopback,
+    documentation or otherwise reserved); nulls for anything else. IPv4 addresses inside IPv6 stay IPv6."""
+
+    def one(x):
+        try:
+            a = ipaddress.ip_address(x.strip())
+        except (ValueError, AttributeError):
+            return None, None
+        return f"{a.version}{int(a):0{a.max_prefixlen}b}", a.is_global
+
+    return pd.DataFrame([one(x) for x in ip], columns=["bits", "is_global"])
+
+
 def ipv4_number(ip) -> Column:
-    """The 32-bit number of a dotted IPv4 address; null for anything else."""
+    """The 32-bit number of a dotted IPv4 address of octets up to 255 without leading zeros; null for anything else."""
     c = F.col(ip) if isinstance(ip, str) else ip
     p = F.split(c, r"\.")
     number = sum((F.try_element_at(p, F.lit(k + 1)).cast("long") * (256 ** (3 - k)) for k in range(1, 4)), F.try_element_at(p, F.lit(1)).cast("long") * 256**3)
-    return F.when(c.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), number)
+    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    return F.when(c.rlike(rf"^{octet}(\.{octet}){{3}}$"), number)
 
 
 def documentation_ip(ip: str) -> Column:

@@ -31,18 +31,18 @@ def fuse(forensic: DataFrame, model: DataFrame) -> DataFrame:
     count, score = F.col("rule_count").try_cast("double"), F.col("anomaly_score").try_cast("double")
     top = len(RULES)
     f_error = (
-        F.when(no(F.col("f_ambiguous")), "duplicate forensic rows for this wallet; forensic evidence unavailable")
-        .when(F.col("f_there").isNull(), "forensic result missing for this wallet")
-        .when(F.col("rule_count").isNull(), "forensic: rule_count is missing")
-        .when(count.isNull() | F.isnan(count), "forensic: rule_count is not numeric")
-        .when((count < 0) | (count > top), f"forensic: rule_count out of expected range [0, {top}]")
+        F.when(no(F.col("f_ambiguous")), "rules: several rows of this wallet, none is used")
+        .when(F.col("f_there").isNull(), "rules: no row of this wallet")
+        .when(F.col("rule_count").isNull(), "rules: no count")
+        .when(count.isNull() | F.isnan(count), "rules: the count is no number")
+        .when((count < 0) | (count > top), f"rules: the count lies outside 0 to {top}")
     )
     m_error = (
-        F.when(no(F.col("m_ambiguous")), "duplicate ML rows for this wallet; ML evidence unavailable")
-        .when(F.col("m_there").isNull(), "ML result missing for this wallet")
-        .when(F.col("anomaly_score").isNull(), "ML: anomaly_score is missing")
-        .when(score.isNull() | F.isnan(score), "ML: anomaly_score is not numeric")
-        .when((score < 0) | (score > 1), "ML: anomaly_score out of expected [0, 1] range")
+        F.when(no(F.col("m_ambiguous")), "model: several rows of this wallet, none is used")
+        .when(F.col("m_there").isNull(), "model: no row of this wallet")
+        .when(F.col("anomaly_score").isNull(), "model: no score")
+        .when(score.isNull() | F.isnan(score), "model: the score is no number")
+        .when((score < 0) | (score > 1), "model: the score lies outside 0 to 1")
     )
     rules_missing = F.col("triggered_rules").isNull() | (F.trim("triggered_rules") == "")
     out = j.select(
@@ -52,7 +52,7 @@ def fuse(forensic: DataFrame, model: DataFrame) -> DataFrame:
         *[F.when(f_ok, F.col(c)).alias(c) for c in ("evidence_level", "triggered_rules", "explanation")],
         F.when(m_error.isNull(), F.round(score, 6)).alias("ml_score"),
         F.when(m_ok, F.col("anomaly_prediction")).alias("anomaly_prediction"),
-        F.when(f_error.isNull() & (count > 0) & rules_missing, "forensic score present but triggered_rules evidence is missing").otherwise("").alias("warnings"),
+        F.when(f_error.isNull() & (count > 0) & rules_missing, "rules: a count without the rules behind it").otherwise("").alias("warnings"),
         F.array_join(F.array_compact(F.array(f_error, m_error)), ";").alias("errors"),
     )
     combined = F.round(FORENSIC_WEIGHT * F.col("forensic_score") + ML_WEIGHT * F.col("ml_score"), 6)

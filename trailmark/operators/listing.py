@@ -108,6 +108,29 @@ def geoip(rows: DataFrame, ranges: DataFrame, ip: str = "src_ip", bits: int = 16
     return rows.join(best, rows[ip] == best["_ip"], "left").select(*[rows[c] for c in rows.columns], *[F.col(f"_g.{a}").alias(a) for a in attrs])
 
 
+def longest_prefix(rows: DataFrame, prefixes: DataFrame, ip: str = "src_ip", public_only: bool = True) -> DataFrame:
+    """Joins IPv4 and IPv6 addresses to the longest of the prefixes (network such as 10.0.0.0/8 or 2001:db8::/32, and attributes) that
+    holds each. Addresses that are none, or (``public_only``) not public, get nulls; of equal prefixes the least attributes hold.
+
+    An address has one key for each length that occurs among the prefixes of its version (162 at most), so the join is one hash join
+    on a prefix's bits. Each distinct address is looked up once."""
+    from trailmark.functions.scalars import address_bits
+
+    attrs = [c for c in prefixes.columns if c != "network"]
+    parts = F.split("network", "/")
+    nets = prefixes.withColumn("_b", address_bits(parts[0])).withColumn("_n", F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("int"), F.length("_b.bits") - 1))
+    nets = nets.where(F.col("_n").between(0, F.length("_b.bits") - 1)).select(F.substring("_b.bits", F.lit(1), F.col("_n") + 1).alias("_key"), F.struct(*attrs).alias("_g"))
+    nets = nets.groupBy("_key").agg(F.min("_g").alias("_g"))
+    lengths = nets.groupBy(F.substring("_key", 1, 1).alias("_version")).agg(F.collect_set(F.length("_key")).alias("_lengths"))
+    seen = rows.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_b", address_bits("_ip")).where("_b.bits is not null")
+    if public_only:
+        seen = seen.where("_b.is_global")
+    seen = seen.withColumn("_version", F.substring("_b.bits", 1, 1)).join(F.broadcast(lengths), "_version")
+    keys = seen.select("_ip", F.explode(F.transform("_lengths", lambda n: F.substring(F.col("_b.bits"), F.lit(1), n))).alias("_key"))
+    best = keys.join(nets, "_key").groupBy("_ip").agg(F.max_by("_g", F.length("_key")).alias("_g"))
+    return rows.join(best, rows[ip] == best["_ip"], "left").select(*[rows[c] for c in rows.columns], *[F.col(f"_g.{a}").alias(a) for a in attrs])
+
+
 def search(transfers: DataFrame, observations: DataFrame, q: str, limit: int = 10, clusters: DataFrame | None = None, cases: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """category, value, n (how many rows hold it), total (matches in the category): exact matches first, then by value.
 

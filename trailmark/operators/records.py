@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.scalars import contains_text
 from trailmark.operators.entities import wallet_entities
+from trailmark.operators.fusion import ordinal
 from trailmark.operators.listing import list_transfers, related_wallets
 
+#: Items of a nested list at most: the first ones, next to the count of all.
+LISTED = 1000
 UNSCORED = "Not scored: fewer than two transfers, or an undefined feature."
 
 
@@ -126,10 +129,12 @@ def list_clusters(summary: DataFrame, members: DataFrame, least_wallets: int | N
 
 
 def cluster_members(clusters: DataFrame, info: DataFrame, cluster_id: str | None = None) -> DataFrame:
-    """The wallets of one cluster (or all) with what is known of them, and their place by priority (unscored ones last)."""
+    """The wallets of one cluster (or all) with what is known of them, and their place by priority (unscored ones last). Places are
+    ranks over range partitions less those of the clusters before, so a giant cluster is in no one task."""
     j = _where(clusters, _equals("cluster_id", cluster_id)).join(info, "wallet")
-    order = W.partitionBy("cluster_id").orderBy(F.asc_nulls_last("priority_rank"), "wallet")
-    return j.withColumn("place", F.row_number().over(order))
+    ranked = ordinal(j, F.asc("cluster_id"), F.asc_nulls_last("priority_rank"), F.asc("wallet"), name="place")
+    before = ranked.groupBy("cluster_id").agg((F.min("place") - 1).alias("_before"))
+    return ranked.join(before, "cluster_id").withColumn("place", (F.col("place") - F.col("_before")).cast("int")).drop("_before")
 
 
 def list_entities(stats: DataFrame, entities: DataFrame, ip_links: DataFrame, linked: DataFrame, least_addresses: int | None = None, country: str | None = None, asn: int | None = None, ip: str | None = None, wallet: str | None = None, q: str | None = None, sort: str = "size", limit: int = 50, offset: int = 0) -> DataFrame:
@@ -146,33 +151,45 @@ def list_entities(stats: DataFrame, entities: DataFrame, ip_links: DataFrame, li
     return _page(s, orders[sort], limit, offset)
 
 
-def linked_wallets(entities: DataFrame, inputs: DataFrame, flows: DataFrame) -> DataFrame:
-    """entity_id, wallets (sorted): who sent the transactions that an entity spends in."""
-    return wallet_entities(entities, inputs, flows).groupBy("entity_id").agg(F.array_sort(F.collect_set("wallet")).alias("wallets"))
+def first_items(rows: DataFrame, group: str, item: str, name: str, most: int = LISTED) -> DataFrame:
+    """group, name (the first ``most`` distinct items, sorted), n (how many there are): a group of any size is counted in parts and
+    cut before it meets in a task."""
+    each = rows.select(group, item).distinct()
+    top = each.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy(item))).where(F.col("_k") <= most)
+    return top.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias(name)).join(each.groupBy(group).agg(F.count("*").alias("n")), group)
 
 
-def entity_detail(entity_id: str, stats: DataFrame, entities: DataFrame, inputs: DataFrame, flows: DataFrame, ip_links: DataFrame, links: DataFrame, findings: DataFrame) -> DataFrame:
+def linked_wallets(entities: DataFrame, inputs: DataFrame, flows: DataFrame, most: int = LISTED) -> DataFrame:
+    """entity_id, wallets (the first ones, sorted), n (all): who sent the transactions that an entity spends in."""
+    return first_items(wallet_entities(entities, inputs, flows), "entity_id", "wallet", "wallets", most)
+
+
+def entity_detail(entity_id: str, stats: DataFrame, entities: DataFrame, inputs: DataFrame, flows: DataFrame, ip_links: DataFrame, links: DataFrame, findings: DataFrame, most: int = LISTED) -> DataFrame:
     """One row for an entity: its statistics, addresses, transactions spent in, wallets, addresses of flows, related entities and
-    findings, each list sorted."""
+    findings; each list holds the first ``most``, sorted, and <name>_count says how many there are."""
     mine = entities.where(F.col("entity_id") == entity_id)
-    some = lambda df, c, name: df.agg(F.array_sort(F.collect_set(c)).alias(name))
+
+    def some(df: DataFrame, item, name: str) -> DataFrame:
+        each = df.select(F.col(item).alias("x") if isinstance(item, str) else item.alias("x")).distinct()
+        return each.orderBy("x").limit(most).agg(F.array_sort(F.collect_list("x")).alias(name)).join(each.agg(F.count("*").alias(f"{name}_count")), F.lit(True))
+
     near = links.where((F.col("a") == entity_id) | (F.col("b") == entity_id)).select(F.when(F.col("a") == entity_id, F.col("b")).otherwise(F.col("a")).alias("other"))
-    spent = inputs.join(F.broadcast(mine.select("address")), "address", "left_semi")
+    spent = inputs.join(mine.select("address"), "address", "left_semi")
     parts = [
         some(mine, "address", "members"), some(spent, "transaction_id", "spending_transactions"), some(wallet_entities(mine, inputs, flows), "wallet", "linked_wallets"),
         some(ip_links.where(F.col("entity_id") == entity_id), F.struct("src_ip", "transactions", "first_seen", "last_seen", "asn", "country"), "ip_links"),
         some(near, "other", "related_entities"), some(findings.where(F.col("entity_id") == entity_id), F.struct("finding", "subject", "n"), "findings"),
     ]
-    return reduce(lambda out, part: out.join(F.broadcast(part), F.lit(True), "left"), parts, stats.where(F.col("entity_id") == entity_id))
+    return reduce(lambda out, part: out.join(F.broadcast(part), F.lit(True), "left"), parts, stats.where(F.col("entity_id") == entity_id))  # a row each, of bounded lists
 
 
-def list_chains(chains: DataFrame, hops: DataFrame, wallet: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of peeling chains, longest first, with the wallets of their hops; of one wallet, if given."""
+def list_chains(chains: DataFrame, hops: DataFrame, wallet: str | None = None, limit: int = 50, offset: int = 0, most: int = LISTED) -> DataFrame:
+    """A page of peeling chains, longest first, with the first wallets of their hops; of one wallet, if given."""
     ends = hops.select("chain_id", F.explode(F.array("from_wallet", "to_wallet")).alias("wallet"))
     some = chains if wallet is None else chains.join(ends.where(F.col("wallet") == wallet).select("chain_id").distinct(), "chain_id", "left_semi")
     page = _page(some, [F.desc("hop_count"), F.asc("chain_id")], limit, offset)
-    names = ends.join(F.broadcast(page.select("chain_id")), "chain_id", "left_semi").groupBy("chain_id").agg(F.array_sort(F.collect_set("wallet")).alias("wallets"))
-    return page.join(names, "chain_id")
+    names = first_items(ends.join(F.broadcast(page.select("chain_id")), "chain_id", "left_semi"), "chain_id", "wallet", "wallets", most)
+    return page.join(names.drop("n"), "chain_id")
 
 
 def list_coinjoins(candidates: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.config import EVIDENCE_LEVELS, HIGH_PERCENTILE, HIGH_RULES, IMBALANCE_RULE, LOW_PERCENTILE, RULE_TEXTS
+from trailmark.config import EVIDENCE_LEVELS, HIGH_PERCENTILE, HIGH_RULES, IMBALANCE_HIGH, IMBALANCE_LOW, IMBALANCE_RULE, LOW_PERCENTILE
 from trailmark.functions.scalars import compact_number
 from trailmark.operators.ranks import percentiles
 
@@ -14,7 +14,7 @@ RATIO = "incoming_outgoing_ratio"
 
 def thresholds(features: DataFrame) -> DataFrame:
     """One row: the exact (linearly interpolated) 90th percentile per rule's feature, and both ends of the ratio."""
-    high = {f: (f, HIGH_PERCENTILE) for _, f in HIGH_RULES}
+    high = {f: (f, HIGH_PERCENTILE) for _, f, _ in HIGH_RULES}
     return percentiles(features, high | {"ratio_high": (RATIO, HIGH_PERCENTILE), "ratio_low": (RATIO, LOW_PERCENTILE)})
 
 
@@ -22,6 +22,12 @@ def _finding(rule: str, feature: str, value, limit, text) -> F.Column:
     return F.struct(F.lit(rule).alias("rule"), F.lit(feature).alias("feature"), value.cast("double").alias("value"), limit.cast("double").alias("threshold"), text.alias("text"))
 
 
+def _filled(text: str, *values) -> F.Column:
+    """A text whose {} are columns."""
+    parts = text.split("{}")
+    return F.concat(F.lit(parts[0]), *[x for v, p in zip(values, parts[1:], strict=True) for x in (v, F.lit(p))])
+
+
 def with_findings(features: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """The features with an array of findings (rule, feature, value, threshold, text) in the order of the rules. A value must
     lie strictly beyond its threshold. The thresholds are one row."""
@@ -29,13 +35,12 @@ def with_findings(features: DataFrame, limits: DataFrame | None = None) -> DataF
     lim = limits.select(*[F.col(c).alias(f"limit_{c}") for c in limits.columns])
     joined = features.crossJoin(F.broadcast(lim))
     found = []
-    for (rule, feature), text in zip(HIGH_RULES, RULE_TEXTS, strict=True):
+    for rule, feature, text in HIGH_RULES:
         v, t = F.col(feature), F.col(f"limit_{feature}")
         said = F.concat(F.lit(f"{text} ({feature}="), compact_number(v), F.lit("; above the population 90th percentile of "), compact_number(t), F.lit(")."))
         found.append(F.when(v > t, _finding(rule, feature, v, t, said)))
     v, hi, lo = F.col(RATIO), F.col("limit_ratio_high"), F.col("limit_ratio_low")
-    more = F.concat(F.lit(f"Strong incoming/outgoing imbalance: much more BTC received than sent ({RATIO}="), compact_number(v), F.lit(", capped at 100; population 90th percentile="), compact_number(hi), F.lit(")."))
-    less = F.concat(F.lit(f"Strong incoming/outgoing imbalance: much more BTC sent than received ({RATIO}="), compact_number(v), F.lit("; population 10th percentile="), compact_number(lo), F.lit(")."))
+    more, less = (_filled(text, compact_number(v), compact_number(limit)) for text, limit in ((IMBALANCE_HIGH, hi), (IMBALANCE_LOW, lo)))
     found.append(F.when(v > hi, _finding(IMBALANCE_RULE, RATIO, v, hi, more)).when(v < lo, _finding(IMBALANCE_RULE, RATIO, v, lo, less)))
     return joined.withColumn("findings", F.array_compact(F.array(*found))).drop(*lim.columns)
 

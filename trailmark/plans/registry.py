@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.operators import clusters, confidence, entities, features, fusion, graphs, graphview, hops, listing, rules, validate
+from trailmark.operators import cases, clusters, confidence, entities, features, fusion, graphs, graphview, hops, listing, rules, validate
 from trailmark.operators.forest import isolation_forest
 from trailmark.operators.ranks import percentiles
 from trailmark.plans.analysis import analyse, merge_leads, review_status
@@ -43,10 +43,10 @@ f AS (SELECT wallet, transaction_count, incoming_count, outgoing_count, round(re
   round(final, 6) AS time_since_previous_tx, round(CASE WHEN n > 1 THEN span / (n - 1) END, 6) AS avg_transaction_interval, round(CASE WHEN n > 1 THEN n / (greatest(span, 1.0::DOUBLE) / 24) END, 6) AS transaction_frequency, round(longest, 6) AS dormancy_duration,
   activity_burst, round(CASE WHEN sent > 0 THEN least(recv / sent, 100.0::DOUBLE) WHEN recv > 0 THEN 100.0::DOUBLE END, 6) AS incoming_outgoing_ratio, fan_in, fan_out, unique_counterparties, fan_in + fan_out AS wallet_degree, repeated_connections
   FROM core JOIN rep USING (wallet) JOIN tim USING (wallet) JOIN bur USING (wallet))"""
-HIGH = [f for _, f in rules.HIGH_RULES]
+HIGH = [f for _, f, _ in rules.HIGH_RULES]
 LIMITS = "lim AS (SELECT " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.9) AS {c}" for c in HIGH) + ", quantile_cont(incoming_outgoing_ratio, 0.9) AS ratio_high, quantile_cont(incoming_outgoing_ratio, 0.1) AS ratio_low FROM f)"
 FOUND = "fnd AS (" + " UNION ALL ".join(
-    [f"SELECT wallet, {k} AS position, '{r}' AS rule, '{c}' AS feature, CAST(f.{c} AS DOUBLE) AS value, lim.{c} AS threshold FROM f, lim WHERE f.{c} > lim.{c}" for k, (r, c) in enumerate(rules.HIGH_RULES)]
+    [f"SELECT wallet, {k} AS position, '{r}' AS rule, '{c}' AS feature, CAST(f.{c} AS DOUBLE) AS value, lim.{c} AS threshold FROM f, lim WHERE f.{c} > lim.{c}" for k, (r, c, _) in enumerate(rules.HIGH_RULES)]
     + ["SELECT wallet, 10, 'incoming_outgoing_imbalance', 'incoming_outgoing_ratio', incoming_outgoing_ratio, CASE WHEN incoming_outgoing_ratio > ratio_high THEN ratio_high ELSE ratio_low END FROM f, lim WHERE incoming_outgoing_ratio > ratio_high OR incoming_outgoing_ratio < ratio_low"]
 ) + ")"
 RULES = """rul AS (SELECT f.wallet, count(rule) AS rule_count, coalesce(string_agg(rule, ';' ORDER BY position), 'none') AS triggered_rules FROM f LEFT JOIN fnd USING (wallet) GROUP BY f.wallet),
@@ -287,6 +287,22 @@ GEO_SQL = """WITH r AS (SELECT CAST(n_nationkey AS BIGINT) * 10000000 AS s, CAST
 SELECT c_custkey, (SELECT n_name FROM r WHERE n BETWEEN s AND e ORDER BY e - s, s LIMIT 1) AS n_name FROM c"""
 
 
+PREFIX_SQL = """WITH p AS (SELECT n_nationkey * 10 AS a, k AS len, n_name || '/' || k AS net FROM nation, (VALUES (8), (12), (20)) v(k)),
+c AS (SELECT c_custkey, (c_custkey * 7) % 260 AS a, (c_custkey * 31) % 64 AS b, c_custkey % 40 AS c FROM customer),
+i AS (SELECT *, a < 240 AND a NOT IN (0, 10) AS public FROM c)
+SELECT c_custkey, (SELECT net FROM p WHERE public AND p.a = i.a AND (len = 8 OR len = 12 AND i.b < 16 OR len = 20 AND i.b = 0 AND i.c < 16) ORDER BY len DESC LIMIT 1) AS net FROM i"""
+
+
+@register("longest_prefix", PREFIX_SQL)
+def longest_prefix(s, d):
+    """Nested prefixes per nation, and an address per customer; some have an octet above 255, some are not public."""
+    nets = views.table(s, d, "nation").select("n_nationkey", "n_name", F.explode(F.array(F.lit(8), F.lit(12), F.lit(20))).alias("k"))
+    nets = nets.where("n_nationkey * 10 < 256").select(F.concat((F.col("n_nationkey") * 10).cast("string"), F.lit(".0.0.0/"), F.col("k").cast("string")).alias("network"), F.concat_ws("/", "n_name", "k").alias("net"))
+    k = F.col("c_custkey")
+    ip = F.concat_ws(".", *[x.cast("string") for x in ((k * 7) % 260, (k * 31) % 64, k % 40)], F.lit("7"))
+    return listing.longest_prefix(views.table(s, d, "customer").select("c_custkey", ip.alias("src_ip")), nets).drop("src_ip")
+
+
 @register("geoip_join", GEO_SQL)
 def geoip_join(s, d):
     n = views.table(s, d, "nation")
@@ -396,3 +412,31 @@ def numbered_ids(s, d):
     k = F.substring("transaction_id", 4, 20).cast("long")
     rows = _raw(s, d).select(F.when(k % 3 != 0, F.col("transaction_id")).alias("transaction_id"), k.alias("position"))
     return wallets.number(rows, 41).select("transaction_id", F.col("position").alias("k"))
+
+
+CASE_SQL = """WITH e AS (SELECT event_id AS seq, ts, 'C' || (user_id % 50) AS case_id, event_id % 10 AS m, CASE WHEN event_id % 10 = 4 THEN ['High', 'Medium', 'Low'][1 + (event_id // 10) % 3] ELSE ['Open', 'Under investigation', 'Closed'][1 + (event_id // 10) % 3] END AS v, 'w' || (event_id % 13) AS item FROM events),
+b AS (SELECT *, min(CASE WHEN m = 0 THEN seq END) OVER (PARTITION BY case_id) AS begun FROM e),
+f AS (SELECT seq, lag(v) OVER (PARTITION BY case_id, m = 4 ORDER BY seq) AS was FROM b WHERE seq > begun AND m BETWEEN 1 AND 4),
+i AS (SELECT seq, last_value(CASE WHEN m < 9 THEN m END IGNORE NULLS) OVER (PARTITION BY case_id, item ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS move FROM b WHERE seq > begun AND m >= 5),
+j AS (SELECT b.*, CASE WHEN begun IS NULL OR seq < begun THEN 'no such case' WHEN m = 0 AND seq > begun THEN 'the case exists' WHEN m BETWEEN 1 AND 3 AND coalesce(was, 'Open') = v OR m = 4 AND was = v THEN 'no change'
+  WHEN m BETWEEN 5 AND 7 AND move BETWEEN 5 AND 7 THEN 'the item is in the case' WHEN m >= 8 AND coalesce(move, 8) = 8 THEN 'the item is not in the case' ELSE '' END AS reason FROM b LEFT JOIN f USING (seq) LEFT JOIN i USING (seq))"""
+
+
+def _case_events(s, d):
+    """A workflow out of the events: who acts on which case, item and field follows from their numbers."""
+    e = views.table(s, d, "events")
+    m, nth = F.col("event_id") % 10, (F.floor(F.col("event_id") / 10) % 3).cast("int")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), nth + 1)
+    action = F.when(m == 0, "create").when(m <= 4, "set").when(m <= 7, "add").when(m == 8, "remove").otherwise("review")
+    value = F.when(m == 0, F.concat(F.lit("Case "), F.col("event_id").cast("string"))).when(m == 4, pick(cases.PRIORITIES)).when(m <= 3, pick(cases.STATUSES))
+    item = F.when(m >= 5, F.concat(F.lit("w"), (F.col("event_id") % 13).cast("string")))
+    return e.select(
+        F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.lit("me").alias("actor"), F.concat(F.lit("C"), (F.col("user_id") % 50).cast("string")).alias("case_id"), action.alias("action"),
+        F.when(m == 4, "priority").when((m >= 1) & (m <= 3), "status").alias("field"), value.alias("value"), F.when(m >= 5, "wallet").alias("item_type"), item.alias("item_id"),
+    )
+
+
+register("case_judged", f"{CASE_SQL} SELECT seq, case_id, reason FROM j")(lambda s, d: cases.judge(_case_events(s, d)).select("seq", "case_id", "reason"))
+register("case_state", f"{CASE_SQL}, g AS (SELECT * FROM j WHERE reason = ''), n AS (SELECT case_id, count(*) FILTER (x BETWEEN 5 AND 7) AS items FROM (SELECT case_id, item, max_by(m, seq) AS x FROM g WHERE m BETWEEN 5 AND 8 GROUP BY 1, 2) GROUP BY 1) SELECT case_id, 'Case ' || min(seq) AS title, coalesce(max_by(v, seq) FILTER (m BETWEEN 1 AND 3), 'Open') AS status, max_by(v, seq) FILTER (m = 4) AS priority, min(ts) AS created_at, max(ts) AS updated_at, coalesce(any_value(items), 0) AS items FROM g LEFT JOIN n USING (case_id) GROUP BY case_id")(
+    lambda s, d: cases.case_state(cases.judge(_case_events(s, d))).drop("description", "assigned_to")
+)
