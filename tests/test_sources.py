@@ -186,3 +186,70 @@ def test_observation_files_and_guards(spark, tmp_path):
     assert {r["txid"] for r in files.block_slice(blocks, 1, 5).collect()} == {"c"} and {r["txid"] for r in files.block_slice(blocks, per_block=1, heights=[5]).collect()} == {"a"}
     with pytest.raises(ValueError, match="7"):
         files.block_slice(blocks, heights=[5, 7])
+
+
+def test_positions_do_not_depend_on_splits(spark, tmp_path):
+    """A CSV with quoted line breaks, quotes in quotes, blank lines and rows of another shape: the same records and numbers in 1 and in
+    many splits, and those of Python's csv module."""
+    import csv
+    import io
+    import random
+
+    from trailmark.sources import records
+
+    rng = random.Random(7)
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(["a", "b", "c"])
+    for k in range(400):
+        writer.writerow([k, rng.choice(["plain", "two\nlines", 'say ""hi""', "x,y\n\n,z", '"', "é" * rng.randrange(30)]), rng.random()][: rng.choice([3, 3, 3, 2])] + ["more"] * rng.choice([0, 0, 1]))
+        if rng.random() < 0.1:
+            out.write("\n")
+    (tmp_path / "t.csv").write_text(out.getvalue())
+    reader, want = csv.reader(io.StringIO(out.getvalue())), []
+    line = 0
+    for row in reader:
+        if row:
+            want.append((line + 1, row))
+        line = reader.line_num
+    size, got = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    for part in (size, "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+        spark.conf.set("spark.sql.files.openCostInBytes", "4m" if part == size else "0")
+        try:
+            df = records.read_csv(spark, str(tmp_path / "t.csv"), "a string, b string, c string").drop("file")
+            got.append(sorted((r["record"], r["line"], r["a"], r["b"] or "", r["shape"]) for r in df.collect()))
+            assert records.numbered_lines(spark, str(tmp_path / "t.csv")).select("split").distinct().count() == (1 if part == size else -(-len(out.getvalue().encode()) // 700))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got[0] == got[1] == [(k, n, r[0], r[1], None if len(r) == 3 else len(r)) for k, (n, r) in enumerate(want) if k]
+
+
+def test_ledger_rows_know_their_lines(spark, tmp_path):
+    head = "timestamp,wallet_address,amount_btc,direction,input_count,output_count,counterparty_wallet\n"
+    body = "2025-01-01 00:00:00,b,1.0,Outgoing,1,1,a\n\n2025-01-01 00:00:00,a,2.0,Outgoing,1,1,b\n2025-01-01 00:00:00,a,1.0,Incoming,1,1,b\n"
+    (tmp_path / "l.csv").write_text(head + body)
+    got = files.collapse_ledger(files.read_numbered_ledger(spark, str(tmp_path / "l.csv"))).orderBy("transaction_id").collect()
+    assert [(r["transaction_id"], r["sender"], r["source_ref"]) for r in got] == [("syn-000001", "b", "row:2"), ("syn-000002", "a", "row:4")]
+    (tmp_path / "bad.csv").write_text(head + body + "2025-01-01 00:00:00,a,x\n")
+    with pytest.raises(Exception, match="row 6 is no ledger row"):
+        files.read_numbered_ledger(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_only_the_asked_blocks_are_read(spark, tmp_path):
+    rows = [(f"t{h}-{i}", (h is not None, h, 0), [], [], i) for h in (7, 8, 9, None) for i in range(3)]
+    df = spark.createDataFrame(rows, f"{schemas.EXPLORER}, `index` bigint")
+    folder = str(tmp_path / "blocks")
+    files.write_blocks(df, folder)
+    got = files.read_blocks(spark, folder, heights=[7, 9])
+    assert {(r["txid"], r["height"]) for r in got.collect()} == {(f"t{h}-{i}", h) for h in (7, 9) for i in range(3)}
+    assert {f.split("height=")[1][0] for f in got.inputFiles()} == {"7", "9"}
+    assert {r["height"] for r in files.read_blocks(spark, folder, newest=2).collect()} == {8, 9} and files.read_blocks(spark, folder, heights=[]).count() == 0
+    assert files.block_slice(got, per_block=2, heights=[7]).count() == 2
+    with pytest.raises(ValueError, match="no block at height"):
+        files.read_blocks(spark, folder, heights=[7, 11])
+    (tmp_path / "blocks" / "height=8" / "broken.json").write_text("{nonsense\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_blocks(spark, folder, heights=[8]).collect()
+    assert files.read_blocks(spark, folder, heights=[9]).count() == 3

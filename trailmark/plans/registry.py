@@ -113,11 +113,11 @@ register("mirror_check", sql("SELECT transaction_id, ts, amount, sender, receive
 )
 
 
-@register("wallet_features_core", sql(f"WITH {CORE} SELECT wallet, transaction_count, incoming_count, outgoing_count, total_received_btc, total_sent_btc, round((recv + sent) / transaction_count + 0.000000001::DOUBLE, 6) AS avg_transaction_amount, incoming_outgoing_ratio, fan_in, fan_out, unique_counterparties, wallet_degree, repeated_connections FROM f JOIN (SELECT wallet, recv, sent FROM core) USING (wallet)", "t", "legs"))
+@register("wallet_features_core", sql(f"WITH {CORE} SELECT wallet, transaction_count, incoming_count, outgoing_count, total_received_btc, total_sent_btc, round((recv + sent) / transaction_count, 10) AS avg_transaction_amount, incoming_outgoing_ratio, fan_in, fan_out, unique_counterparties, wallet_degree, repeated_connections FROM f JOIN (SELECT wallet, recv, sent FROM core) USING (wallet)", "t", "legs"))
 def wallet_features_core(s, d):
     got = features.core_features(features.legs(views.transfers(s, d)))
-    got = got.withColumn("avg_transaction_amount", F.col("avg_transaction_amount") + 1e-9)  # ties at the sixth place go up on both sides
-    return got.select("wallet", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes if c != "wallet"])
+    places = {"avg_transaction_amount": 10}  # whole cents over so few transfers cannot tie there, as they can at the sixth place
+    return got.select("wallet", *[F.round(c, places.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes if c != "wallet"])
 
 
 @register("wallet_features_time", sql(f"WITH {CORE} SELECT wallet, time_since_previous_tx, avg_transaction_interval, dormancy_duration, transaction_frequency FROM f", "t", "legs"))
@@ -130,7 +130,23 @@ register("activity_burst", sql(f"WITH {CORE} SELECT wallet, activity_burst FROM
 register("wallet_features_wide", sql(f"WITH {CORE} SELECT wallet, transaction_count, fan_in, fan_out, activity_burst, dormancy_duration, repeated_connections, round(total_sent_btc, 3) AS total_sent_btc FROM f", "tw", "legs"))(
     lambda s, d: features.wallet_features(views.wide_transfers(s, d)).select("wallet", "transaction_count", "fan_in", "fan_out", "activity_burst", "dormancy_duration", "repeated_connections", F.round("total_sent_btc", 3).alias("total_sent_btc"))
 )
-register("feature_breaks", sql(f"WITH {CORE} SELECT wallet, 'in and out do not add up' AS reasons FROM f WHERE incoming_count + outgoing_count <> transaction_count", "t", "legs"))(lambda s, d: features.feature_breaks(_features(s, d)))
+BREAKS_SQL = """, x AS (SELECT wallet, CAST(substr(wallet, 2) AS BIGINT) AS k, * EXCLUDE (wallet) FROM f),
+y AS (SELECT wallet, incoming_count + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS i, outgoing_count AS o, CASE WHEN k % 7 = 0 THEN 1 ELSE transaction_count END AS n, CASE WHEN k % 11 = 0 THEN 0 ELSE wallet_degree END AS d, unique_counterparties AS u, CASE WHEN k % 13 = 0 THEN unique_counterparties + 1 ELSE repeated_connections END AS r, CASE WHEN k % 3 = 0 THEN 0 ELSE activity_burst END AS b, dormancy_duration AS dd FROM x),
+z AS (SELECT wallet, concat_ws('; ', CASE WHEN i + o <> n THEN 'in and out do not add up' END, CASE WHEN d < u THEN 'degree below counterparties' END, CASE WHEN r > u THEN 'repeated above counterparties' END, CASE WHEN n < 2 AND dd IS NOT NULL THEN 'time features of a single transfer' END, CASE WHEN b < 1 OR b > n THEN 'burst out of range' END) AS reasons FROM y)
+SELECT wallet, reasons FROM z WHERE reasons <> ''"""
+
+
+@register("feature_breaks", sql(f"WITH {CORE}{BREAKS_SQL}", "t", "legs"))
+def feature_breaks(s, d):
+    """Features that hold, with some of the wallets' bent so that each check has something to find."""
+    k, got = F.substring("wallet", 2, 20).cast("long"), _features(s, d)
+    bent = {
+        "incoming_count": F.col("incoming_count") + F.when(k % 5 == 0, 1).otherwise(0), "transaction_count": F.when(k % 7 == 0, 1).otherwise(F.col("transaction_count")), "wallet_degree": F.when(k % 11 == 0, 0).otherwise(F.col("wallet_degree")),
+        "repeated_connections": F.when(k % 13 == 0, F.col("unique_counterparties") + 1).otherwise(F.col("repeated_connections")), "activity_burst": F.when(k % 3 == 0, 0).otherwise(F.col("activity_burst")),
+    }
+    return features.feature_breaks(got.withColumns(bent))
+
+
 register("feature_completeness", sql(f"WITH {CORE} SELECT wallet, dormancy_duration IS NOT NULL AND incoming_outgoing_ratio IS NOT NULL AS scored FROM f", "t", "legs"))(
     lambda s, d: features.complete(_features(s, d), [c for c in features.FEATURES if c != "hop_distance"]).select("wallet", "scored")
 )

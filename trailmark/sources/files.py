@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark import schemas
+from trailmark.plans.shared import Folder
+from trailmark.sources import records
 
 MAX_BYTES, MAX_RECORDS = 30 << 20, 20_000
 LISTS = {"input_addresses": "array<string>", "input_amounts": "array<double>", "output_addresses": "array<string>", "output_amounts": "array<double>"}
@@ -30,13 +34,28 @@ def ledger_breaks(ledger: DataFrame) -> DataFrame:
     )
 
 
+def read_numbered_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """``read_ledger`` with each row's file and line, the same however the file is split. A row of another shape, or a cell that does
+    not parse, fails the read."""
+    rows = records.read_csv(spark, path, schemas.LEDGER)
+    bad = F.col("shape").isNotNull() | reduce(lambda a, c: a | F.col(c).isNull(), [f.name for f in T._parse_datatype_string(schemas.LEDGER).fields], F.lit(False))
+    why = F.concat(F.lit("row "), F.col("line").cast("string"), F.lit(" is no ledger row"))
+    return rows.withColumn("line", F.when(bad, F.raise_error(why)).otherwise(F.col("line"))).drop("record", "shape")
+
+
 def collapse_ledger(ledger: DataFrame) -> DataFrame:
-    """Transfers from the outgoing rows, numbered syn-000001 on by time (ties by all columns)."""
+    """Transfers from the outgoing rows, numbered syn-000001 on by time. Rows of one time go by file and line, if these are known
+    (then source_ref says row:<line>), else by all columns."""
     from trailmark.operators.fusion import ordinal
 
-    out = ledger.where("direction = 'Outgoing'").select(F.col("timestamp").alias("ts"), F.col("wallet_address").alias("sender"), F.col("counterparty_wallet").alias("receiver"), F.col("amount_btc").alias("amount"), "input_count", "output_count")
-    got = ordinal(out, *[F.asc(c) for c in out.columns], name="n")
-    return got.select(F.format_string("syn-%06d", "n").alias("transaction_id"), *out.columns)
+    known = "line" in ledger.columns
+    out = ledger.where("direction = 'Outgoing'").select(
+        F.col("timestamp").alias("ts"), F.col("wallet_address").alias("sender"), F.col("counterparty_wallet").alias("receiver"), F.col("amount_btc").alias("amount"), "input_count", "output_count", *(["file", "line"] if known else [])
+    )
+    order = ("ts", "file", "line") if known else out.columns
+    got = ordinal(out, *[F.asc(c) for c in order], name="n")
+    ref = [F.concat(F.lit("row:"), F.col("line").cast("string")).alias("source_ref")] if known else []
+    return got.select(F.format_string("syn-%06d", "n").alias("transaction_id"), *[c for c in out.columns if c not in ("file", "line")], *ref)
 
 
 def write_ledger(transfers: DataFrame, path: str) -> None:
@@ -78,9 +97,11 @@ def _indexed(df: DataFrame) -> DataFrame:
 
 
 def read_rich_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Records with JSON arrays in their list cells; cells that do not parse become null and fail validation."""
-    raw = spark.read.schema(schemas.RICH_CSV).options(header=True, escape='"', mode="PERMISSIVE").csv(path)
-    return _indexed(raw.withColumns({c: F.from_json(c, t) for c, t in LISTS.items()}))
+    """Records with JSON arrays in their list cells; cells that do not parse become null and fail validation. ``position`` is the
+    record's number (from 0, behind the header), ``line`` its first line, ``shape`` its number of cells if that is not the header's
+    (validation should refuse it)."""
+    raw = records.read_csv(spark, path, schemas.RICH_CSV)
+    return raw.withColumns({c: F.from_json(c, t) for c, t in LISTS.items()}).withColumn("position", F.col("record") - 1).drop("record", "file")
 
 
 def read_rich_json(spark: SparkSession, path: str) -> DataFrame:
@@ -110,6 +131,23 @@ def read_explorer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EXPLORER).option("multiLine", True).json(path)
 
 
+def write_blocks(transactions: DataFrame, path: str) -> None:
+    """Explorer transactions with a folder per block height; those without a block are left out."""
+    t = transactions.withColumn("height", F.col("status.block_height")).where("height is not null")
+    t.repartition("height").write.mode("overwrite").partitionBy("height").json(path)
+
+
+def read_blocks(spark: SparkSession, path: str, newest: int = 0, heights: list[int] | None = None) -> DataFrame:
+    """The transactions of the ``newest`` blocks, or of the given heights, with height. Only the folders of those blocks are read. All or
+    nothing: a height that is missing, or a block that does not parse, fails the read."""
+    there = {int(x.removeprefix("height=")) for x in Folder(spark, path).names("") if x.startswith("height=")}
+    if heights is not None and (missing := sorted(set(heights) - there)):
+        raise ValueError(f"no block at height {missing}")
+    chosen = sorted(there)[-newest:] if heights is None and newest else sorted(set(heights or ()))
+    reader = spark.read.schema(f"{schemas.EXPLORER}, `index` bigint, height bigint").options(basePath=path, mode="FAILFAST")
+    return reader.json([f"{path}/height={h}" for h in chosen]) if chosen else spark.createDataFrame([], f"{schemas.EXPLORER}, `index` bigint, height bigint")
+
+
 def block_slice(transactions: DataFrame, newest: int = 0, per_block: int = 25, heights: list[int] | None = None) -> DataFrame:
     """The first ``per_block`` transactions (by ``index``) of the ``newest`` blocks, or of the given heights, of which none may be missing."""
     there = transactions.select(F.col("status.block_height").alias("h")).where("h is not null").distinct()
