@@ -8,6 +8,7 @@ pieces, by the forward algorithm; a text's is the product over its words. Models
 from __future__ import annotations
 
 import uuid
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ TRAIN_DOCS = 1500
 ROUNDS = 2
 #: Letter runs beyond this length are read in parts of it.
 LONGEST = 32
-HELD_WORDS = 300_000
+#: Scores that a Python worker keeps at most between batches (8 bytes each): 300,000 words of eight languages, fewer of more.
+HELD_SCORES = 2_400_000
 #: Labels that are learned: those with the most documents (ties: in alphabetical order). It bounds the model's size.
 MOST_LABELS = 200
 SMOOTH, FLOOR = 0.1, 1e-9
@@ -112,6 +114,7 @@ class Model:
     def __init__(self, langs: list[str], match: dict[str, int], prob: np.ndarray):
         self.langs, self.match, self.prob, self.key = langs, match, prob, uuid.uuid4().hex
         self.block = max(64, 16384 // len(langs))  # words of a lattice
+        self.held = max(4096, HELD_SCORES // len(langs))  # words whose scores are kept
 
 
 def with_floor(counts: np.ndarray) -> np.ndarray:
@@ -193,7 +196,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = [letter_words(t) for t in b.column(column).to_pylist()]
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if model is not None:
-                if _HELD.get("key") != model.key or len(_HELD["index"]) > HELD_WORDS:
+                if _HELD.get("key") != model.key or len(_HELD["index"]) > model.held:
                     _HELD.update(key=model.key, index={}, rows=np.zeros((0, len(model.langs)), np.float64))
                 index = _HELD["index"]
                 known = len(index)
@@ -201,11 +204,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     for w in ws:
                         if w not in index:
                             index[w] = len(index)
-                fresh = list(index)[known:] if len(index) > known else []
-                parts = [_HELD["rows"]]
-                for a in range(0, len(fresh), model.block):
-                    parts.append(Lattice(fresh[a : a + model.block], model.match, len(model.prob) - 1).scores(model.prob))
-                rows = _HELD["rows"] = np.concatenate(parts)
+                if len(index) > len(_HELD["rows"]):  # room for twice as many, so that each score is copied a few times at most
+                    _HELD["rows"] = np.concatenate([_HELD["rows"][:known], np.empty((max(len(index), min(2 * known, model.held)) - known, len(model.langs)))])
+                rows, fresh = _HELD["rows"], islice(index, known, None)
+                for a in range(known, len(index), model.block):
+                    some = list(islice(fresh, model.block))
+                    rows[a : a + len(some)] = Lattice(some, model.match, len(model.prob) - 1).scores(model.prob)
                 get = index.__getitem__
                 for k, ws in enumerate(texts):
                     if ws:
