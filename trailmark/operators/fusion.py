@@ -71,13 +71,13 @@ def nested(fusion: DataFrame) -> DataFrame:
 
 
 def ordinal(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
-    """Adds a gapless 1-based rank under a total order, without bringing all rows into one task: rows are range-partitioned
-    and written down, counted per partition, and each partition goes on from the counts before it."""
-    placed = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    """Adds a gapless 1-based rank under a total order, without bringing all rows into one task: rows are range-partitioned, sorted
+    and written down with their places, and each partition goes on from the counts before it (a row per partition)."""
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1  # of a row in its partition, by Spark's definition
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_place")))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return placed.withColumn(name, inside).join(before, "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
+    return placed.join(F.broadcast(before), "_part").withColumn(name, (F.col("_place") + F.col("_before")).cast("long")).drop("_part", "_place", "_before")
 
 
 def priority(fusion: DataFrame) -> DataFrame:
