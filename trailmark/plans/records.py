@@ -136,7 +136,7 @@ def entity_detail(s, d):
 
 
 register("entity_linked_wallets", sql(f"WITH {CIO} SELECT entity_id, string_agg(DISTINCT sender, ',' ORDER BY sender) AS wallets FROM et JOIN flows USING (transaction_id) GROUP BY 1", "inp", "flows", recursive=True))(
-    lambda s, d: (lambda e, i, o, f: records.linked_wallets(e, i, f).withColumn("wallets", F.array_join("wallets", ",")))(*_entities(s, d))
+    lambda s, d: (lambda e, i, o, f: records.linked_wallets(e, i, f).select("entity_id", F.array_join("wallets", ",").alias("wallets")))(*_entities(s, d))
 )
 register("chain_list", sql(f"WITH {CHAINS}, c AS (SELECT chain_id, count(*) AS hop_count, string_agg(DISTINCT wallet, ',' ORDER BY wallet) AS wallets FROM (SELECT chain_id, from_wallet AS wallet FROM hop UNION ALL SELECT chain_id, to_wallet FROM hop) JOIN (SELECT chain_id, count(*) AS hops FROM hop GROUP BY 1) USING (chain_id) GROUP BY 1) SELECT chain_id, hop_count // 2 AS hop_count, wallets FROM c ORDER BY hop_count DESC, chain_id LIMIT 50", "t", recursive=True))(
     lambda s, d: (lambda h: records.list_chains(graphs.peeling_chains(h), h).select("chain_id", "hop_count", F.array_join("wallets", ",").alias("wallets")))(cut(graphs.peeling_hops(views.transfers(s, d))))
