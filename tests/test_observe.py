@@ -11,6 +11,14 @@ EVENT = "observation_id string, transaction_id string, wallet string, device_id
 START = datetime(2024, 1, 1)
 
 
+@pytest.fixture(autouse=True)
+def settings(spark):
+    """Other tests' streams keep the usual settings."""
+    yield
+    for name in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"):
+        spark.conf.unset(name)
+
+
 def run(spark, tmp_path, batches, schema, build, mode):
     """Each batch of rows is a run of its own from the same checkpoint; returns what all of them gave."""
     observe.live_settings(spark)
