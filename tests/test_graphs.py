@@ -1,5 +1,6 @@
 """Graph and address-level operators against literal cases and brute force."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -7,6 +8,7 @@ import pytest
 
 from trailmark.operators import confidence, entities, graphs
 from trailmark.operators.components import connected_components
+from trailmark.plans import shared
 
 T0 = datetime(2026, 1, 1)
 
@@ -290,3 +292,44 @@ def test_confidence_of_all_signals_is_one(spark):
     we = spark.createDataFrame([("a", "E1"), ("b", "E1")], "wallet string, entity_id string")
     got = {r["wallet"]: r["confidence"] for r in confidence.confidence(scores, scores, we, spark.createDataFrame([("E1",)], "entity_id string"), spark.createDataFrame([("a",)], "wallet string")).collect()}
     assert got == {"a": 1.0, "b": pytest.approx(0.55 * 0.5 + 0.25)}
+
+
+def test_entities_seek_groups_among_linked_transactions(spark, monkeypatch):
+    """Addresses of one transaction link nothing, so they are no edges; null ids and addresses link nothing either."""
+    seen, whole = [], entities.connected_components
+    monkeypatch.setattr(entities, "connected_components", lambda edges, *a: (seen.append(edges.count()), whole(edges, *a))[1])
+    rows = [(f"t{i:03}", f"x{i:03}-{k}") for i in range(60) for k in range(4)] + [("t000", "shared"), ("t001", "shared"), ("t001", "a-other"), ("t002", "a-other"), ("t059", "x000-1")]
+    rows += [(None, "alone"), (None, "x005-1"), (None, "alone-too"), ("t007", None), ("t008", None), ("t009", "b"), ("t009", "b")]
+    got = {r["address"]: r["entity_id"] for r in entities.common_input_entities(spark.createDataFrame(rows, "transaction_id string, address string")).collect()}
+    assert seen == [3]
+    group: dict = {}
+    for t, a in rows:
+        group.setdefault(t if t and a else object(), set()).add(a)
+    parts: list[set] = []
+    for g in group.values():
+        met = [p for p in parts if p & g - {None}]
+        parts = [p for p in parts if p not in met] + [set().union(g, *met)]
+    want = {a: f"CIO-{min(p - {None})}" for p in parts for a in p if a} | {None: None}
+    assert got == want
+
+
+def test_components_keep_one_table(spark):
+    """Of all rounds one table of edges stays, and no checkpoint."""
+    mark, folder = shared.tables_written(), spark.sparkContext._jsc.sc().getCheckpointDir()
+    files = lambda: sum(len(f) for *_, f in os.walk(folder.get().removeprefix("file:"))) if folder.isDefined() else 0
+    before = files()
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{(i * 37 + 1) % 200:03}") for i in range(200)], "src string, dst string")
+    assert len({r["component"] for r in connected_components(chain).collect()}) >= 1
+    assert shared.tables_written() == mark + 1 and files() == before
+
+
+def test_entity_findings_count_distinct_values(spark):
+    """Repeated flows count once; what is null does not count."""
+    e = spark.createDataFrame([("E1", "a"), ("E1", "b"), ("E2", "c")], "entity_id string, address string")
+    ins = spark.createDataFrame([("t1", "a"), ("t1", "b"), ("t2", "b"), ("t3", "c")], "transaction_id string, address string")
+    rows = [("t1", 1, "p", "X", 1, 8333), ("t1", 2, "p", "Y", 1, 9), ("t2", 0, "q", "Z", None, 9), ("t2", 3, "q", None, 2, 0), ("t3", 5, "q", "X", 3, 7), ("t3", 5, None, "X", 3, 7), (None, 1, "p", "W", 9, 5)]
+    flows = spark.createDataFrame(rows, "transaction_id string, ts int, src_ip string, country string, asn int, dst_port int")
+    got = {(r["finding"], r["entity_id"], r["subject"], r["n"]) for r in entities.correlation_findings(e, ins, flows).collect()}
+    assert got == {("ip_used_by_several_entities", "E1", "q", 2), ("entity_many_countries", "E1", None, 3), ("entity_unusual_port", "E1", "9", 1), ("entity_unusual_port", "E2", "7", 1)}
+    links = {(r["entity_id"], r["src_ip"], r["transactions"], r["first_seen"], r["last_seen"], r["country"]) for r in entities.entity_ip_links(e, ins, flows).collect()}
+    assert links == {("E1", "p", 1, 1, 2, "X"), ("E1", "q", 1, 0, 3, "Z"), ("E2", "q", 1, 5, 5, "X")}
