@@ -1,5 +1,7 @@
 """Every registered query of the ledger engine against its SQL, or against what its rows must satisfy."""
 
+from datetime import datetime, timedelta
+
 import duckdb
 import pandas as pd
 import pytest
@@ -116,3 +118,13 @@ def test_graph_views(spark, sf):
 
 def test_every_query_has_a_check():
     assert set(QUERIES) - set(ORACLE_SQL) == {"analysis_run", "communities", "graph_entity_edges", "graph_wallet_nodes", "isolation_forest", "nested_fusion", "rule_explanations", "shortest_path", "stable_ids"}
+
+
+def test_risk_reaches_every_wallet_within_its_hops(spark, tmp_path):
+    """More wallets than an analyst's view shows: the query has all of them, as its SQL."""
+    rows_ = [(k, datetime(2026, 1, 1) + timedelta(minutes=k), 7, 1.0, f'{{"k": {1000 + k}}}') for k in range(300)]
+    spark.createDataFrame(rows_, "event_id long, ts timestamp_ntz, user_id long, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = c.sql(ORACLE_SQL["risk_propagation"]).df()
+    assert len(want) == 301 and rows(QUERIES["risk_propagation"](spark, str(tmp_path)).toPandas()) == rows(want)
