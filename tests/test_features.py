@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 
-from trailmark.operators import features, fusion, rules
+from trailmark.operators import features, hops, fusion, rules
 from trailmark.operators.hops import hop_distance
 from trailmark.plans.analysis import analyse
 
@@ -55,6 +55,32 @@ def test_hops_against_plain_search(spark):
     assert hop_distance(t.where("sender = 'x'")).count() == 0
 
 
+def test_hops_of_many_wallets_and_few_hubs(spark, monkeypatch):
+    """The busier ends of all links carry the search, over several blocks, with twins, unlinked parts and tiles of few classes; one
+    wallet more than may carry it, and it goes from all."""
+    rng = random.Random(6)
+    links = [(f"h{rng.randrange(70):02}", f"u{k % 150:03}") for k in range(400)] + [("h00", f"t{k}") for k in range(9)] + [("far", "h00"), ("far", "farther")] + [(f"o{k}", "other") for k in range(5)]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for s in near:
+        at, edge = {s: 0}, [s]
+        while edge:
+            edge = [y for x in edge for y in near[x] if y not in at and at.update({y: at[x] + 1}) is None]
+        want[s] = sum(at.values()) / (len(at) - 1)
+    heads = {max(e, key=lambda x: (len(near[x]), x)) for e in links}
+    starts, whole = [], hops._search
+    monkeypatch.setattr(hops, "_search", lambda sym, sources, *rest: (starts.append(sources.count()), whole(sym, sources, *rest))[1])
+    monkeypatch.setattr(hops, "TILE", 2000)
+    monkeypatch.setattr(hops, "PART", 600)
+    t = spark.createDataFrame(links, "sender string, receiver string")
+    for cover in (len(heads), len(heads) - 1):
+        assert {r[0]: r[1] for r in hop_distance(t, 1, cover).collect()} == pytest.approx(want)
+    assert starts == [len(heads), len(near)]
+
+
 def test_mirror(spark):
     legs = features.legs(ledger(spark))
     assert legs.count() == 12 and features.mirror_breaks(legs).isEmpty()
