@@ -1,7 +1,7 @@
 """Features, rules and fusion on a ledger small enough to work out by hand."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -147,3 +147,20 @@ def test_planted_hub_is_a_lead(spark):
     leads = {r["wallet"]: r for r in a.leads.collect()}
     assert leads["w000"]["priority_rank"] == 1
     assert 3 <= sum(r["anomaly_prediction"] == "Anomalous" for r in a.anomaly.collect()) <= 9
+
+
+def test_bursts_and_gaps_of_any_times(spark):
+    """Bursts around noon and midnight and of equal times, gaps of equal times; a leg is shown to another span only near its start,
+    and no id is shuffled for times."""
+    rng = random.Random(3)
+    base = [0, 12 * 3600, 24 * 3600, 36 * 3600]
+    rows = [("w", rng.choice(base) + rng.choice([-3600, -1800, -1, 0, 0, 1, 1800, 3599, 3600])) for _ in range(60)] + [("one", 5), ("two", 7), ("two", 7)]
+    legs_ = spark.createDataFrame([(w, f"t{k}", datetime(2026, 1, 5) + timedelta(seconds=s)) for k, (w, s) in enumerate(rows)], "wallet string, transaction_id string, ts timestamp_ntz")
+    times = {w: sorted(s for v, s in rows if v == w) for w, _ in rows}
+    burst = features.activity_burst(legs_)
+    assert {r[0]: r[1] for r in burst.collect()} == {w: max(sum(t <= u < t + 3600 for u in ts) for t in ts) for w, ts in times.items()}
+    assert {r["wallet"]: r["activity_burst"] for r in features.activity_burst(legs_, 200_000).collect()} == {w: max(sum(t <= u < t + 200_000 for u in ts) for t in ts) for w, ts in times.items()}
+    got = features.time_features(legs_)
+    gaps = {w: [b - a for a, b in zip(ts, ts[1:], strict=False)] for w, ts in times.items()}
+    assert {r["wallet"]: (r["time_since_previous_tx"], r["dormancy_duration"]) for r in got.collect()} == {w: (g[-1] / 3600, max(g) / 3600) if g else (None, None) for w, g in gaps.items()}
+    assert "transaction_id" not in got._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
