@@ -313,6 +313,27 @@ def test_entities_seek_groups_among_linked_transactions(spark, monkeypatch):
     assert got == want
 
 
+def test_transactions_of_entities_are_known_from_their_groups(spark):
+    """The transactions that come with the groups are those of a join by address, which queries on entities then leave out; statistics
+    are the same with either."""
+    rng = random.Random(5)
+    pick = lambda most, null, name: None if rng.random() < null else f"{name}{rng.randrange(most):03}"
+    ins = spark.createDataFrame([(pick(80, 0.02, "t"), pick(150, 0.05, "a"), float(rng.randrange(9))) for _ in range(200)] + [("t900", None, 1.0)], "transaction_id string, address string, amount double")
+    outs = spark.createDataFrame([(pick(90, 0.02, "t"), pick(170, 0.05, "a"), float(rng.randrange(9))) for _ in range(200)] + [("t900", "a001", 1.0)], "transaction_id string, address string, amount double")
+    flows = spark.createDataFrame([(pick(90, 0.02, "t"), rng.randrange(9), pick(9, 0.1, "w"), pick(9, 0.1, "i"), pick(4, 0.1, "c"), rng.randrange(3), rng.randrange(4)) for _ in range(200)], "transaction_id string, ts int, sender string, src_ip string, country string, asn int, dst_port int")
+    e, spends = entities.common_input_groups(ins)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(spends) == rows(entities.entity_transactions(e, ins)) and rows(e) == rows(entities.common_input_entities(ins))
+    for op in (lambda **k: entities.entity_ip_links(e, ins, flows, **k), lambda **k: entities.wallet_entities(e, ins, flows, **k), lambda **k: entities.correlation_findings(e, ins, flows, **k), lambda **k: entities.entity_stats(e, ins, outs, flows, **k)):
+        assert rows(op(spends=spends)) == rows(op())
+    total, of, spent = {}, {r["address"]: r["entity_id"] for r in e.collect() if r["address"]}, {(r["entity_id"], r["transaction_id"]) for r in spends.collect()}
+    for r in outs.collect():
+        if r["address"] in of and r["transaction_id"] in {t for _, t in spent if t}:
+            total.setdefault(of[r["address"]], set()).add(r["transaction_id"])
+    want = {x: len(total.get(x, set()) | {t for y, t in spent if y == x}) for x in of.values()}
+    assert {r["entity_id"]: r["transactions"] for r in entities.entity_stats(e, ins, outs, flows, spends=spends).collect() if r["entity_id"]} == want
+
+
 def test_components_keep_one_table(spark):
     """Of all rounds one table of edges stays, and no checkpoint."""
     mark, folder = shared.tables_written(), spark.sparkContext._jsc.sc().getCheckpointDir()
