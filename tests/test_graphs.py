@@ -287,6 +287,21 @@ def test_utxo(spark):
     }
 
 
+def test_utxo_transactions_are_dealt_once(spark):
+    """One pass and one shuffle; repeated transactions sum up, and null values, sides and ids are taken as before."""
+    from trailmark import schemas
+
+    def tx(txid, vin, vout, time=1_700_000_000):
+        return (txid, (True, 1, time), [(False, (a, v)) for a, v in vin], vout and [(a, v) for a, v in vout])
+
+    rows = [tx("r", [("s", 5), ("t", 4)], [("a", 100)])] * 2 + [tx("r", [("t", 3)], [("a", 50), ("s", 7)], 1_700_000_001), tx("z", [("b", None), ("c", 9)], [("d", None), ("e", 0), ("f", 8)]), tx("o", [("b", 1)], None), tx(None, [("b", 1)], [("g", 3)])]
+    made = entities.utxo_transfers(spark.createDataFrame(rows, schemas.EXPLORER).repartition(3, "txid"))
+    got = sorted((r["transaction_id"] or "", r["sender"], r["receiver"], r["amount"], str(r["ts"])[17:19], r["skip_reason"]) for r in made.collect())
+    assert got == [("", None, None, None, "", "no external output")] * 2 + [("btc:r:0", "t", "a", 5e-7, "21", None), ("btc:r:0", "t", "a", 2e-6, "20", None), ("btc:z:2", "b", "f", 8e-8, "20", None)]
+    plan = made.where("skip_reason is null")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
 def test_confidence_of_all_signals_is_one(spark):
     scores = spark.createDataFrame([("a", 1.0), ("b", 0.5)], "wallet string, combined_score double")
     we = spark.createDataFrame([("a", "E1"), ("b", "E1")], "wallet string, entity_id string")
