@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from trailmark.operators import confidence, entities, graphs
 from trailmark.operators.components import connected_components
@@ -386,3 +387,35 @@ def test_previous_event_across_days(spark, monkeypatch):
         assert sorted((r["id"], r["previous"] and r["previous"]["id"]) for r in got.collect()) == sorted(want.items())
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") == plan.count("LeftOuter")  # nothing is joined back
+
+
+def test_groups_shuffle_addresses_twice(spark):
+    """Once by address and once by transaction; and no more than the tables that are read later stay. Few addresses link any."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved(run):
+        total = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(k) for k in range(x.size())])(store.executorList(False)))
+        before = total()
+        run()
+        return total() - before
+
+    spread = lambda k: F.xxhash64(k).cast("string")
+    ins = spark.range(60_000).select(spread(F.floor(F.col("id") / 4)).alias("transaction_id"), F.when(F.col("id") % 500 == 7, spread(F.col("id") % 8000)).otherwise(spread("id")).alias("address"))
+    once = moved(lambda: ins.repartition("address").write.format("noop").mode("overwrite").save())
+    mark, limit = shared.tables_written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables of any size
+    try:
+        assert moved(lambda: [df.write.format("noop").mode("overwrite").save() for df in entities.common_input_groups(ins)]) < 3 * once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert shared.tables_written() - mark <= 3
+
+
+def test_coinjoin_transactions_are_the_candidates_of_all_metrics(spark):
+    """Inputs are counted only where outputs have a group, with the same result; nulls and missing sides too."""
+    rng = random.Random(8)
+    some = lambda n, most, top: [(None if rng.random() < 0.03 else f"t{rng.randrange(40):02}", None if rng.random() < 0.05 else f"a{rng.randrange(most)}", None if rng.random() < 0.05 else float(rng.randrange(1, top))) for _ in range(n)]
+    i, o = (spark.createDataFrame(rows, "transaction_id string, address string, amount double") for rows in (some(200, 9, 5), some(200, 9, 4)))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(entities.coinjoin_candidates(entities.coinjoin_metrics(i, o)))
+    assert want and rows(entities.coinjoin_transactions(i, o)) == want
