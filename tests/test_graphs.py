@@ -419,3 +419,9 @@ def test_coinjoin_transactions_are_the_candidates_of_all_metrics(spark):
     rows = lambda df: sorted(map(str, df.collect()))
     want = rows(entities.coinjoin_candidates(entities.coinjoin_metrics(i, o)))
     assert want and rows(entities.coinjoin_transactions(i, o)) == want
+
+
+def test_likely_among_keeps_all_wanted_rows_and_few_others(spark):
+    rows, wanted = spark.range(50_000).select(F.col("id").alias("key"), F.lit(1).alias("n")), spark.range(0, 50_000, 100).select(F.col("id").alias("key"))
+    got = shared.likely_among(rows, wanted, "key")
+    assert got.columns == ["key", "n"] and got.join(wanted, "key").count() == 500 and got.count() < 600
