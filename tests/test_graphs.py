@@ -350,6 +350,37 @@ def test_transactions_of_entities_are_known_from_their_groups(spark):
     assert {r["entity_id"]: r["transactions"] for r in entities.entity_stats(e, ins, outs, flows, spends=spends).collect() if r["entity_id"]} == want
 
 
+def test_uses_of_entities_are_read_once_for_senders_and_findings(spark, tmp_path):
+    """Senders and all findings come from one table of uses, with the rows that joins of flows give; flows are not read again."""
+    rng = random.Random(11)
+    pick = lambda most, null, name: None if rng.random() < null else f"{name}{rng.randrange(most):03}"
+    ins = spark.createDataFrame([(pick(60, 0.02, "t"), pick(120, 0.05, "a"), 1.0) for _ in range(150)], "transaction_id string, address string, amount double")
+    port = lambda: rng.choice([None, 0, 7, 8, 8333])
+    flows = spark.createDataFrame([(pick(70, 0.02, "t"), rng.randrange(9), pick(9, 0.1, "w"), pick(9, 0.1, "i"), pick(5, 0.1, "c"), rng.randrange(5), port()) for _ in range(300)], "transaction_id string, ts int, sender string, src_ip string, country string, asn int, dst_port int")
+    flows.write.parquet(str(tmp_path / "flows"))
+    flows = spark.read.parquet(str(tmp_path / "flows"))
+    e, spends = entities.common_input_groups(ins)
+    uses, rows = entities.entity_uses(spends, flows), lambda df: sorted(map(str, df.collect()))
+    for op in (entities.wallet_entities, entities.correlation_findings):
+        got = op(e, ins, flows, uses=uses)
+        assert rows(got) == rows(op(e, ins, flows)) and got.count()
+        assert not any("flows" in f.rpartition("/")[0].rpartition("/")[2] for f in got.inputFiles())
+
+
+def test_links_of_chains_are_found_once(spark):
+    """What chains are made of is evaluated once, however often it is read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    links = spark.createDataFrame([(f"t{i + 1}", f"t{i}") for i in range(9)], "transaction_id string, predecessor string").mapInArrow(run, "transaction_id string, predecessor string")
+    assert {(r["transaction_id"], r["root"], r["depth"]) for r in graphs.chain_positions(links).collect()} == {(f"t{i}", "t0", i) for i in range(10)}
+    assert seen.value == 9
+
+
 def test_components_keep_one_table(spark):
     """Of all rounds one table of edges stays, and no checkpoint."""
     mark, folder = shared.tables_written(), spark.sparkContext._jsc.sc().getCheckpointDir()
