@@ -81,6 +81,21 @@ def test_points_alone_and_behind_words(both, batches):
         assert [x.tolist() for x in encode(texts)] == [both[1].encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_letters_need_no_pattern(both):
+    """Words of Latin letters are encoded as byte-level symbols, apart from the library's pattern; all other parts go through it."""
+    encode, seen = repair.Encoder(open(P.path("byte_bpe_50k.json")).read()), []
+
+    class Library:
+        def encode_batch_fast(self, texts, **k):
+            seen.extend(texts)
+            return both[1].encode_batch_fast(texts, **k)
+
+    encode.library = Library()
+    text = "first naïve words, ǰ ÿ µ Łódź ªº x1 re-pair plain"
+    assert encode([text])[0].tolist() == both[1].encode(text, add_special_tokens=False).ids
+    assert not any(w in " ".join(seen) for w in ("naïve", "words", "ÿ", "Łódź", "plain")) and "x1" in " ".join(seen)
+
+
 def test_files(spark, both, sf):
     rows = [(7, "some words, and some words again"), (8, "Hello, world . ok. !! x!!"), (7, "some words, and some words again"), (3, None), (5, ""), (9, "x " * 30_000), (3, "again"), (None, "no id")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part int").repartition(3)

@@ -12,7 +12,7 @@ import json
 import os
 import zlib
 from collections import defaultdict
-from itertools import count, islice
+from itertools import count, islice, repeat
 from pathlib import Path
 
 import numpy as np
@@ -37,6 +37,9 @@ HELD_PARTS = 900_000
 SPACE = "Ġ"
 #: A word of Latin letters (all below U+0250) and the points behind it.
 WORD = r"^(?P<head>[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<tail>[.,;:!?]*)$"
+LATIN = WORD.partition("(?P<tail>")[0] + "$"
+#: The byte-level symbol of each byte but a line feed, which parts words.
+SYMBOLS = {b: chr(b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else 256 + (b if b < 33 else b - 94 if b < 161 else 323 - 256)) for b in range(256) if b != 10}
 #: Bytes of text that are encoded at a time.
 AT_ONCE = 4 << 20
 
@@ -152,9 +155,12 @@ class Encoder:
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(spec)
+        # the same model for words in byte-level symbols, which need no pattern to part them
+        self.by_words = Tokenizer(self.library.model)
+        self.by_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         said = json.loads(spec)
         rules, vocab = said.get("pre_tokenizer") or {}, said["model"].get("vocab", {})
         self.by_parts = rules.get("type") == "ByteLevel" and rules.get("use_regex", True) and not rules.get("add_prefix_space") and said.get("normalizer") is None and not said["model"].get("dropout")
@@ -190,20 +196,29 @@ class Encoder:
         alone = opens | closes | first | begins(each, "\0")
         kept = pc.if_else(pa.array(alone), pc.binary_join_element_wise("\0", each, ""), heads)  # the mark tells them from words
         parted = [c.dictionary_encode() for c in (kept, pc.if_else(pa.array(alone), "", tails))]
-        marked = pa.array(begins(parted[0].dictionary, "\0"))
-        words = [w for w in _strings(parted[0].dictionary.filter(pc.invert(marked))) if w not in slots]
-        rest = [w for w in _strings(parted[0].dictionary.filter(marked)) if w not in slots]
+        names = parted[0].dictionary
+        strings = _strings(names)
+        slot = np.fromiter(map(slots.get, strings, repeat(-1)), np.int32, len(strings))
+        new = np.flatnonzero(slot < 0)
+        some = names.take(pa.array(new))
+        # words of Latin letters are each one match of the library's pattern, with the space before them
+        letters, ascii_ = (f.to_numpy(zero_copy_only=False) for f in (pc.match_substring_regex(some, LATIN), pc.string_is_ascii(some)))
+        kind = np.where(begins(some, "\0"), 0, np.where(letters, np.where(ascii_, 1, 2), 3))
+        new = new[np.argsort(kind, kind="stable")]
+        rest, *kinds = ([strings[k] for k in part.tolist()] for part in np.split(new, np.cumsum(np.bincount(kind, minlength=4))[:3]))
         tails = [t for t in _strings(parted[1].dictionary) if t not in points]
         # points are encoded as they stand, a first part without its mark, another part with the space before it
         plain_texts = tails + [w[2:] if w[:2] == "\0 " else " " + w[1:] for w in rest]
         got = [e.ids for e in self.library.encode_batch_fast(plain_texts, add_special_tokens=False)]
         flat, size = [np.fromiter((i for x in got for i in x), np.int32)], [np.fromiter(map(len, got), np.int32, len(got))]
-        texts = [" " + " ".join(words[a : a + 256]) for a in range(0, len(words), 256)]
-        for a, e in enumerate(self.library.encode_batch_fast(texts, add_special_tokens=False)):
+        groups = [[k[a : a + 256] for a in range(0, len(k), 256)] for k in kinds]
+        symbols = [SPACE + ("\n" + SPACE).join(g) for g in groups[0]] + [(" " + "\n ".join(g)).encode().decode("latin-1").translate(SYMBOLS) for g in groups[1]]
+        got_groups = self.by_words.encode_batch_fast(symbols, add_special_tokens=False) + self.library.encode_batch_fast([" " + " ".join(g) for g in groups[2]], add_special_tokens=False)
+        for g, e in zip(groups[0] + groups[1] + groups[2], got_groups, strict=True):
             ids = np.array(e.ids, np.int32)
             begin = np.flatnonzero(self.begins[ids])
-            if len(begin) != len(words[256 * a : 256 * a + 256]):  # this vocabulary joins what a space parts: one by one
-                each_ids = [x.ids for x in self.library.encode_batch_fast([" " + w for w in words[256 * a : 256 * a + 256]], add_special_tokens=False)]
+            if len(begin) != len(g):  # this vocabulary joins what a space parts: one by one
+                each_ids = [x.ids for x in self.library.encode_batch_fast([" " + w for w in g], add_special_tokens=False)]
                 flat.append(np.fromiter((i for x in each_ids for i in x), np.int32))
                 size.append(np.fromiter(map(len, each_ids), np.int32, len(each_ids)))
                 continue
@@ -211,9 +226,11 @@ class Encoder:
             size.append(np.diff(np.append(begin, len(ids))).astype(np.int32))
         n = len(self.size)
         points.update(zip(tails, range(n, n + len(tails)), strict=True))
-        slots.update(zip(rest + words, range(n + len(tails), n + len(plain_texts) + len(words)), strict=True))
+        slots.update(zip(sum(kinds, rest), range(n + len(tails), n + len(tails) + len(new)), strict=True))
+        slot[new] = np.arange(n + len(tails), n + len(tails) + len(new))
         self.flat, self.size = np.concatenate([self.flat, *flat]), np.concatenate([self.size, *size])
-        head, tail = (np.fromiter(map(known.__getitem__, _strings(c.dictionary)), np.int32, len(c.dictionary))[c.indices.to_numpy()] for c, known in zip(parted, (slots, points), strict=True))
+        point = np.fromiter(map(points.__getitem__, _strings(parted[1].dictionary)), np.int32, len(parted[1].dictionary))
+        head, tail = slot[parted[0].indices.to_numpy()], point[parted[1].indices.to_numpy()]
         self.head, self.tail = np.concatenate([self.head, head]), np.concatenate([self.tail, tail])
         self.opens, self.closes = np.concatenate([self.opens, opens]), np.concatenate([self.closes, closes])
 
