@@ -218,3 +218,9 @@ def test_details_of_a_giant_group_are_cut(spark):
     assert [r["place"] for r in want] == list(range(1, 501)) and [r["place"] for r in got if r["cluster_id"] == "a"] == [1]
     top = records.first_items(many, "cluster_id", "wallet", "wallets", 3).first()
     assert (top["wallets"], top["n"]) == (["w0000", "w0001", "w0002"], 500)
+
+
+def test_wallets_of_a_long_chain_are_whole(spark):
+    hops = spark.range(1200).selectExpr("'c' as chain_id", "concat('w', lpad(cast(id as string), 4, '0')) as from_wallet", "concat('w', lpad(cast(id + 1 as string), 4, '0')) as to_wallet")
+    got = records.list_chains(spark.createDataFrame([("c", 1200)], "chain_id string, hop_count int"), hops).collect()
+    assert [r["wallets"] for r in got] == [[f"w{k:04}" for k in range(1201)]]
