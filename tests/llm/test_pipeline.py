@@ -49,3 +49,11 @@ def test_registered():
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_short_lines_with_edits_go_in_the_stage(spark):
+    """Lines of one and two words with an edit are cut by the pipeline's own stage, with n_chars of what is left."""
+    rows = [(1, "Impressum\nread more\nonly here"), (2, "Impresum\nsomething else altogether\nread mare")]
+    docs = spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("something else altogether", 25)}
